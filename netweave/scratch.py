@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +51,24 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_file_scan(df: DataFrame) -> bool:
+    """Whether rows of ``df`` can be named by their file and place."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def as_files(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` itself if it reads files, else a written copy."""
+    return df if is_file_scan(df) else materialize(df, name)
+
+
 def with_row_key(df: DataFrame, name: str = "__row") -> DataFrame:
     """Add a struct that names each row by its file and its place there, the same on every read.
 
     Rows that do not come from files are written to the shared folder first.
     """
-    key = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(name)
-    try:
-        return df.select("*", key)
-    except Exception as e:  # not a file scan
-        if "_metadata" not in str(e) and "row_index" not in str(e):
-            raise
-    return materialize(df, "rows").select("*", key)
+    key = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    return as_files(df).select("*", key.alias(name))
