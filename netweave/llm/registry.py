@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from netweave.llm import exact_dedup, mixing
+from netweave.llm import chat, exact_dedup, hilbert, mixing
 
 
 def queries() -> dict:
     return {
         "op5_mixing": mixing.op5,
+        "op6_hilbert_shards": hilbert.op6,
         "op9_exact_dedup": exact_dedup.op9,
+        "op10_chat_format": chat.op10,
     }
 
 
@@ -16,4 +18,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_mixing": mixing.OP5_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op10_chat_format": chat.OP10_SQL,
     }
