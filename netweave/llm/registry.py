@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from netweave.llm import chat, exact_dedup, hilbert, mixing
+from netweave.llm import chat, exact_dedup, hilbert, mixing, quality
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality.op2,
         "op5_mixing": mixing.op5,
         "op6_hilbert_shards": hilbert.op6,
         "op9_exact_dedup": exact_dedup.op9,
@@ -16,6 +17,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality.OP2_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_chat_format": chat.OP10_SQL,
