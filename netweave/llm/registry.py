@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from netweave.llm import chat, exact_dedup, hilbert, mixing, quality
+from netweave.llm import chat, exact_dedup, hilbert, mixing, packing, quality, warc
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1,
         "op2_quality_rules": quality.op2,
+        "op3_warc": warc.op3,
         "op5_mixing": mixing.op5,
         "op6_hilbert_shards": hilbert.op6,
         "op9_exact_dedup": exact_dedup.op9,
@@ -18,6 +20,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": quality.OP2_SQL,
+        "op3_warc": warc.OP3_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_chat_format": chat.OP10_SQL,
