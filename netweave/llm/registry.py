@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netweave.llm import chat, exact_dedup, hilbert, mixing, near_dup, packing, quality, warc
+from netweave.llm import chat, exact_dedup, hilbert, maxent, mixing, near_dup, packing, quality, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_mixing": mixing.op5,
         "op6_hilbert_shards": hilbert.op6,
         "op7_jaccard_join": near_dup.op7,
+        "op8_maxent_scores": maxent.op8,
         "op9_exact_dedup": exact_dedup.op9,
         "op10_chat_format": chat.op10,
     }
