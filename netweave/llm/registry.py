@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from netweave.llm import chat, exact_dedup, hilbert, maxent, mixing, near_dup, packing, quality, warc
+import corpus_pipeline
+from netweave.llm import chat, exact_dedup, hilbert, maxent, mixing, near_dup, packing, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -10,12 +11,14 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1,
         "op2_quality_rules": quality.op2,
         "op3_warc": warc.op3,
+        "op4_secret_forest": secrets.op4,
         "op5_mixing": mixing.op5,
         "op6_hilbert_shards": hilbert.op6,
         "op7_jaccard_join": near_dup.op7,
         "op8_maxent_scores": maxent.op8,
         "op9_exact_dedup": exact_dedup.op9,
         "op10_chat_format": chat.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
