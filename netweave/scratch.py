@@ -8,6 +8,7 @@ temporary folder of its own.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -21,6 +22,7 @@ _local: dict[str, str] = {}
 
 def root(spark: SparkSession) -> str:
     """The shared folder, as a URI that Spark can write to."""
+    _ship(spark)
     conf = spark.sparkContext.getConf()
     if given := conf.get("spark.checkpoint.dir"):
         return given.rstrip("/")
@@ -34,6 +36,14 @@ def root(spark: SparkSession) -> str:
     return f"file://{_local[app]}"
 
 
+def _ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if here not in (paths := [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]):
+        env["PYTHONPATH"] = os.pathsep.join([*paths, here])
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/netweave/{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}/{name}"
 
