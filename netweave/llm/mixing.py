@@ -16,7 +16,8 @@ def water_fill(sources: DataFrame, total: Column, max_epochs: float) -> DataFram
     """Targets for rows (source, source_size, weight): level * weight, but at most max_epochs * source_size.
 
     Sources are clamped in the order of cap / weight; the level is what is left of the total over
-    the weights that are left, taken at the first place where no further source is above its cap.
+    the weights that are left, taken at the first place where no further source is above its cap;
+    past that place it only falls, so it is the largest that is at most its own place's ratio.
     The table has one row per source. If all caps together are below the total, all are clamped.
     """
     w = Window.orderBy("ratio", F.col("source").isNull(), "source")
@@ -30,7 +31,7 @@ def water_fill(sources: DataFrame, total: Column, max_epochs: float) -> DataFram
         "open", F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     s = s.withColumn("level_here", (F.col("total") - F.col("clamped")) / F.col("open"))
-    s = s.withColumn("level", F.min(F.when(F.col("level_here") <= F.col("ratio"), F.col("level_here"))).over(Window.partitionBy()))
+    s = s.withColumn("level", F.max(F.when(F.col("level_here") <= F.col("ratio"), F.col("level_here"))).over(Window.partitionBy()))
     target = F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
     return s.select("source", "source_size", "weight", target.alias("target"))
 
@@ -117,7 +118,7 @@ q AS (
          coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS clamped,
          sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS open
   FROM p),
-l AS (SELECT min((total - clamped) / open) AS level FROM q WHERE (total - clamped) / open <= ratio),
+l AS (SELECT max((total - clamped) / open) AS level FROM q WHERE (total - clamped) / open <= ratio),
 t AS (
   SELECT source, source_size, CASE WHEN level IS NULL OR ratio <= level THEN cap ELSE level * weight END AS target
   FROM q CROSS JOIN l),
