@@ -280,7 +280,8 @@ def near_duplicates(
     members = members.join(sizes, F.col("group") == F.col("__g")).select("text_id", "at", "group", chunks.alias("chunks"))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("text_id"), F.col("chunks")))
     texts_of = keyed.select(F.col("__row").alias("__r"), text_of(text_col).alias("__text"))
-    sets = texts_of.join(members, F.col("__r") == F.col("at")).select(
+    # both sides grow with the input, so the plan is the same at every size
+    sets = texts_of.join(members.hint("merge"), F.col("__r") == F.col("at")).select(
         "group", "text_id", "chunk", "chunks", F.transform(words_of(F.lower("__text")), lambda w: F.xxhash64(w)).alias("words")
     )
     sets = sets.mapInArrow(_shingles, "group long, text_id long, chunk long, chunks long, sh binary")
