@@ -19,22 +19,22 @@ def running(df: DataFrame, by: str, order: list, sums: list[str]) -> DataFrame:
     running totals within the partitions that follow.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, by, *order).withColumn("__p", F.spark_partition_id())
+    rows = df.repartitionByRange(parts, by, *order).withColumn("__part", F.spark_partition_id())
     rows = scratch.materialize(rows, "ranged")
-    inside = Window.partitionBy(by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(by, "__p").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
-    totals = totals.select(by, "__p", *[F.coalesce(F.sum(f"__{s}").over(across), F.lit(0)).alias(f"__{s}") for s in sums])
-    rows = rows.join(totals, [by, "__p"])
-    out = rows.select("*", *[(F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"__{s}")).alias(f"before_{s}") for s in sums])
-    return out.drop("__p", *[f"__{s}" for s in sums])
+    inside = Window.partitionBy(by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(by, "__part").agg(*[F.sum(s).alias(f"__sum_{s}") for s in sums])
+    totals = totals.select(by, "__part", *[F.coalesce(F.sum(f"__sum_{s}").over(across), F.lit(0)).alias(f"__sum_{s}") for s in sums])
+    rows = rows.join(totals, [by, "__part"])
+    out = rows.select("*", *[(F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"__sum_{s}")).alias(f"before_{s}") for s in sums])
+    return out.drop("__part", *[f"__sum_{s}" for s in sums])
 
 
 def curve(predictions: DataFrame) -> DataFrame:
     """(protocol, score, p, n) with the positives and negatives above each score."""
     counts = predictions.groupBy("protocol", "score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n"))
     counts = counts.withColumn("down", -F.col("score"))
-    totals = counts.groupBy("protocol").agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    totals = counts.groupBy("protocol").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     return running(counts, "protocol", ["down"], ["p", "n"]).join(totals, "protocol")
 
 
@@ -42,14 +42,14 @@ def auc(predictions: DataFrame) -> DataFrame:
     """(protocol, auc): share of positive-negative pairs in order, ties half; null with a single class."""
     c = curve(predictions)
     wins = F.sum(F.col("n") * (F.col("before_p") + F.col("p") / 2.0))
-    return c.groupBy("protocol").agg((wins / F.nullif(F.first("P") * F.first("N"), F.lit(0))).alias("auc"))
+    return c.groupBy("protocol").agg((wins / F.nullif(F.first("all_p") * F.first("all_n"), F.lit(0))).alias("auc"))
 
 
 def average_precision(predictions: DataFrame) -> DataFrame:
     """(protocol, ap): gain in recall times precision over distinct thresholds."""
     c = curve(predictions)
     tp, all_ = F.col("before_p") + F.col("p"), F.col("before_p") + F.col("p") + F.col("before_n") + F.col("n")
-    return c.groupBy("protocol").agg(F.sum(F.col("p") / F.nullif(F.col("P"), F.lit(0)) * (tp / all_)).alias("ap"))
+    return c.groupBy("protocol").agg(F.sum(F.col("p") / F.nullif(F.col("all_p"), F.lit(0)) * (tp / all_)).alias("ap"))
 
 
 def _discounts(a, b):
@@ -62,7 +62,7 @@ def ndcg(predictions: DataFrame) -> DataFrame:
     c = curve(predictions)
     a = F.col("before_p") + F.col("before_n")
     size = F.col("p") + F.col("n")
-    rows = c.select("protocol", "P", (F.col("p") / size * _discounts(a, a + size)).alias("g"), _discounts(F.col("before_p"), F.col("before_p") + F.col("p")).alias("i"))
+    rows = c.select("protocol", "all_p", (F.col("p") / size * _discounts(a, a + size)).alias("g"), _discounts(F.col("before_p"), F.col("before_p") + F.col("p")).alias("i"))
     return rows.groupBy("protocol").agg((F.sum("g") / F.nullif(F.sum("i"), F.lit(0.0))).alias("ndcg"))
 
 
@@ -83,7 +83,7 @@ def precision_f1(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
 def youden(predictions: DataFrame) -> DataFrame:
     """(protocol, threshold, gain): the score with the largest difference of true and false positive rate, the highest of equals, in 0 .. 1."""
     c = curve(predictions)
-    gain = F.round((F.col("before_p") + F.col("p")) / F.col("P") - (F.col("before_n") + F.col("n")) / F.col("N"), 9)
+    gain = F.round((F.col("before_p") + F.col("p")) / F.col("all_p") - (F.col("before_n") + F.col("n")) / F.col("all_n"), 9)
     best = c.groupBy("protocol").agg(F.max(F.struct(gain.alias("g"), F.col("score"))).alias("b"))
     return best.select("protocol", F.least(F.greatest("b.score", F.lit(0.0)), F.lit(1.0)).alias("threshold"), F.col("b.g").alias("gain"))
 

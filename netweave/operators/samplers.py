@@ -182,7 +182,7 @@ def risk_controlled(
         "nearest": lambda e, c: risks.nearest(e, c, F.col("source")), "closure": risks.closure, "cowalk": risks.co_walk, "hitting": risks.hitting, "residual": risks.residual,
     }
     rows = _scored(unknown(rows, known), known, {k: functions[k] for k in bounds})
-    score = risks.combined(bounds)
+    score = F.round(risks.combined(bounds), 9)
     ok = risks.within(bounds) if budget is None else (score <= budget) & risks.within(caps or {})
     rank = F.struct((~ok).alias("a"), F.when(ok, F.lit(0.0)).otherwise(score).alias("b"), F.col("attempt"), F.col("nodes"), ok.alias("accepted"), score.alias("score"), F.col("strategy"), *[F.col(k) for k in bounds])
     best = rows.groupBy("source_id", "slot").agg(F.min(rank).alias("b"), F.count(F.lit(1)).alias("valid"))

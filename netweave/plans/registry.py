@@ -64,7 +64,7 @@ def logits(spark: SparkSession, d: str) -> DataFrame:
 
 def node_features(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    dims = F.array(F.struct(F.lit(0).alias("dim"), (F.col("p_size") / 50.0).alias("value")), F.struct(F.lit(1).alias("dim"), (F.col("p_retailprice") / 1000.0).alias("value")))
+    dims = F.array(F.struct(F.lit(0).alias("dim"), (F.col("p_size") / 49.0).alias("value")), F.struct(F.lit(1).alias("dim"), F.log("p_retailprice").alias("value")))
     return part.select(F.col("p_partkey").alias("node_id"), F.explode(dims).alias("f")).select("node_id", "f.dim", "f.value")
 
 
