@@ -17,8 +17,9 @@ def read_edge_text(spark: SparkSession, path: str, separator: str | None = None)
     line = F.trim("value")
     parts = F.split(line, r"\s+" if separator is None else r"\s*" + separator.replace("|", r"\|") + r"\s*")
     nodes = canonical(F.transform(parts, lambda p: p.try_cast("bigint")))
-    bad = F.exists("nodes", lambda n: n.isNull()) | (F.size("nodes") < 2)
-    rows = spark.read.text(path).filter((line != "") & ~line.startswith("#")).select("value", nodes.alias("nodes"))
+    edge = (line != "") & ~line.startswith("#")
+    rows = spark.read.text(path).filter(edge).select("value", nodes.alias("nodes"))
+    bad = edge & (F.exists("nodes", lambda n: n.isNull()) | (F.size("nodes") < 2))
     rows = rows.select(F.when(bad, F.raise_error(F.concat(F.lit("bad edge line: "), "value")).cast("array<bigint>")).otherwise(F.col("nodes")).alias("nodes"))
     return rows.groupBy("nodes").agg(F.count(F.lit(1)).alias("lines")).select(edge_key(F.col("nodes")).alias("edge_id"), "nodes", F.size("nodes").alias("size"))
 
