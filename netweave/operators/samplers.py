@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netweave import scratch
 from netweave.functions import anchor_size, distinct_draws, draw, set_jaccard, uniform
 from netweave.operators import risks
 from netweave.operators.indexes import two_section
@@ -72,8 +73,8 @@ def anchored(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.
 
 
 def _scored(rows: DataFrame, edges: DataFrame, with_risks: dict[str, Callable]) -> DataFrame:
-    """Join the risks of each distinct (set, source) once."""
-    rows = rows.withColumn("cand_id", F.xxhash64("nodes", "source"))
+    """Join the risks of each distinct (set, source) once; the draws are written first, as each risk reads them."""
+    rows = scratch.materialize(rows.withColumn("cand_id", F.xxhash64("nodes", "source")), "attempts")
     distinct = rows.select("cand_id", "nodes", "source", F.size("nodes").alias("size")).dropDuplicates(["cand_id"])
     for name, f in with_risks.items():
         rows = rows.join(f(edges, distinct).withColumnRenamed("risk", name), "cand_id")
@@ -123,8 +124,6 @@ def motif(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1,
     One join per round; sets leave the loop when they have the source's size. Slots that get stuck
     or end at a known edge fall back to random edges.
     """
-    from netweave import scratch
-
     near = scratch.materialize(two_section(known), "projection")
     starts = near.select("x").distinct()
     order = Window.orderBy("x")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netweave import scratch
 from netweave.functions import edge_key, set_jaccard, uniform
 from netweave.operators import calibration, indexes, losses, metrics, propagation, risks, samplers, selection
 from netweave.plans import oracles
@@ -162,7 +163,7 @@ def future_hits(spark, d):
 def negative_quality(spark, d):
     e = edges(spark, d)
     s = samplers.half_corruption(e, e, parts_count(spark, d))
-    c = s.select(F.col("source_id").alias("cand_id"), "nodes", "size")
+    c = scratch.materialize(s.select(F.col("source_id").alias("cand_id"), "nodes", "size"), "sampled")
     rows = c.join(risks.closure(e, c).withColumnRenamed("risk", "closure"), "cand_id").join(e.select(F.col("edge_id").alias("cand_id"), F.col("nodes").alias("source")), "cand_id")
     rows = rows.select("closure", set_jaccard(F.col("nodes"), F.col("source")).alias("source_jaccard"), uniform("hardness", F.col("cand_id")).alias("hardness"))
     out = metrics.negative_quality(rows)
@@ -258,9 +259,9 @@ def checkpoint_objective(spark, d):
 def observed(spark, d):
     e = edges(spark, d)
     s = samplers.anchored(e, e, parts_count(spark, d), per_source=1)
-    c = s.select(F.col("source_id").alias("cand_id"), "nodes", "size")
+    c = scratch.materialize(s.select(F.col("source_id").alias("cand_id"), "nodes", "size"), "sampled")
     rows = risks.closure(e, c).withColumnRenamed("risk", "closure").join(risks.residual(e, c).withColumnRenamed("risk", "residual"), "cand_id")
-    return r6(rows, "closure", "residual")
+    return scratch.materialize(r6(rows, "closure", "residual"), "observed")
 
 
 def calibrated_bounds(spark, d):
@@ -326,7 +327,7 @@ def predictor(spark, d):
     train, n = s.filter("split = 'train'"), parts_count(spark, d)
     c = samplers.uniform_edges(s, s, n).select((-1 - F.col("source_id")).alias("cand_id"), "nodes", "size", F.lit(0).alias("label"), F.col("source_id").alias("of"))
     c = c.unionByName(s.select(F.col("edge_id").alias("cand_id"), "nodes", "size", F.lit(1).alias("label"), F.col("edge_id").alias("of")))
-    c = c.join(s.select(F.col("edge_id").alias("of"), "split"), "of")
+    c = scratch.materialize(c.join(s.select(F.col("edge_id").alias("of"), "split"), "of"), "sampled")
     pooled = propagation.spread(c.select(F.col("cand_id").alias("edge_id"), F.explode("nodes").alias("node_id")), node_features(spark, d))
     pooled = pooled.groupBy(F.col("edge_id").alias("cand_id")).agg(F.max(F.when(F.col("dim") == 0, F.col("spread"))).alias("s0"), F.max(F.when(F.col("dim") == 1, F.col("spread"))).alias("s1"))
     rows = c.join(risks.closure(train, c), "cand_id").join(pooled, "cand_id").select(F.col("cand_id").alias("pos"), "label", "split", F.lit("sns").alias("protocol"), F.col("size").cast("double").alias("n"), "risk", "s0", "s1")
