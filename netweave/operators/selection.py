@@ -49,15 +49,15 @@ def normalized(df: DataFrame, mode: str, value: str, tie: str, source: str = "so
     raise ValueError(f"unknown mode {mode}")
 
 
-def retrieval_weight(target: float, epoch: int, warmup: int, mode: str = "scans_full") -> tuple[float, float]:
+def retrieval_weight(target: float, epoch: int, warmup: int, mode: str = "full") -> tuple[float, float]:
     """(similarity weight, hardness weight) of an epoch; the first grows linearly to its target."""
     bounded = min(1.0, max(0.0, target))
     warm = bounded * min(1.0, epoch / warmup) if warmup > 0 else bounded
-    if mode == "scans_no_diffusion_signal":
+    if mode == "no_diffusion_signal":
         return 0.0, 1.0 - warm
-    if mode in ("scans_no_diffusion", "scans_hard_only", "scans_no_diffusion_proposal"):
+    if mode in ("no_diffusion", "hard_only", "no_diffusion_proposal"):
         return 0.0, 1.0
-    if mode == "scans_diffusion_only":
+    if mode == "diffusion_only":
         return 1.0, 0.0
     return warm, 1.0 - warm
 
