@@ -18,8 +18,9 @@ from netweave.operators.indexes import two_section
 
 
 def attempts(sources: DataFrame, per_source: int, count: int) -> DataFrame:
-    """A row for each attempt of each slot of each source."""
+    """A row for each attempt of each slot of each source. Sources are dealt out first: drawing costs more than moving them."""
     rows = sources.select(F.col("edge_id").alias("source_id"), F.col("nodes").alias("source"), F.col("size").alias("source_size"))
+    rows = rows.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
     rows = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per_source - 1))))
     return rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
 
@@ -47,6 +48,7 @@ def uniform_edges(sources: DataFrame, known: DataFrame, nodes: int, per_source:
     rows = attempts(sources, per_source, tries)
     size = F.col("source_size") if not high else (draw(*named(seed, "size")) % F.lit(high - low + 1) + low).cast("int")
     rows = rows.withColumn("want", size).withColumn("nodes", F.array_sort(distinct_draws(F.col("want"), nodes, draws, *named(seed, "node"))))
+    rows = scratch.materialize(rows, "drawn")  # else the filters below would draw again
     return first_passing(unknown(rows.filter(F.size("nodes") == F.col("want")), known))
 
 
@@ -57,7 +59,8 @@ def _anchored(rows: DataFrame, keep: Column, nodes: int, draws: int, seed: int,
     rows = rows.withColumn("keep", keep).withColumn("anchor", F.transform(F.slice(order, F.lit(1), F.col("keep")), lambda s: s["n"]))
     fresh = F.array_except(distinct_draws(F.lit(draws), nodes, draws, *named(seed, "fill")), F.col("source"))
     rows = rows.withColumn("fill", F.slice(fresh, F.lit(1), F.col("source_size") - F.col("keep")))
-    return rows.withColumn("nodes", F.array_sort(F.concat("anchor", "fill"))).filter(F.size("nodes") == F.col("source_size"))
+    rows = scratch.materialize(rows.withColumn("nodes", F.array_sort(F.concat("anchor", "fill"))), "drawn")
+    return rows.filter(F.size("nodes") == F.col("source_size"))
 
 
 def half_corruption(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, tries: int = 4, seed: int = 1, draws: int = 64) -> DataFrame:
