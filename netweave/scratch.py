@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
@@ -61,10 +62,20 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _place(df: DataFrame) -> tuple[Column, Column]:
+    """The file of a row, hashed, and its place there; a column of the name ``_metadata`` does not hide them."""
+    meta = df.metadataColumn("_metadata")
+    return F.xxhash64(meta["file_path"]), meta["row_index"]
+
+
 def is_file_scan(df: DataFrame) -> bool:
-    """Whether rows of ``df`` can be named by their file and place."""
+    """Whether rows of ``df`` can be named by their file and place: it reads files, and no join, explode or the like repeats their rows."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    steps = {re.match(r"\W*(\w*)", line)[1] for line in plan.splitlines() if line.strip()}
+    if not steps <= {"Relation", "Project", "Filter", "SubqueryAlias"}:
+        return False
     try:
-        df.select("_metadata.file_path", "_metadata.row_index")
+        df.select(*_place(df))
     except AnalysisException:
         return False
     return True
@@ -80,5 +91,6 @@ def with_row_key(df: DataFrame, name: str = "__row") -> DataFrame:
 
     Rows that do not come from files are written to the shared folder first.
     """
-    key = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
-    return as_files(df).select("*", key.alias(name))
+    df = as_files(df)
+    file, row = _place(df)
+    return df.select("*", F.struct(file.alias("f"), row.alias("i")).alias(name))
