@@ -10,7 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
@@ -183,10 +183,14 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = 32 << 20, with_
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    found = ranges.select("path", "length", "begin").mapInArrow(scan, RECORDS)
-    before = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("__end", F.max("end").over(before))
-    return found.filter("__end is null or offset >= __end").drop("__end")
+    found = scratch.materialize(ranges.select("path", "length", "begin").mapInArrow(scan, RECORDS), "records")
+    # within its range a task reads record after record; only the last one of a range reaches into later ranges
+    begin = F.col("offset") - F.pmod("offset", F.lit(range_bytes).cast("long"))
+    step = F.lit(range_bytes).cast("long")
+    over = found.filter(F.col("end") > begin + step).select(F.col("path").alias("__path"), F.explode(F.sequence(begin + step, F.col("end") - 1, step)).alias("__begin"), F.col("end").alias("__end"))
+    over = over.groupBy("__path", "__begin").agg(F.max("__end").alias("__end"))
+    found = found.withColumn("__b", begin).join(over, (F.col("path") == F.col("__path")) & (F.col("__b") == F.col("__begin")), "left")
+    return found.filter("__end is null or offset >= __end").drop("__path", "__begin", "__end", "__b")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
