@@ -205,8 +205,9 @@ def _pack_round(pieces: DataFrame, groups: int, capacity: int, tag: int) -> Data
             offset[ids] = np.concatenate([[0], np.cumsum(lengths[ids])[:-1]])
         return pdf.assign(sequence_id=sequence, offset=offset).drop(columns="g")
 
-    g = F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(tag)), F.lit(groups))
-    return pieces.withColumn("g", g).groupBy("g").applyInPandas(run, PACKED)
+    # the place in the file is part of it, so rows that share an id do not share a group
+    g = F.pmod(F.xxhash64("__row.i", "doc_id", "piece", "start", F.lit(tag)), F.lit(groups))
+    return scratch.with_row_key(pieces).withColumn("g", g).drop("__row").groupBy("g").applyInPandas(run, PACKED)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group: int = 4096) -> DataFrame:
@@ -216,11 +217,12 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = 4096) -> DataFram
     group is packed by itself. A group's sequences are full but for a few; the pieces of
     sequences with room left are dealt again and packed once more.
     """
+    pieces = scratch.as_files(pieces)
     n = pieces.count()
     packed = scratch.materialize(_pack_round(pieces, max(1, -(-n // group)), capacity, 0), "packed")
     fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill")).filter(F.col("fill") < capacity * 0.98)
     loose_ids = scratch.materialize(fills.select("sequence_id"), "loose")
-    loose = packed.join(loose_ids, "sequence_id", "left_semi").drop("sequence_id", "offset")
+    loose = scratch.materialize(packed.join(loose_ids, "sequence_id", "left_semi").drop("sequence_id", "offset"), "loose_pieces")
     m = loose.count()
     again = _pack_round(loose, max(1, -(-m // group)), capacity, 1)
     return packed.join(loose_ids, "sequence_id", "left_anti").select(*again.columns).unionByName(again)
