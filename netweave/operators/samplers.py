@@ -52,6 +52,15 @@ def uniform_edges(sources: DataFrame, known: DataFrame, nodes: int, per_source:
     return first_passing(unknown(rows.filter(F.size("nodes") == F.col("want")), known))
 
 
+def with_fallback(found: DataFrame, sources: DataFrame, known: DataFrame, nodes: int, per_source: int, tries: int, seed: int, draws: int) -> DataFrame:
+    """Fill the slots that ``found`` lacks by random edges of the size; only sources that lack some are drawn for. Adds ``fallback``."""
+    found = scratch.materialize(found.withColumn("fallback", F.lit(False)), "found")
+    full = found.groupBy(F.col("source_id").alias("edge_id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= per_source)
+    short = sources.join(full, "edge_id", "left_anti")
+    other = uniform_edges(short, known, nodes, per_source, tries, seed, draws=draws).withColumn("fallback", F.lit(True))
+    return found.unionByName(other.join(found.select("source_id", "slot"), ["source_id", "slot"], "left_anti"))
+
+
 def _anchored(rows: DataFrame, keep: Column, nodes: int, draws: int, seed: int, per_attempt: bool = True) -> DataFrame:
     """Keep the source's first nodes in a seeded order and fill with drawn nodes from outside the source."""
     parts = named(seed, "keep") if per_attempt else (seed, "keep", F.col("source_id"), F.col("slot"))
@@ -95,9 +104,8 @@ def anchored_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float
 def fast_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, bound: float = 0.5, per_source: int = 1, tries: int = 4, seed: int = 1, draws: int = 64) -> DataFrame:
     """Anchored with the source bound alone; slots without a passing attempt fall back to random edges of the size."""
     rows = _anchored(attempts(sources.filter("size >= 2"), per_source, tries), anchor_size(F.col("source_size"), ratio), nodes, draws, seed)
-    found = first_passing(unknown(rows, known), set_jaccard(F.col("nodes"), F.col("source")) <= bound).withColumn("fallback", F.lit(False))
-    other = uniform_edges(sources, known, nodes, per_source, tries, seed, draws=draws).withColumn("fallback", F.lit(True))
-    return found.unionByName(other.join(found.select("source_id", "slot"), ["source_id", "slot"], "left_anti"))
+    found = first_passing(unknown(rows, known), set_jaccard(F.col("nodes"), F.col("source")) <= bound)
+    return with_fallback(found, sources, known, nodes, per_source, tries, seed, draws)
 
 
 def clique(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1, draws: int = 64, tries: int = 4) -> DataFrame:
@@ -116,9 +124,8 @@ def clique(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1
     rows = rows.withColumn("nodes", F.array_sort(F.concat(F.array_remove("source", F.col("gone")), F.array("new"))))
     rows = unknown(rows, known)
     order = F.struct(draw(seed, "gone", F.col("source_id"), F.col("slot"), F.col("gone")).alias("a"), draw(seed, "new", F.col("source_id"), F.col("slot"), F.col("new")).alias("b"), F.col("nodes"))
-    best = rows.groupBy("source_id", "slot").agg(F.min(order).alias("b")).select("source_id", "slot", "b.nodes", F.size("b.nodes").alias("size"), F.lit(0).alias("attempt"), F.lit(True).alias("accepted"), F.lit(False).alias("fallback"))
-    other = uniform_edges(sources, known, nodes, per_source, tries, seed, draws=draws).withColumn("fallback", F.lit(True))
-    return best.unionByName(other.join(best.select("source_id", "slot"), ["source_id", "slot"], "left_anti"))
+    best = rows.groupBy("source_id", "slot").agg(F.min(order).alias("b")).select("source_id", "slot", "b.nodes", F.size("b.nodes").alias("size"), F.lit(0).alias("attempt"), F.lit(True).alias("accepted"))
+    return with_fallback(best, sources, known, nodes, per_source, tries, seed, draws)
 
 
 def motif(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1, draws: int = 64, tries: int = 4) -> DataFrame:
@@ -145,9 +152,8 @@ def motif(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1,
         rows = scratch.materialize(open_.join(best, ["source_id", "slot"]).select("source_id", "slot", "source_size", F.concat("nodes", F.array("b.y")).alias("nodes")), "growing")
         done = done.unionByName(rows.filter(F.col("source_size") == k + 1))
     done = unknown(done.withColumn("nodes", F.array_sort("nodes")), known)
-    done = done.select("source_id", "slot", "nodes", F.size("nodes").alias("size"), F.lit(0).alias("attempt"), F.lit(True).alias("accepted"), F.lit(False).alias("fallback"))
-    other = uniform_edges(sources, known, nodes, per_source, tries, seed, draws=draws).withColumn("fallback", F.lit(True))
-    return done.unionByName(other.join(done.select("source_id", "slot"), ["source_id", "slot"], "left_anti"))
+    done = done.select("source_id", "slot", "nodes", F.size("nodes").alias("size"), F.lit(0).alias("attempt"), F.lit(True).alias("accepted"))
+    return with_fallback(done, sources, known, nodes, per_source, tries, seed, draws)
 
 
 def mixed(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1, draws: int = 64) -> DataFrame:

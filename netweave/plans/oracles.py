@@ -104,6 +104,23 @@ CLOSURE_OF = """
 pc AS (SELECT c.id, p.x, p.y FROM (SELECT id, unnest(nodes) AS x, nodes FROM c) p0 JOIN c USING (id) CROSS JOIN LATERAL (SELECT p0.x AS x, unnest(c.nodes) AS y) p WHERE p.x < p.y),
 cl AS (SELECT id, avg(ln(1.0::DOUBLE + coalesce(support, 0))) AS clo FROM pc LEFT JOIN su USING (x, y) GROUP BY id)"""
 
+#: The nodes that the anchors' neighbours propose, with the risks of each anchor and one of them: nr(edge_id, node_id, support, place, need, clo, res).
+NODE_RISKS = f"""{BASE}, {SETS}, {RESIDUAL},
+ao AS (SELECT edge_id, node_id, size, {ANCHOR.replace('source_size', 'size')} AS keep,
+              row_number() OVER (PARTITION BY edge_id ORDER BY {rnd("'1'", "'keep'", "edge_id", "0", "node_id")}, node_id) AS r FROM inc JOIN st USING (edge_id) WHERE size >= 2),
+ak AS (SELECT edge_id, node_id AS v, size - keep AS need FROM ao WHERE r <= keep),
+ab AS (SELECT x, y, support AS w FROM su UNION ALL SELECT y, x, support FROM su),
+a32 AS (SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS r FROM ab) WHERE r <= 32),
+fo AS (SELECT edge_id, y AS node_id, any_value(need) AS need, count(*) AS support FROM ak JOIN a32 ON a32.x = ak.v GROUP BY edge_id, y),
+fx AS (SELECT fo.* FROM fo ANTI JOIN inc ON inc.edge_id = fo.edge_id AND inc.node_id = fo.node_id),
+fy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY support DESC, node_id) AS place FROM fx) WHERE place <= 16),
+mb AS (SELECT fy.edge_id, fy.node_id, ak.v FROM fy JOIN ak USING (edge_id) UNION ALL SELECT edge_id, node_id, node_id FROM fy),
+mp AS (SELECT a.edge_id, a.node_id, a.v AS x, b.v AS y FROM mb a JOIN mb b ON a.edge_id = b.edge_id AND a.node_id = b.node_id AND a.v < b.v),
+me AS (SELECT mp.edge_id, mp.node_id, coalesce(support, 0) AS support, tot.x * a.d * b.d / (tot.t * (tot.t - 1)) AS e
+       FROM mp LEFT JOIN su USING (x, y) JOIN deg a ON a.node_id = mp.x JOIN deg b ON b.node_id = mp.y CROSS JOIN tot),
+mr AS (SELECT edge_id, node_id, avg(ln(1.0::DOUBLE + support)) AS clo, avg(CASE WHEN support <= e THEN 0 ELSE ln(1 + (support - e) / sqrt(e + 1e-9)) END) AS res FROM me GROUP BY edge_id, node_id),
+nr AS (SELECT fy.*, clo, res FROM fy JOIN mr USING (edge_id, node_id))"""
+
 SPLIT = f"""{INC}, {SETS},
 ds AS (SELECT nodes, min(edge_id) AS edge_id, any_value(size) AS size FROM st WHERE size >= 2 GROUP BY nodes),
 od AS (SELECT *, row_number() OVER (ORDER BY {rnd("'1'", "'split'", "edge_id")}, edge_id) - 1 AS place, count(*) OVER () AS n FROM ds),
@@ -258,6 +275,19 @@ ne AS (SELECT DISTINCT a.node_id AS x, b.node_id AS y FROM inc a JOIN inc b ON a
 ms AS (SELECT a.edge_id, a.node_id, count(*) AS c FROM inc a JOIN inc b ON a.edge_id = b.edge_id AND a.node_id <> b.node_id JOIN ne ON ne.x = a.node_id AND ne.y = b.node_id GROUP BY a.edge_id, a.node_id),
 mx AS (SELECT edge_id, max(c) AS c FROM ms GROUP BY edge_id)
 SELECT st.edge_id, coalesce(c, 0) >= size - 1 AS is_star FROM st LEFT JOIN mx USING (edge_id)""",
+    "anchor_node_risks": f"WITH {NODE_RISKS} SELECT edge_id AS source_id, node_id, support, place, round(clo::DOUBLE, 6) AS closure, round(res::DOUBLE, 6) AS residual FROM nr",
+    "risk_aware_pool": f"""WITH {NODE_RISKS},
+rk AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY round(clo + res, 9), node_id) AS rank FROM nr)
+SELECT edge_id AS source_id, node_id, round(round(clo + res, 9)::DOUBLE, 6) AS risk, rank FROM rk WHERE rank <= 2 * need""",
+    "residual_safe_pool": f"""WITH {NODE_RISKS},
+q AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY clo, node_id) AS r, floor(0.25 * (count(*) OVER (PARTITION BY edge_id) - 1)) + 1 AS pos FROM nr),
+t AS (SELECT *, max(CASE WHEN r = pos THEN clo END) OVER w AS target, greatest(max(clo) OVER w, 1e-9) AS cs, greatest(0.5, max(res) OVER w) AS rs FROM q WINDOW w AS (PARTITION BY edge_id)),
+dd AS (SELECT *, round((abs(clo - target) / cs + res / rs)::DOUBLE, 9) AS distance FROM t),
+rk AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY distance, round(clo, 9) DESC, node_id) AS rank FROM dd)
+SELECT edge_id AS source_id, node_id, round(distance, 6) AS distance, rank FROM rk WHERE rank <= 2 * need""",
+    "proposal_diagnostics": """WITH p AS (SELECT list_transform(a.embedding, lambda x: x::DOUBLE) AS a, list_transform(b.embedding, lambda x: x::DOUBLE) AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+n AS (SELECT list_inner_product(a, b) AS ab, sqrt(list_inner_product(a, a)) AS na, sqrt(list_inner_product(b, b)) AS nb FROM p)
+SELECT count(*) AS pairs, round(avg(CASE WHEN na * nb = 0 THEN 0 ELSE ab / (na * nb) END)::DOUBLE, 6) AS cosine, round(avg(na)::DOUBLE, 6) AS norm, round(avg(nb)::DOUBLE, 6) AS proposal_norm FROM n""",
     "replacement_pool_topk": f"""WITH {BASE},
 ab AS (SELECT x, y, support AS w FROM su UNION ALL SELECT y, x, support FROM su),
 nr AS (SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS r FROM ab) WHERE r <= 16),

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.functions import edge_key, set_jaccard, uniform
-from netweave.operators import calibration, indexes, losses, metrics, propagation, risks, samplers, selection
+from netweave.functions import cosine, dot, edge_key, set_jaccard, uniform
+from netweave.operators import calibration, indexes, losses, metrics, propagation, proposals, risks, samplers, selection
 from netweave.plans import oracles
 from netweave.session import table
 from netweave.sources import hyperedges as H
@@ -154,6 +154,49 @@ def motif(spark, d):
     return listed(samplers.motif(s.filter("split = 'test'"), s.filter("split = 'train'"), parts_count(spark, d)).select("source_id", "slot", "nodes", "fallback"))
 
 
+def star_negatives(spark, d):
+    e = edges(spark, d)
+    return listed(proposals.star_negatives(e, e, parts_count(spark, d)).select("source_id", "slot", "nodes", "fallback"))
+
+
+def node_risks(spark, d):
+    e = edges(spark, d)
+    return proposals.node_risks(proposals.anchor_pool(e, e), e)
+
+
+def anchor_node_risks(spark, d):
+    return r6(node_risks(spark, d).select("source_id", "node_id", "support", "place", "closure", "residual"), "closure", "residual")
+
+
+def risk_aware_pool(spark, d):
+    return r6(proposals.risk_aware_pool(node_risks(spark, d)).select("source_id", "node_id", "risk", "rank"), "risk")
+
+
+def residual_safe_pool(spark, d):
+    return r6(proposals.residual_safe_pool(node_risks(spark, d)).select("source_id", "node_id", "distance", "rank"), "distance")
+
+
+def diffusion_mixed(spark, d):
+    return listed(proposals.diffusion_mixed(node_risks(spark, d), edges(spark, d)))
+
+
+def boundary_guided(spark, d):
+    """Guided by a stand-in score of each set, a named draw; a model's scores take its place."""
+    e = edges(spark, d)
+    scorer = lambda rows: rows.withColumn("score", F.round(uniform("model", edge_key(F.col("nodes"))), 6))
+    out = proposals.boundary_guided(e, e, parts_count(spark, d), scorer, {"nearest": 0.3, "closure": 0.35}, multipliers={"nearest": 0.1, "closure": 0.1})
+    return r6(listed(out.drop("size")), "risk", "nearest", "closure")
+
+
+def proposal_diagnostics(spark, d):
+    """Each vector as a proposal for the one before it: mean cosine and norms."""
+    v = table(spark, d, "embeddings")
+    pairs = v.select("vec_id", F.col("embedding").alias("a")).join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    out = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.avg(cosine(F.col("a"), F.col("b"))).alias("cosine"), F.avg(norm("a")).alias("norm"), F.avg(norm("b")).alias("proposal_norm"))
+    return r6(out, "cosine", "norm", "proposal_norm")
+
+
 def future_hits(spark, d):
     s = splits(spark, d)
     negatives = samplers.uniform_edges(s.filter("split = 'train' and size = 2"), s.filter("split = 'train'"), parts_count(spark, d))
@@ -374,6 +417,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sampler_mixed": mixed,
         "sampler_risk_controlled": risk_controlled,
         "sampler_diagnostics": risk_controlled_near,
+        "sampler_star": star_negatives,
+        "anchor_node_risks": anchor_node_risks,
+        "risk_aware_pool": risk_aware_pool,
+        "residual_safe_pool": residual_safe_pool,
+        "sampler_diffusion_mixed": diffusion_mixed,
+        "sampler_boundary_guided": boundary_guided,
+        "proposal_diagnostics": proposal_diagnostics,
         "future_positive_hits": future_hits,
         "negative_quality": negative_quality,
         "zscore_local": _z("local_zscore"),
