@@ -72,7 +72,7 @@ def is_file_scan(df: DataFrame) -> bool:
     """Whether rows of ``df`` can be named by their file and place: it reads files, and no join, explode or the like repeats their rows."""
     plan = df._jdf.queryExecution().analyzed().toString()
     steps = {re.match(r"\W*(\w*)", line)[1] for line in plan.splitlines() if line.strip()}
-    if not steps <= {"Relation", "Project", "Filter", "SubqueryAlias"}:
+    if not steps <= {"Relation", "Project", "Filter", "SubqueryAlias", "ResolvedHint"}:
         return False
     try:
         df.select(*_place(df))
