@@ -12,7 +12,9 @@ WINDOW = 8
 
 
 def base_counts(rows: DataFrame) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of the column ``__text``.
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and __lines of the column ``__text``, and its ``copy``.
+
+    ``copy`` is the hash of the text without white space, equal for exact copies.
 
     Words in repeated windows: windows are hashed to 64 bits; only in texts with an equal pair are
     they sorted, each with its place, and the places of windows with an equal neighbour summed up
@@ -40,10 +42,12 @@ def base_counts(rows: DataFrame) -> DataFrame:
     p = F.col("__p")
     spans = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
     covered = F.aggregate(spans, F.lit(0), lambda a, x: a + x)
+    bare = F.regexp_replace(text, f"{SPACE}+", "")
     return rows.select(
         "*",
         n.cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace(text, f"{SPACE}+", "")).cast("long").alias("word_chars"),
+        F.char_length(bare).cast("long").alias("word_chars"),
+        F.xxhash64(bare).alias("copy"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -61,6 +65,7 @@ def judge(
     max_repeat_percent: int = 30,
     min_docs: int = 5,
     min_share: float = 0.02,
+    many_docs: int = 1000,
     min_left: float = 0.5,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -69,10 +74,10 @@ def judge(
     """Judge each row: base counts, base_failed, kept, and the code points of its lines before and after.
 
     A line (normalised, hashed) is above the limits of its host if at least ``min_docs`` distinct
-    documents of the host have it and these are at least ``min_share`` of the host's documents.
+    documents of the host have it, and these are at least ``min_share`` of the host's documents or ``many_docs``.
     Such lines are removed, and a document with less than ``min_left`` of its line text left is rejected.
 
-    Documents count as distinct by their longest line: copies that share their main text are one
+    Documents count as distinct by their whole text without white space: exact copies are one
     document, so copying does not turn a clean text's lines into boilerplate. Counts go through
     (host, line, document) with map-side combine, so a line that a third of all rows has is
     spread over many tasks before it meets in one number.
@@ -80,17 +85,17 @@ def judge(
     Null text counts as empty and fails the base rules; null hosts form one host. Repeated rows
     are judged alike. An empty table gives no rows.
     """
-    lengths = F.transform("__lines", lambda x: F.struct(F.char_length(x).alias("n"), x.alias("x")))
     rows = scratch.with_row_key(docs).select("__row", col(id_col).alias("doc_id"), col(host_col).cast("string").alias("host"), text_of(text_col).alias("__text"))
-    rows = base_counts(rows).withColumn("main", F.xxhash64(F.array_max(lengths)["x"]))
+    rows = base_counts(rows)
     normal = F.transform("__lines", lambda x: normal_line(x))
     rows = rows.withColumn("lines", F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), F.char_length(x).alias("chars"))))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     rows = scratch.materialize(rows.withColumn("base_failed", failed).drop("__text", "__lines"), "judged")
-    lines = rows.select("__row", "host", "main", F.explode("lines").alias("l")).select("__row", "host", "main", "l.line", "l.chars")
-    counts = lines.groupBy("host", "line").agg(F.countDistinct("main").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    hosts = rows.filter("main is not null").groupBy(F.col("host").alias("h")).agg(F.countDistinct("main").alias("host_docs"))
-    limits = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n_docs") >= F.col("host_docs") * F.lit(min_share))
+    lines = rows.select("__row", "host", "copy", F.explode("lines").alias("l")).select("__row", "host", "copy", "l.line", "l.chars")
+    counts = lines.groupBy("host", "line").agg(F.countDistinct("copy").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    hosts = rows.filter(F.size("lines") > 0).groupBy(F.col("host").alias("h")).agg(F.countDistinct("copy").alias("host_docs"))
+    above = (F.col("n_docs") >= F.col("host_docs") * F.lit(min_share)) | (F.col("n_docs") >= many_docs)
+    limits = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(above)
     limits = scratch.materialize(limits.select(F.col("host").alias("h"), F.col("line").alias("frequent")), "frequent_lines")
     removed = lines.join(limits, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("frequent")))
     removed = removed.groupBy("__row").agg(F.sum("chars").alias("removed_chars")).withColumnRenamed("__row", "__r")

@@ -128,6 +128,26 @@ def test_quality_line_limits(spark):
     assert kept == {i for i, *_ in rows if not 100 <= i < 200}
 
 
+def test_quality_shared_line_is_longest(spark):
+    r = random.Random(2)
+    shared = "we use cookies to give you the best experience and by going on you accept all of them on this site or leave it through the door at the left"
+    rows = [(i, shared + "\n" + prose(r, 12), "en", "a") for i in range(30)]
+    rows += [(100 + i, "\n".join(prose(r, 30) for _ in range(4)), "en", "a") for i in range(20)]
+    rows += [(200 + i, prose(r, 9) + "\n" + rows[30][1], "en", "b") for i in range(4)]  # too few documents
+    rows += [(300 + i, shared + "\n" + rows[30][1][:20], "en", "c") for i in range(40)]  # copies are one document
+    got = {x.doc_id: x for x in quality.judge(docs_of(spark, rows)).collect()}
+    assert {i for i, x in got.items() if x.kept} == {i for i, *_ in rows if i >= 100}
+    assert all((got[i].removed_chars > 0) == (i < 100) for i in got)
+
+
+def test_quality_absolute_limit(spark):
+    r = random.Random(3)
+    rows = [(i, ("all rights reserved by the owner of this page\n" if i < 6 else "") + prose(r, 30), "en", "a") for i in range(400)]
+    got = {x.doc_id: x.removed_chars > 0 for x in quality.judge(docs_of(spark, rows), many_docs=6).collect()}
+    assert got == {i: i < 6 for i in range(400)}
+    assert not any(x.removed_chars for x in quality.judge(docs_of(spark, rows), many_docs=7).collect())
+
+
 def test_warc_round_trip(spark, rows):
     pages = spark.createDataFrame([(i, f"http://x/{i}\r\n" if i else None, t) for i, t, *_ in rows], "page_id long, url string, html string")
     nested = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n").decode("latin-1")
