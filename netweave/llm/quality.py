@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,13 @@ def judge(
     Null text counts as empty and fails the base rules; null hosts form one host. Repeated rows
     are judged alike. An empty table gives no rows.
     """
+    return _judged(docs, min_words, max_repeat_percent, min_docs, min_share, many_docs, min_left, id_col, text_col, host_col).drop("frequent")
+
+
+def _judged(
+    docs: DataFrame, min_words: int, max_repeat_percent: int, min_docs: int, min_share: float, many_docs: int, min_left: float, id_col: str, text_col: str, host_col: str
+) -> DataFrame:
+    """``judge`` with the hashes of each row's lines above the limits, ``frequent``; null if it has none."""
     rows = scratch.with_row_key(docs).select("__row", col(id_col).alias("doc_id"), col(host_col).cast("string").alias("host"), text_of(text_col).alias("__text"))
     rows = base_counts(rows)
     normal = F.transform("__lines", lambda x: normal_line(x))
@@ -98,22 +107,38 @@ def judge(
     limits = counts.join(hosts, F.col("host").eqNullSafe(F.col("h"))).filter(above)
     limits = scratch.materialize(limits.select(F.col("host").alias("h"), F.col("line").alias("frequent")), "frequent_lines")
     removed = lines.join(limits, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("frequent")))
-    removed = removed.groupBy("__row").agg(F.sum("chars").alias("removed_chars")).withColumnRenamed("__row", "__r")
+    removed = removed.groupBy("__row").agg(F.sum("chars").alias("removed_chars"), F.collect_set("line").alias("frequent")).withColumnRenamed("__row", "__r")
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     out = rows.withColumn("line_chars", total).join(removed, F.col("__row") == F.col("__r"), "left")
     out = out.withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0).cast("long")))
     depleted = F.col("line_chars") - F.col("removed_chars") < F.col("line_chars") * F.lit(min_left)
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select(
-        "__row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "removed_chars"
+        "__row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "removed_chars", "frequent"
     )
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged."""
+def without_lines(text: Column, frequent: Column) -> Column:
+    """The text without the lines of these hashes; blank lines stay, and a text without such lines is unchanged."""
+    left = F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(frequent, F.xxhash64(normal_line(x)))))
+    return F.when(frequent.isNull(), text).otherwise(F.array_join(left, "\n"))
+
+
+def keep_good(docs: DataFrame, chars_col: str = "n_chars", **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, their text without the lines above the limits.
+
+    ``chars_col``, if ``docs`` has it, is set to the code points of a text that lost lines.
+    """
     docs = scratch.as_files(docs)
-    good = judge(docs, **options).filter("kept").select(F.col("__row").alias("__good"))
+    given = inspect.signature(judge).bind(docs, **options)
+    given.apply_defaults()
+    text_col = given.arguments["text_col"]
+    good = _judged(*given.args).filter("kept").select(F.col("__row").alias("__good"), F.col("frequent").alias("__frequent"))
     rows = scratch.with_row_key(docs)
-    return rows.join(good, rows["__row"] == good["__good"], "left_semi").drop("__row")
+    rows = rows.join(good, rows["__row"] == good["__good"]).withColumn("__clean", without_lines(text_of(text_col), F.col("__frequent")))
+    cut = F.col("__frequent").isNotNull()
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = {text_col: F.col("__clean"), chars_col: F.char_length("__clean")}
+    return rows.select(*[(F.when(cut, new[c].cast(kinds[c])).otherwise(col(c)).alias(c) if c in new else col(c)) for c in docs.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,24 @@ def test_quality_absolute_limit(spark):
     assert not any(x.removed_chars for x in quality.judge(docs_of(spark, rows), many_docs=7).collect())
 
 
+def test_quality_removes_lines(spark):
+    r = random.Random(5)
+    body = lambda: [prose(r, 30) for _ in range(3)]
+    shared = ["Sign up for offer 12 today", "sign up  for OFFER 98 today", "all of our pages in one list"]
+    texts, wanted = {}, {}
+    for i in range(20):
+        lines = body()
+        texts[i] = "\n".join([shared[i % 2], lines[0], "", lines[1], shared[2], " \t", lines[2], shared[i % 2], ""])
+        wanted[i] = "\n".join([lines[0], "", lines[1], " \t", lines[2], ""])
+    same = body()
+    for i in (50, 51):  # another host's pages: the same body, and lines that only host a has often
+        texts[i] = wanted[i] = "\n".join([*same, shared[2]])
+    d = docs_of(spark, [(i, t, "en", "b" if i in (50, 51) else "a") for i, t in texts.items()])
+    kept = quality.keep_good(d)
+    assert kept.schema == d.schema
+    assert {x.doc_id: (x.text, x.n_chars) for x in kept.collect()} == {i: (t, len(t)) for i, t in wanted.items()}
+
+
 def test_warc_round_trip(spark, rows):
     pages = spark.createDataFrame([(i, f"http://x/{i}\r\n" if i else None, t) for i, t, *_ in rows], "page_id long, url string, html string")
     nested = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n").decode("latin-1")
