@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +28,24 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+#: Letters of Latin-1 that lower to one such letter, then ASCII marks: the tokenizer splits between the two.
+PLAIN = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` one after another."""
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return flat[np.repeat(shift, lengths) + np.arange(lengths.sum())]
+
+
 class WordEncoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes.
+    """Token ids of whole texts.
 
-    The tokenizer drops white space and splits words at it, so a text's ids are those of its
-    words in turn; words seen before come from a table of the first ``entries`` words. A full stop
-    or comma after a letter of Latin-1 is a token of its own. A word of such letters alone is one
-    piece for the tokenizer's model, lower-cased; any other word takes the whole tokenizer.
+    The tokenizer drops white space and splits words at it, so a text's ids are those of its words
+    in turn. Each distinct word of a call is looked up once. Words of Latin-1 letters with ASCII
+    marks behind them are looked up as two: the letters, lower-cased, are one piece for the
+    tokenizer's model, and the marks are another. Any other word takes the whole tokenizer. What has
+    been looked up is kept for later calls, up to ``entries`` parts; results do not depend on it.
     """
 
     def __init__(self, path: str, entries: int = 800_000):
@@ -40,53 +54,84 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = dict(enumerate(_byte_letters()))
         self.entries = entries
-        self.known: dict[str, bytes] = {}
-        self.marks = {m: self._whole([m])[0] for m in ".,"}
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters_only(self, word: str) -> bytes | None:
-        if not word.isalpha() or max(word) > "\xff":
-            return None
-        word = word.lower()
-        if not word.isascii():
-            word = "".join([self.letters[b] for b in word.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        others = []
-        for w in words:
-            if w[-1:] in (".", ",") and (got := self._letters_only(w[:-1])) is not None:
-                out[w] = got + self.marks[w[-1]]
-            elif (got := self._letters_only(w)) is not None:
-                out[w] = got
-            else:
-                others.append(w)
-        return out | dict(zip(others, self._whole(others)))
+        self.place: dict[str, int] = {}
+        self.ids, self.lengths = array("I"), array("q")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Append the ids of parts that are not known yet."""
+        tokenize, others = self.model.tokenize, []
+        found: dict[str, list[int]] = {}
+        for part in parts:
+            if not part.isalpha() or max(part) > "\xff" or "\xaa" in part or "\xb5" in part or "\xba" in part:
+                others.append(part)
+                continue
+            piece = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            found[part] = [t.id for t in tokenize(piece)]
+        for part, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            found[part] = e.ids
+        for part, ids in found.items():
+            self.place[part] = len(self.lengths)
+            self.ids.extend(ids)
+            self.lengths.append(len(ids))
+
+    def _rows(self, parts: pa.Array) -> np.ndarray:
+        """The place of each part in the table, new ones learnt."""
+        coded = parts.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        if new := [x for x in names if x not in self.place]:
+            self._learn(new)
+        return np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text begins and the last ends."""
+        known = len(self.lengths), len(self.ids)
+        spaced = pc.replace_substring(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), "\t", " ")
+        lists = pc.split_pattern(spaced, " ")
+        words = lists.flatten().dictionary_encode()
+        names = words.dictionary
+        split = pc.extract_regex(names, PLAIN)
+        plain = split.is_valid()
+        core = self._rows(pc.if_else(plain, pc.utf8_lower(pc.struct_field(split, "core")), names))
+        marks = self._rows(pc.if_else(plain, pc.struct_field(split, "marks"), ""))
+        ids, lengths = np.array(self.ids, np.uint32), np.array(self.lengths, np.int64)
+        starts = np.cumsum(lengths) - lengths
+        both = np.column_stack([core, marks]).ravel()
+        word_ids = gather(ids, starts[both], lengths[both])
+        sizes = lengths[core] + lengths[marks]
+        at = words.indices.to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(sizes[at])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        if len(self.lengths) > self.entries:  # the table is full: what is new served this call only
+            self.place = dict(islice(self.place.items(), known[0]))
+            del self.lengths[known[0] :], self.ids[known[1] :]
+        return gather(word_ids, (np.cumsum(sizes) - sizes)[at], sizes[at]), bounds
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\t", " ").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        words = {w for words in split for w in words}
-        new = self._learn(words - known.keys())
-        if len(known) + len(new) <= self.entries:
-            known |= new
-        else:  # the table is full: what is new serves this call only
-            known = {w: known[w] for w in words & known.keys()} | new
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+        """The ids of each text, as little-endian 32-bit bytes."""
+        ids, bounds = self.flat(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+def _chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, stop
+        at = stop
+
+
+def tokenize(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, chunk_bytes: int = 4 << 20
+) -> DataFrame:
     """Cut each document's ids, closed by ``end_id``, into pieces of at most ``capacity``.
 
     ``tokenizer`` is a path on the executors, by default the public word BPE of 49k entries. Null
-    text counts as empty and gives one piece with the end id alone. With ``with_ids`` the pieces
-    carry their ids.
+    text counts as empty and gives one piece with the end id alone. Texts are taken whole, in runs of about
+    ``chunk_bytes``; a longer text is a run of its own, so the longest bounds the memory. With
+    ``with_ids`` the pieces carry their ids.
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
@@ -94,21 +139,28 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048
         import public_tokenizers
 
         encoder = WordEncoder(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
-        tail, step = int(end_id).to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                out: list[tuple] = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids += tail
-                    for k, i in enumerate(range(0, len(ids), step)):
-                        piece = ids[i : i + step]
-                        row = (doc, k, i // 4, len(piece) // 4, zlib.crc32(piece))
-                        out.append((*row, np.frombuffer(piece, "<i4")) if with_ids else row)
-                columns = list(zip(*out))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names[: len(columns)])
+            for lo, hi in _chunks(batch.column(1), chunk_bytes):
+                docs_, texts = batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo)
+                own, bounds = encoder.flat(texts)
+                begins = bounds + np.arange(len(bounds))
+                ids = np.empty(begins[-1], "<u4")
+                ends = begins[1:] - 1
+                inside = np.ones(len(ids), bool)
+                inside[ends] = False
+                ids[inside], ids[ends] = own, end_id
+                n = -(-np.diff(begins) // capacity)
+                doc = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                a = begins[:-1][doc] + start
+                length = np.minimum(begins[1:][doc] - a, capacity)
+                raw = memoryview(ids.tobytes())
+                crcs = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(a.tolist(), (a + length).tolist())]
+                columns = [docs_.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(a, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return docs.select(col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -136,28 +188,37 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, rounds: int = 40) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty bins by exchanges that raise the sum of squared fills.
 
     The emptiest bin gives: each exchange between it and a fuller bin with room moves a document,
     swaps one for one, two for one or one for two so that the fuller bin gains most. The sum of
-    squares rises with each, so it ends; it stops when no fewer bins are possible.
+    squares rises with each, so it ends. It stops when no fewer bins are possible, or when every bin
+    with room has been tried in vain since the last one was emptied.
     """
+    bins = [list(b) for b in bins]
     fill = [int(sum(lengths[i] for i in b)) for b in bins]
     least = -(-sum(fill) // capacity)
     stuck: set[int] = set()
-    alive = [b for b in range(len(bins)) if bins[b]]
-    while len(alive) > least and len(stuck) < min(rounds, len(alive)):
-        giver = min((b for b in alive if b not in stuck), key=lambda b: (fill[b], b))
-        if not _empty(giver, [b for b in alive if b != giver and fill[b] < capacity], bins, fill, lengths, capacity):
+    alive = {b for b in range(len(bins)) if bins[b]}
+    open_ = {b for b in alive if fill[b] < capacity}
+    while len(alive) > least and (left := open_ - stuck):
+        giver = min(left, key=lambda b: (fill[b], b))
+        others = sorted((b for b in open_ if b != giver), key=lambda b: (-fill[b], b))
+        if sum(capacity - fill[b] for b in others) < fill[giver]:
+            break  # nor is there room for any fuller bin
+        if _empty(giver, others, bins, fill, lengths, capacity):
+            alive.remove(giver)
+            stuck.clear()
+        else:
             stuck.add(giver)
-        alive = [b for b in alive if bins[b]]
-    return [bins[b] for b in alive]
+        open_ = {b for b in open_ if bins[b] and fill[b] < capacity}
+    return [bins[b] for b in sorted(alive)]
 
 
 def _empty(giver: int, others: list[int], bins: list[list[int]], fill: list[int], lengths: np.ndarray, capacity: int) -> bool:
     """Exchange from ``giver`` into the others, fullest first, until it is empty or no exchange is left."""
-    for b in sorted(others, key=lambda b: (-fill[b], b)):
+    for b in others:
         while bins[giver] and fill[b] >= fill[giver] and (move := _best_exchange(bins[giver], bins[b], capacity - fill[b], lengths)):
             out, back = move
             gain = int(sum(lengths[i] for i in out) - sum(lengths[i] for i in back))
@@ -170,15 +231,28 @@ def _empty(giver: int, others: list[int], bins: list[list[int]], fill: list[int]
     return False
 
 
+def _choices(ids: list[int], lengths: np.ndarray) -> tuple[list, list]:
+    """One document of each length, and two of each pair of lengths, with their sums.
+
+    Documents of one length are alike here, and lengths that differ sum to the capacity at most, so there are few.
+    """
+    of: dict[int, list[int]] = {}
+    for i in ids:
+        of.setdefault(int(lengths[i]), []).append(i)
+    ones = [(n, (x[0],)) for n, x in of.items()]
+    sizes = list(of)
+    twos = [(n + m, (of[n][0], of[m][0])) for k, n in enumerate(sizes) for m in sizes[k + 1 :]]
+    return ones, twos + [(2 * n, (x[0], x[1])) for n, x in of.items() if len(x) > 1]
+
+
 def _best_exchange(give: list[int], take: list[int], room: int, lengths: np.ndarray) -> tuple[tuple, tuple] | None:
     """Documents out of ``give`` and back out of ``take`` whose difference is largest, above 0 and at most ``room``."""
     if room <= 0:
         return None
-    ones = lambda ids: [(int(lengths[i]), (i,)) for i in ids]
-    twos = lambda ids: [(int(lengths[i] + lengths[j]), (i, j)) for x, i in enumerate(ids[:48]) for j in ids[x + 1 : 48]]
+    give1, give2 = _choices(give, lengths)
+    take1, take2 = _choices(take, lengths)
     best, found = 0, None
-    give1, take1 = ones(give), ones(take)
-    for outs, backs in ((give1, [(0, ())]), (give1, take1), (twos(give), take1), (give1, twos(take))):
+    for outs, backs in ((give1, [(0, ())]), (give1, take1), (give2, take1), (give1, take2)):
         if not outs or not backs:
             continue
         a, b = np.array([x for x, _ in outs]), np.array([x for x, _ in backs])
@@ -215,17 +289,25 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = 4096) -> DataFram
 
     Pieces are dealt by hash into groups of about ``group``, whatever the number of rows, and each
     group is packed by itself. A group's sequences are full but for a few; the pieces of
-    sequences with room left are dealt again and packed once more.
+    sequences with room left are dealt again and packed once more, and again as long as that
+    saves sequences and they are too many for one group.
     """
-    pieces = scratch.as_files(pieces)
+    pieces = scratch.as_files(pieces.select(*[c.split()[0] for c in PIECES.split(", ")]))
     n = pieces.count()
     packed = scratch.materialize(_pack_round(pieces, max(1, -(-n // group)), capacity, 0), "packed")
-    fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill")).filter(F.col("fill") < capacity * 0.98)
-    loose_ids = scratch.materialize(fills.select("sequence_id"), "loose")
-    loose = scratch.materialize(packed.join(loose_ids, "sequence_id", "left_semi").drop("sequence_id", "offset"), "loose_pieces")
-    m = loose.count()
-    again = _pack_round(loose, max(1, -(-m // group)), capacity, 1)
-    return packed.join(loose_ids, "sequence_id", "left_anti").select(*again.columns).unionByName(again)
+    done, round_ = None, 0
+    while True:
+        fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count(F.lit(1)).alias("n")).filter("fill < %d" % capacity)
+        loose_ids = scratch.materialize(fills, "loose")
+        before, m = loose_ids.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        ids = loose_ids.select("sequence_id")
+        full = packed.join(ids, "sequence_id", "left_anti").select(*packed.columns)
+        done = full if done is None else done.unionByName(full)
+        loose = scratch.materialize(packed.join(ids, "sequence_id", "left_semi").drop("sequence_id", "offset"), "loose_pieces")
+        round_ += 1
+        packed = scratch.materialize(_pack_round(loose, max(1, -(-m // group)), capacity, round_), "packed")
+        if m <= group or packed.agg(F.countDistinct("sequence_id")).first()[0] >= before:
+            return done.unionByName(packed.select(*done.columns))
 
 
 def assemble(pieces_with_ids: DataFrame, packed: DataFrame) -> DataFrame:
@@ -238,7 +320,10 @@ def assemble(pieces_with_ids: DataFrame, packed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = 2048, group: int = 4096, **options) -> DataFrame:
     """Tokenize and pack: PIECES plus sequence_id and offset (gapless from 0 in each sequence).
 
-    A repeated row is packed as often as it comes. An empty table gives no rows.
+    A repeated row is packed as often as it comes. A null id stays null. Texts of more than
+    ``capacity`` ids become several pieces, whatever their length. Of pieces of equal length any may
+    come first: which one is decided by id, piece and digest, so reruns agree. Further columns of
+    ``docs`` are not read. An empty table gives no rows.
     """
     return pack(scratch.materialize(tokenize(docs, capacity=capacity, **options), "pieces"), capacity, group)
 
