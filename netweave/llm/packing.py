@@ -196,74 +196,89 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     squares rises with each, so it ends. It stops when no fewer bins are possible, or when every bin
     with room has been tried in vain since the last one was emptied.
     """
+    size = lengths.tolist()
     bins = [list(b) for b in bins]
-    fill = [int(sum(lengths[i] for i in b)) for b in bins]
+    fill = [sum(size[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
-    stuck: set[int] = set()
+    choices: dict[int, tuple] = {}
     alive = {b for b in range(len(bins)) if bins[b]}
-    open_ = {b for b in alive if fill[b] < capacity}
-    while len(alive) > least and (left := open_ - stuck):
-        giver = min(left, key=lambda b: (fill[b], b))
-        others = sorted((b for b in open_ if b != giver), key=lambda b: (-fill[b], b))
-        if sum(capacity - fill[b] for b in others) < fill[giver]:
+    untried = {b for b in alive if fill[b] < capacity}
+    room = sum(capacity - fill[b] for b in alive)
+    while len(alive) > least and untried:
+        giver = min(untried, key=lambda b: (fill[b], b))
+        if room - (capacity - fill[giver]) < fill[giver]:
             break  # nor is there room for any fuller bin
-        if _empty(giver, others, bins, fill, lengths, capacity):
+        others = sorted((b for b in alive if b != giver and fill[giver] <= fill[b] < capacity), key=lambda b: (-fill[b], b))
+        untried.remove(giver)
+        if _empty(giver, others, bins, fill, size, capacity, choices):
             alive.remove(giver)
-            stuck.clear()
-        else:
-            stuck.add(giver)
-        open_ = {b for b in open_ if bins[b] and fill[b] < capacity}
+            room -= capacity
+            untried = set(alive)
+        untried = {b for b in untried if bins[b] and fill[b] < capacity}
     return [bins[b] for b in sorted(alive)]
 
 
-def _empty(giver: int, others: list[int], bins: list[list[int]], fill: list[int], lengths: np.ndarray, capacity: int) -> bool:
-    """Exchange from ``giver`` into the others, fullest first, until it is empty or no exchange is left."""
-    for b in others:
-        while bins[giver] and fill[b] >= fill[giver] and (move := _best_exchange(bins[giver], bins[b], capacity - fill[b], lengths)):
-            out, back = move
-            gain = int(sum(lengths[i] for i in out) - sum(lengths[i] for i in back))
-            bins[giver] = [i for i in bins[giver] if i not in out] + list(back)
-            bins[b] = [i for i in bins[b] if i not in back] + list(out)
-            fill[b] += gain
-            fill[giver] -= gain
-        if not bins[giver]:
-            return True
-    return False
-
-
-def _choices(ids: list[int], lengths: np.ndarray) -> tuple[list, list]:
-    """One document of each length, and two of each pair of lengths, with their sums.
+def _empty(giver: int, others: list[int], bins: list[list[int]], fill: list[int], size: list[int], capacity: int, choices: dict[int, tuple]) -> bool:
+    """Exchange from ``giver`` into the others, fullest first and as often as each gains, until it is empty or no exchange is left."""
+    while bins[giver] and others:
+        for k in (giver, *others):
+            if k not in choices:
+                choices[k] = _choices(bins[k], size)
+        move = _first_exchange(choices[giver], [choices[b] for b in others], np.array([capacity - fill[b] for b in others]))
+        if move is None:
+            return False
+        at, gain, out, back = move
+        b, others = others[at], others[at:]
+        bins[giver] = [i for i in bins[giver] if i not in out] + list(back)
+        bins[b] = [i for i in bins[b] if i not in back] + list(out)
+        fill[b] += gain
+        fill[giver] -= gain
+        del choices[giver], choices[b]
+        if fill[b] == capacity:
+            others = others[1:]
+    return not bins[giver]
+
+
+def _choices(ids: list[int], size: list[int]) -> tuple:
+    """Sums in ascending order and what makes them: of one document of each length, and of two of each pair of lengths.
 
     Documents of one length are alike here, and lengths that differ sum to the capacity at most, so there are few.
     """
     of: dict[int, list[int]] = {}
     for i in ids:
-        of.setdefault(int(lengths[i]), []).append(i)
-    ones = [(n, (x[0],)) for n, x in of.items()]
-    sizes = list(of)
-    twos = [(n + m, (of[n][0], of[m][0])) for k, n in enumerate(sizes) for m in sizes[k + 1 :]]
-    return ones, twos + [(2 * n, (x[0], x[1])) for n, x in of.items() if len(x) > 1]
-
-
-def _best_exchange(give: list[int], take: list[int], room: int, lengths: np.ndarray) -> tuple[tuple, tuple] | None:
-    """Documents out of ``give`` and back out of ``take`` whose difference is largest, above 0 and at most ``room``."""
-    if room <= 0:
-        return None
-    give1, give2 = _choices(give, lengths)
-    take1, take2 = _choices(take, lengths)
-    best, found = 0, None
-    for outs, backs in ((give1, [(0, ())]), (give1, take1), (give2, take1), (give1, take2)):
-        if not outs or not backs:
+        of.setdefault(size[i], []).append(i)
+    kinds = sorted(of)
+    ones = [(n, (of[n][0],)) for n in kinds]
+    twos = [(n + m, (of[n][0], of[m][0])) for k, n in enumerate(kinds) for m in kinds[k + 1 :]] + [(2 * n, tuple(x[:2])) for n, x in of.items() if len(x) > 1]
+    twos.sort()
+    sums = lambda c: np.array([n for n, _ in c], np.int64)
+    return ones, sums(ones), twos, sums(twos)
+
+
+def _first_exchange(give: tuple, takes: list[tuple], rooms: np.ndarray) -> tuple[int, int, tuple, tuple] | None:
+    """The first of the other bins that gains by an exchange: its place, its largest gain, above 0 and at most its room, what goes there and what comes back."""
+    found: list[tuple] = []
+    ones, twos = [t[1] for t in takes], [t[3] for t in takes]
+    nothing = [np.zeros(1, np.int64)] * len(takes)
+    for kind, ((outs, a), backs) in enumerate(((give[:2], nothing), (give[:2], ones), (give[2:], ones), (give[:2], twos))):
+        counts = np.array([len(b) for b in backs])
+        if not outs or not counts.any():
             continue
-        a, b = np.array([x for x, _ in outs]), np.array([x for x, _ in backs])
-        gain = a[:, None] - b[None, :]
-        gain[gain > room] = 0
-        at = int(gain.argmax())
-        if gain.flat[at] > best:
-            best, found = int(gain.flat[at]), (outs[at // len(b)][1], backs[at % len(b)][1])
-            if best == room:
-                break
-    return found
+        owner = np.repeat(np.arange(len(backs)), counts)
+        b = np.concatenate(backs)
+        at = np.searchsorted(a, b + rooms[owner], "right") - 1  # for each that may come back, the most that may go out
+        gain = np.where(at >= 0, a[at] - b, 0)
+        gains = np.flatnonzero(gain > 0)
+        if len(gains):
+            first = owner[gains[0]]
+            mine = gains[owner[gains] == first]
+            k = int(mine[gain[mine].argmax()])
+            back = () if kind == 0 else takes[first][2 if kind == 3 else 0][k - int(counts[:first].sum())][1]
+            found.append((int(first), -int(gain[k]), kind, outs[at[k]][1], back))
+    if not found:
+        return None
+    first, gain, _, out, back = min(found, key=lambda x: x[:3])
+    return first, -gain, out, back
 
 
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -281,7 +296,9 @@ def _pack_round(pieces: DataFrame, groups: int, capacity: int, tag: int) -> Data
 
     # the place in the file is part of it, so rows that share an id do not share a group
     g = F.pmod(F.xxhash64("__row.i", "doc_id", "piece", "start", F.lit(tag)), F.lit(groups))
-    return scratch.with_row_key(pieces).withColumn("g", g).drop("__row").groupBy("g").applyInPandas(run, PACKED)
+    # as many partitions as there may be groups: adaptive execution would put them into one task, as their bytes are few
+    parts = min(groups, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return scratch.with_row_key(pieces).withColumn("g", g).drop("__row").repartition(parts, "g").groupBy("g").applyInPandas(run, PACKED)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, group: int = 4096) -> DataFrame:
