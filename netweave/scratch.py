@@ -89,8 +89,10 @@ def as_files(df: DataFrame, name: str = "rows") -> DataFrame:
 def with_row_key(df: DataFrame, name: str = "__row") -> DataFrame:
     """Add a struct that names each row by its file and its place there, the same on every read.
 
-    Rows that do not come from files are written to the shared folder first.
+    Rows that do not come from files are written to the shared folder first. ``name`` must be free.
     """
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the table has a column {name}; pass another name for the row key")
     df = as_files(df)
     file, row = _place(df)
     return df.select("*", F.struct(file.alias("f"), row.alias("i")).alias(name))
