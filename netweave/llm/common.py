@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netweave import scratch
+
 #: ASCII white space: space and the code points 9 to 13.
 SPACE = r"[ \t\n\x0B\f\r]"
 WORD = r"[^ \t\n\x0B\f\r]+"
@@ -34,7 +36,25 @@ def unit_hash(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
-    """Drop the columns of the given names, whatever their case."""
-    low = {n.lower() for n in names}
-    return df.select(*[col(c) for c in df.columns if c.lower() not in low])
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The row key as ``__row`` and the given columns alone, so that no other column of ``docs`` can clash."""
+    docs = scratch.as_files(docs)
+    name = free_name(docs, "__row")
+    return scratch.with_row_key(docs, name).select(F.col(name).alias("__row"), *columns)
+
+
+def join_back(docs: DataFrame, found: DataFrame, how: str = "inner") -> tuple[DataFrame, dict[str, Column]]:
+    """``docs``, which read files, joined with ``found`` by its ``__row``; and the other columns of ``found``, by name, under names that ``docs`` does not use."""
+    names = {c: free_name(docs, f"__found_{c}") for c in found.columns}
+    key = free_name(docs, "__key")
+    right = found.select(*[col(c).alias(n) for c, n in names.items()])
+    rows = scratch.with_row_key(docs, key).join(right, F.col(key) == F.col(names["__row"]), how)
+    return rows, {c: F.col(n) for c, n in names.items()}

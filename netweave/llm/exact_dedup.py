@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import SPACE, col, text_of
+from netweave.llm.common import SPACE, col, join_back, keyed, text_of
 
 INDEX_SCHEMA = "digest string, keep_id bigint, keep_chars bigint, batch string"
 
@@ -27,19 +27,33 @@ def normalized(text: Column) -> Column:
 class DigestIndex:
     """Digests seen so far, with the row that stays for each.
 
-    The files outlive the session: opening an index at a path that holds one continues it.
-    ``buckets`` is fixed when an index is made; choose it so that a bucket fits a task.
+    The files outlive the session: opening an index at a path that holds one continues it. The number
+    of ``buckets`` is fixed and written beside the index when it is made (64 if not given; choose it so that a
+    bucket fits a task); opening it with another number raises ValueError, as digests would be
+    looked up in the wrong buckets. ``close`` takes the table out of the catalog and leaves the files.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        note = f"{path.rstrip('/')}.buckets"
+        at = spark._jvm.org.apache.hadoop.fs.Path(note)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            self.buckets = spark.read.schema("buckets int").json(note).first()[0]
+            if buckets not in (None, self.buckets):
+                raise ValueError(f"the index at {path} has {self.buckets} buckets, not {buckets}")
+        else:
+            self.buckets = int(buckets or 64)
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.json(note)
         self.table = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex[:16]}"
         if not spark.catalog.tableExists(self.table):
             spark.sql(
                 f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet "
-                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
+                f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
             )
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def entries(self) -> DataFrame:
         return self.spark.table(self.table)
 
@@ -57,15 +71,15 @@ class DigestIndex:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row key, id, code points and SHA-256 of the normalised text of each row."""
     text = text_of(text_col)
-    return scratch.with_row_key(docs).select(
-        "__row",
+    return keyed(
+        docs,
         col(id_col).alias("doc_id"),
         F.char_length(text).cast("long").alias("n_chars"),
         F.sha2(normalized(text).cast("binary"), 256).alias("digest"),
     )
 
 
-def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """Deduplicate ``docs`` against the index and among themselves, and append what is new.
 
     Returns a row for each input row: __row, doc_id, keep_id, group_size (rows of this batch with
@@ -73,13 +87,18 @@ def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     with the most code points stays, then that with the smallest id (null ids last), then the first
     by place in its file, so of repeated rows one stays. If the index has the text, none stays and
     keep_id names the indexed row. An empty table gives no rows and leaves the index as it is.
+
+    ``batch`` names the batch in the index. A job that may be run again passes the same name each
+    time: what an earlier run has appended under it counts as new again, so the result is the same
+    and nothing is appended twice. By default each call is a batch of its own.
     """
-    batch = scratch.materialize(digests(docs, id_col, text_col), "digests")
+    tag = batch or uuid.uuid4().hex
+    rows = scratch.materialize(digests(docs, id_col, text_col), "digests")
     order = F.struct(
         (-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__row").alias("r")
     )
     groups = (
-        batch.groupBy("digest")
+        rows.groupBy("digest")
         .agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
         .select(
             "digest", "group_size", F.col("best.d").alias("best_id"), F.col("best.r").alias("best_row"), (-F.col("best.c")).alias("best_chars")
@@ -87,14 +106,13 @@ def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     )
     groups = scratch.materialize(groups, "groups").repartition(index.buckets, "digest")
     fresh = groups.hint("merge").join(index.entries().select("digest").hint("merge"), "digest", "left_anti")
-    tag = uuid.uuid4().hex
     index.append(
         fresh.select("digest", F.col("best_id").cast("long").alias("keep_id"), F.col("best_chars").alias("keep_chars"), F.lit(tag).alias("batch"))
     )
     known = index.entries().select("digest", "keep_id", (F.col("batch") == tag).alias("is_new"))
     decided = scratch.materialize(groups.join(known.hint("merge"), "digest"), "decided")
     # both sides are dealt anew here, so that adaptive execution can split the rows of a hot text
-    return batch.join(decided.drop("best_id", "best_chars"), "digest").select(
+    return rows.join(decided.drop("best_id", "best_chars"), "digest").select(
         "__row",
         "doc_id",
         "keep_id",
@@ -109,18 +127,25 @@ def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     return DigestIndex(spark, scratch.new_path(spark, "digest_index"), buckets)
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is new, one for each text, with all their columns."""
+def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text is new, one for each text, with all their columns and no others; nulls, ties and repeats as in ``ingest``."""
     docs = scratch.as_files(docs)
-    out = ingest(docs, index or new_index(docs.sparkSession), id_col, text_col)
-    keep = out.filter("kept").select(F.col("__row").alias("__kept"))
-    rows = scratch.with_row_key(docs)
-    return rows.join(keep, rows["__row"] == keep["__kept"], "left_semi").drop("__row")
+    if index is None:
+        index = new_index(docs.sparkSession)
+        out = ingest(docs, index, id_col, text_col)
+        index.close()  # the result reads what was written of it
+    else:
+        out = ingest(docs, index, id_col, text_col, batch)
+    rows, _ = join_back(docs, out.filter("kept").select("__row"), "left_semi")
+    return rows.select(*[col(c) for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ingest(docs, new_index(spark)).drop("__row")
+    index = new_index(spark)
+    out = ingest(docs, index).drop("__row")
+    index.close()
+    return out
 
 
 OP9_SQL = r"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import col, text_of
+from netweave.llm.common import col, free_name, join_back, keyed, text_of
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -43,16 +43,32 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordinal(df: DataFrame, name: str, out: str, bits: int) -> DataFrame:
+def ranked(rows: DataFrame, order: list[Column | str], parts: int, name: str) -> DataFrame:
+    """Add __rank, the place of each row in the order, and __total, their number.
+
+    Range partitions are sorted and written with each row's place there; its rank is that place
+    plus the sizes of the partitions before, a table with a row per partition.
+    """
+    at = F.monotonically_increasing_id()
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = rows.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = scratch.materialize(rows, name)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    starts = starts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
+    # a row per partition, so its size is bounded by the number of partitions
+    return placed.join(F.broadcast(starts), "__part").withColumn("__rank", F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+
+
+def ordinal(df: DataFrame, name: str, out: str, bits: int, parts: int) -> DataFrame:
     """Add the place of a text column among its distinct values, scaled to 0 .. 2**bits - 1; null first.
 
     Values keep their order, so neighbouring cells hold neighbouring values. The distinct values
-    form a table of their own; adaptive execution broadcasts it where it is small enough.
+    form a table of their own, ranked by range partitions; Spark broadcasts it where it is small enough.
     """
-    values = df.groupBy(F.col(name).alias("__v")).agg(F.count(F.lit(1)).alias("__c")).drop("__c")
-    w = Window.orderBy(F.col("__v").asc_nulls_first())
-    scale = F.greatest(F.count(F.lit(1)).over(Window.partitionBy()), F.lit(1 << bits))
-    values = values.withColumn(out, F.floor((F.row_number().over(w) - 1) * F.lit(1 << bits) / scale).cast("int"))
+    values = ranked(df.select(F.col(name).alias("__v")).distinct(), [F.col("__v").asc_nulls_first()], parts, "values")
+    scale = F.greatest(F.col("__total"), F.lit(1 << bits))
+    values = scratch.materialize(values.select("__v", F.floor(F.col("__rank") * F.lit(1 << bits) / scale).cast("int").alias(out)), "cells")
     return df.join(values, F.col(name).eqNullSafe(F.col("__v"))).drop("__v")
 
 
@@ -73,11 +89,13 @@ def curve_runs(
     several partitions, as the row key is part of the order.
 
     Returns __row, doc_id, size (bytes of the text plus 8; null text has none), text_crc32, cell
-    coordinates, curve, shard, slot. With fewer rows than shards, the last shards stay empty.
+    coordinates, curve, shard, slot. With fewer rows than shards, some shards stay empty; an empty
+    table gives no rows. Null ids come first in a cell, null sources and languages have cells of
+    their own, and repeated rows stand side by side in the order of their row keys.
     """
     text = text_of(text_col).cast("binary")
-    rows = scratch.with_row_key(docs).select(
-        "__row",
+    rows = keyed(
+        docs,
         col(id_col).alias("doc_id"),
         col(source_col).cast("string").alias("__source"),
         col(lang_col).cast("string").alias("__lang"),
@@ -85,7 +103,8 @@ def curve_runs(
         F.crc32(text).alias("text_crc32"),
     )
     rows = scratch.materialize(rows, "sizes")
-    rows = ordinal(ordinal(rows, "__source", "source_cell", bits), "__lang", "lang_cell", bits)
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = ordinal(ordinal(rows, "__source", "source_cell", bits, parts), "__lang", "lang_cell", bits, parts)
     rows = rows.withColumn("size_cell", log_cell(F.col("size"), bits))
 
     @F.pandas_udf("long")
@@ -93,34 +112,27 @@ def curve_runs(
         return pd.Series(hilbert_index(np.column_stack([a, b, c]), bits))
 
     rows = rows.withColumn("curve", curve("source_cell", "lang_cell", "size_cell"))
-    order = ["curve", "text_crc32", "doc_id", "__row"]
-    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    at = F.monotonically_increasing_id()
-    sorted_rows = sorted_rows.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND(F.lit((1 << 33) - 1)))
-    placed = scratch.materialize(sorted_rows, "placed")
-    w = Window.orderBy("__part")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    starts = starts.select(
-        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("__total")
-    )
-    # a row per partition, so its size is bounded by the number of partitions
-    ranked = placed.join(F.broadcast(starts), "__part").withColumn("__rank", F.col("__start") + F.col("__at"))
+    rows = ranked(rows, ["curve", "text_crc32", "doc_id", "__row"], parts, "placed")
     shard = F.expr(f"(__rank * {shards}) div __total")
     first = F.expr(f"(shard * __total + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard.cast("int")).select(
+    return rows.withColumn("shard", shard.cast("int")).select(
         "__row", "doc_id", "size", "text_crc32", "source_cell", "lang_cell", "size_cell", "curve", "shard", (F.col("__rank") - first).cast("long").alias("slot")
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, **options) -> None:
-    """Write ``docs`` as one folder per shard, each sorted along the curve, for pruning by several columns."""
+    """Write ``docs`` as one folder ``shard=N`` per shard, each file a run along the curve, for pruning by several columns.
+
+    A shard is written by as many tasks as its share of the rows, in range pieces. A column of
+    ``docs`` that is named shard is kept as shard_.
+    """
     docs = scratch.as_files(docs)
-    runs = curve_runs(docs, shards, **options).select(F.col("__row").alias("__r"), "shard", "slot")
-    rows = scratch.with_row_key(docs)
-    rows = rows.join(runs, rows["__row"] == runs["__r"]).drop("__row", "__r")
-    rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    rows, got = join_back(docs, curve_runs(docs, shards, **options).select("__row", "shard", "slot"))
+    names = [(c if c.lower() != "shard" else free_name(docs, "shard")) for c in docs.columns]
+    slot = free_name(docs.select(*[col(c).alias(n) for c, n in zip(docs.columns, names)]), "__slot")
+    rows = rows.select(*[col(c).alias(n) for c, n in zip(docs.columns, names)], got["shard"].alias("shard"), got["slot"].alias(slot))
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(parts, "shard", slot).sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").parquet(path)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import col, n_words, text_of, unit_hash
+from netweave.llm.common import col, free_name, join_back, keyed, n_words, text_of, unit_hash
 
-#: Hash ranges per source: the seeded order within a source is cut into these, so that no task sorts a whole source.
-RANGES = 1 << 16
+#: Bits of the seeded order that a step looks at: a step's windows hold at most 2**STEP rows of a source.
+STEP = 12
 
 
 def water_fill(sources: DataFrame, total: Column, max_epochs: float) -> DataFrame:
@@ -36,6 +36,58 @@ def water_fill(sources: DataFrame, total: Column, max_epochs: float) -> DataFram
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
+def _place(seed: int, id_col: str) -> list[Column]:
+    """The seeded order of rows, most significant part first: by the hash of the id, then by that of the row's place in the input."""
+    h = unit_hash(F.lit(str(seed)), F.coalesce(col(id_col).cast("string"), F.lit("")))
+    return [F.shiftright(h, 52 - STEP).alias("k0"), F.shiftright(h, 52 - 2 * STEP).bitwiseAND(F.lit((1 << STEP) - 1)).alias("k1"), h.alias("k2")]
+
+
+def _plan(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their sizes and places; each source's target, whole times and the place where its rest is reached; and the rows there that are taken."""
+    rows = keyed(docs, col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), n_words(text_of(text_col)).alias("size"), *_place(seed, id_col))
+    p = F.xxhash64("__row.f", "__row.i")
+    rows = scratch.materialize(rows.select("*", F.shiftrightunsigned(p, 64 - STEP).alias("k3"), p.alias("k4")), "sizes")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    place = (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1) % F.lit(len(weights))
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), place.cast("int") + 1)
+    total = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share))
+    targets = water_fill(sources.withColumn("weight", weight), total, max_epochs).drop("weight")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    targets = targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    # one row per source from here on: the place, part by part, in which the running size passes the rest
+    cut = scratch.materialize(targets.withColumn("before", F.lit(0).cast("long")), "targets")
+    for k in range(4):
+        at = [f"k{i}" for i in range(k)]
+        inside = rows if not k else _of_source(rows, cut.filter("rest > 0").select(F.col("source").alias("s"), *[F.col(c).alias(f"c{c}") for c in at]), at)
+        sums = inside.groupBy("source", f"k{k}").agg(F.sum("size").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("source").orderBy(f"k{k}"))
+        sums = sums.select(F.col("source").alias("s"), F.col(f"k{k}"), "n", (upto - F.col("n")).alias("b"))
+        passed = cut.join(sums, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("before") + F.col("b") <= F.col("rest")) & (F.col("before") + F.col("b") + F.col("n") > F.col("rest")))
+        passed = passed.filter("rest > 0").select(F.col("source").alias("s"), f"k{k}", F.col("b").alias("more"))
+        cut = cut.join(passed, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("before", F.col("before") + F.coalesce("more", F.lit(0))).drop("more")
+        cut = scratch.materialize(cut, "cut")
+    at = ["k0", "k1", "k2", "k3"]
+    edge = _of_source(rows, cut.filter("rest > 0").select(F.col("source").alias("s"), "before", "rest", *[F.col(c).alias(f"c{c}") for c in at]), at)
+    order = Window.partitionBy("source").orderBy("k4", "doc_id", "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2.0
+    edge = scratch.materialize(edge.withColumn("taken_here", upto <= F.col("rest")).filter("taken_here").select("__row"), "edge")
+    return rows, cut, edge
+
+
+def _of_source(rows: DataFrame, cut: DataFrame, at: list[str]) -> DataFrame:
+    """The rows at their source's place, as far as the parts ``at`` tell it."""
+    same = F.col("source").eqNullSafe(F.col("s"))
+    for c in at:
+        same = same & (F.col(c) == F.col(f"c{c}"))
+    return rows.join(cut, same).drop("s", *[f"c{c}" for c in at])
+
+
+def _repeats(parts: list[Column], cut: list[Column], whole: Column, rest: Column, at_edge: Column) -> Column:
+    """How often a row is taken: whole times, and once more if it stands before its source's place or is taken there."""
+    before = F.struct(*parts) < F.struct(*cut)
+    return whole + F.when(rest > 0, (F.coalesce(before, F.lit(False)) | at_edge).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3.0, 1.0, 2.0),
@@ -50,52 +102,35 @@ def mix(
 
     Sources get the weights in turn, by code point, null last. Each row is taken whole
     floor(target / source_size) times; what is left of the target is filled with rows in a seeded
-    order, to the nearest row. The order is cut into hash ranges: their sizes are summed per source,
-    and only the rows of the range in which the target is reached are ordered one by one.
-    Null text has size 0 and is never taken a second time for its size; a source whose texts are all
-    empty has target 0. Rows of equal id and size are interchangeable. An empty table gives no rows.
+    order, to the nearest row. The order goes by the hash of the id, then by that of the row's place
+    in the input. The place where the target is reached is found in steps of STEP bits: sums per
+    source and step, of which a window sees at most 2**STEP rows; only the rows that agree in all
+    steps are ordered one by one. So no task sorts a source, nor rows that share an id.
+
+    Null text has size 0. A source at its cap, or without words, has nothing left to fill, so no
+    row, empty ones included, is repeated beyond the whole times. Null ids share a hash and are told
+    apart by place, as are repeated rows. An empty table gives no rows.
     """
-    key = F.coalesce(col(id_col).cast("string"), F.lit(""))
-    h = unit_hash(F.lit(str(seed)), key)
-    rows = scratch.materialize(
-        scratch.with_row_key(docs).select(
-            "__row", col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), n_words(text_of(text_col)).alias("size"), h.alias("h")
-        ),
-        "sizes",
-    ).withColumn("range", (F.col("h") / F.lit(float((1 << 52) // RANGES))).cast("int"))
-    ranges = scratch.materialize(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
-    sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    place = (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1) % F.lit(len(weights))
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), place.cast("int") + 1)
-    sources = sources.withColumn("weight", weight)
-    total = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(share))
-    targets = water_fill(sources, total, max_epochs).drop("weight")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    targets = targets.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = scratch.materialize(targets, "targets").withColumnRenamed("source", "s")
-    by_range = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("range_size").over(by_range), F.lit(0)))
-    ranges = ranges.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # a range is taken (1), left out (0) or holds the place where the target is reached (null)
-    part = F.when(F.col("before") + F.col("range_size") <= F.col("rest"), 1).when(F.col("before") > F.col("rest"), 0)
-    ranges = scratch.materialize(ranges.withColumn("part", part), "decided").withColumnRenamed("source", "s").withColumnRenamed("range", "r")
-    rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
-    edge = Window.partitionBy("source", "range").orderBy("h", F.col("doc_id"), "size", "__row").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = rows.filter("part is null").withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(edge), F.lit(0)) + F.col("size") / 2.0)
-    at_edge = at_edge.withColumn("part", F.when(F.col("upto") <= F.col("rest"), 1).otherwise(0)).drop("upto")
-    out = rows.filter("part is not null").unionByName(at_edge)
-    return out.select(
-        "__row", "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("part")).alias("repeats"), ((F.col("whole") + F.col("part")) * F.col("size")).alias("taken")
-    )
+    rows, cut, edge = _plan(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
+    at = ["k0", "k1", "k2", "k3"]
+    cut = cut.select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", *[F.col(c).alias(f"c{c}") for c in at])
+    out = rows.join(cut, F.col("source").eqNullSafe(F.col("s"))).join(edge.select(F.col("__row").alias("__edge")), F.col("__row") == F.col("__edge"), "left")
+    repeats = _repeats([F.col(c) for c in at], [F.col(f"c{c}") for c in at], F.col("whole"), F.col("rest"), F.col("__edge").isNotNull())
+    out = out.withColumn("repeats", repeats)
+    return out.select("__row", "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
+    """The rows of ``docs``, each as often as ``mix`` takes it, with all their columns and no others.
+
+    Nulls, repeated rows and empty tables as in ``mix``; a row that is taken no time is left out.
+    """
     docs = scratch.as_files(docs)
-    times = mix(docs, **options).filter("repeats > 0").select(F.col("__row").alias("__taken"), F.col("repeats").alias("__times"))
-    rows = scratch.with_row_key(docs)
-    out = rows.join(times, rows["__row"] == times["__taken"]).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-    return out.drop("__row", "__taken", "__times", "__n")
+    times = mix(docs, **options).filter("repeats > 0").select("__row", "repeats")
+    rows, got = join_back(docs, times)
+    n = free_name(docs, "__n")
+    rows = rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), got["repeats"])))
+    return rows.select(*[col(c) for c in docs.columns])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,5 +164,5 @@ o AS (
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
            + d.size / 2.0::DOUBLE AS upto
   FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
-SELECT doc_id, size, source_size, target, (whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END) * size AS taken FROM o
+SELECT doc_id, size, source_size, target, (whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END) * size AS taken FROM o
 """

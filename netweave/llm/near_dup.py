@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import col, text_of, words_of
+from netweave.llm.common import col, join_back, keyed, text_of, words_of
 from netweave.llm.components import components
 
 SHINGLE = 5
@@ -253,8 +253,7 @@ def near_duplicates(
     docs = scratch.as_files(docs)
     text = F.lower(text_of(text_col))
     hashes = F.transform(words_of(text), lambda w: F.xxhash64(w)).alias("words")
-    keyed = scratch.with_row_key(docs)
-    rows = keyed.select("__row.f", "__row.i", col(id_col).cast("long").alias("doc_id"), hashes)
+    rows = keyed(docs, col(id_col).cast("long").alias("doc_id"), hashes).select("__row.f", "__row.i", "doc_id", "words")
     length = prefix_length(threshold, recall)
     feats = scratch.materialize(rows.mapInArrow(_features(length), FEATURES), "features")
     some = feats.filter("n_shingles > 0")
@@ -279,7 +278,7 @@ def near_duplicates(
     chunks = F.ceil(F.greatest(F.col("m") / F.lit(block), F.col("s") * 8 / F.lit(block_bytes))).cast("long")
     members = members.join(sizes, F.col("group") == F.col("__g")).select("text_id", "at", "group", chunks.alias("chunks"))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("text_id"), F.col("chunks")))
-    texts_of = keyed.select(F.col("__row").alias("__r"), text_of(text_col).alias("__text"))
+    texts_of = keyed(docs, text_of(text_col).alias("__text")).withColumnRenamed("__row", "__r")
     # both sides grow with the input, so the plan is the same at every size
     sets = texts_of.join(members.hint("merge"), F.col("__r") == F.col("at")).select(
         "group", "text_id", "chunk", "chunks", F.transform(words_of(F.lower("__text")), lambda w: F.xxhash64(w)).alias("words")
@@ -308,10 +307,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     docs = scratch.as_files(docs)
     found = scratch.materialize(near_duplicates(docs, **options).select("__row", "doc_id", "root"), "classed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__row").alias("r"))
-    first = found.filter("root is not null").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.r").alias("__keep"))
-    keep = first.unionByName(found.filter("root is null").select(F.col("__row").alias("__keep")))
-    rows = scratch.with_row_key(docs)
-    return rows.join(keep, rows["__row"] == keep["__keep"], "left_semi").drop("__row")
+    first = found.filter("root is not null").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.r").alias("__row"))
+    rows, _ = join_back(docs, first.unionByName(found.filter("root is null").select("__row")), "left_semi")
+    return rows.select(*[col(c) for c in docs.columns])
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

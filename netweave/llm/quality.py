@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import SPACE, WORD, col, text_of, words_of
+from netweave.llm.common import SPACE, WORD, col, join_back, keyed, text_of, words_of
 
 WINDOW = 8
 
@@ -94,7 +94,7 @@ def _judged(
     docs: DataFrame, min_words: int, max_repeat_percent: int, min_docs: int, min_share: float, many_docs: int, min_left: float, id_col: str, text_col: str, host_col: str
 ) -> DataFrame:
     """``judge`` with the hashes of each row's lines above the limits, ``frequent``; null if it has none."""
-    rows = scratch.with_row_key(docs).select("__row", col(id_col).alias("doc_id"), col(host_col).cast("string").alias("host"), text_of(text_col).alias("__text"))
+    rows = keyed(docs, col(id_col).alias("doc_id"), col(host_col).cast("string").alias("host"), text_of(text_col).alias("__text"))
     rows = base_counts(rows)
     normal = F.transform("__lines", lambda x: normal_line(x))
     rows = rows.withColumn("lines", F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), F.char_length(x).alias("chars"))))
@@ -126,18 +126,18 @@ def without_lines(text: Column, frequent: Column) -> Column:
 def keep_good(docs: DataFrame, chars_col: str = "n_chars", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, their text without the lines above the limits.
 
-    ``chars_col``, if ``docs`` has it, is set to the code points of a text that lost lines.
+    ``chars_col``, if ``docs`` has it, is set to the code points of a text that lost lines. Null and
+    empty texts fail the base rules and go, null hosts are one host, repeated rows stay as often as
+    they come, and an empty table gives none. Columns keep their names and order, whatever they are.
     """
     docs = scratch.as_files(docs)
     given = inspect.signature(judge).bind(docs, **options)
     given.apply_defaults()
     text_col = given.arguments["text_col"]
-    good = _judged(*given.args).filter("kept").select(F.col("__row").alias("__good"), F.col("frequent").alias("__frequent"))
-    rows = scratch.with_row_key(docs)
-    rows = rows.join(good, rows["__row"] == good["__good"]).withColumn("__clean", without_lines(text_of(text_col), F.col("__frequent")))
-    cut = F.col("__frequent").isNotNull()
+    rows, got = join_back(docs, _judged(*given.args).filter("kept").select("__row", "frequent"))
+    cut, clean = got["frequent"].isNotNull(), without_lines(text_of(text_col), got["frequent"])
     kinds = {f.name: f.dataType for f in docs.schema}
-    new = {text_col: F.col("__clean"), chars_col: F.char_length("__clean")}
+    new = {text_col: clean, chars_col: F.char_length(clean)}
     return rows.select(*[(F.when(cut, new[c].cast(kinds[c])).otherwise(col(c)).alias(c) if c in new else col(c)) for c in docs.columns])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import col, text_of, words_of
+from netweave.llm.common import col, join_back, keyed, text_of, words_of
 
 #: A run of at least 12 token characters with a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
@@ -28,7 +28,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates once; starts are running sums of the pieces.
     """
     text = F.col("__text")
-    rows = scratch.with_row_key(docs).select("__row", col(id_col).alias("doc_id"), col(path_col).cast("string").alias("path"), text_of(text_col).alias("__text"))
+    rows = keyed(docs, col(id_col).alias("doc_id"), col(path_col).cast("string").alias("path"), text_of(text_col).alias("__text"))
     rows = rows.select("*", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("__m")).filter(F.size("__m") > 0)
     rows = rows.select("__row", "doc_id", "path", "__m", F.split("__text", CANDIDATE).alias("__p"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
@@ -161,15 +161,14 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """``docs`` with the values of the findings replaced, rows without findings unchanged."""
     docs = scratch.as_files(docs)
-    spans = findings.filter("is_secret").groupBy(F.col("__row").alias("__r")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    rows = scratch.with_row_key(docs)
-    rows = rows.join(spans, rows["__row"] == spans["__r"], "left")
+    spans = findings.filter("is_secret").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    rows, got = join_back(docs, spans, "left")
     text = col(text_col)
     begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     take = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
     step = lambda acc, s: F.struct((s["start"] + s["length"]).alias("at"), F.concat(acc["out"], take(acc["at"], s["start"] - acc["at"]), F.lit(mark)).alias("out"))
-    done = F.aggregate("__spans", begin, step)
-    clean = F.when(F.col("__spans").isNull(), text).otherwise(F.concat(done["out"], take(done["at"], F.char_length(text) - done["at"])))
+    done = F.aggregate(got["spans"], begin, step)
+    clean = F.when(got["spans"].isNull(), text).otherwise(F.concat(done["out"], take(done["at"], F.char_length(text) - done["at"])))
     return rows.select(*[(clean.alias(c) if c == text_col else col(c)) for c in docs.columns])
 
 

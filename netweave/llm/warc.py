@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import col, text_of
+from netweave.llm.common import col, keyed, text_of
 
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of nothing; like any member of under 16 MB it ends in a zero byte.
@@ -56,13 +56,15 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "p
     Of rows with equal payloads of at least ``min_bytes``, the smallest id is the response and the
     others are revisits of it; null html is an empty payload. Rows that repeat the smallest id and
     its payload are responses too, and a null id is smallest only where there is no other. The
-    payloads move once, by row key, so equal payloads do not meet in one task.
+    payloads move once, by row key, so equal payloads do not meet in one task. Further columns are
+    not read. An empty table writes no record, and reading it back gives no rows. A payload is one
+    member whatever its length, so the longest bounds the memory of a task.
 
     The bytes go through Spark's text writer and its commit protocol, so a task that is run twice
     leaves one file: the line separator is the zero byte that ends each member.
     """
     pages = scratch.as_files(pages)
-    rows = scratch.with_row_key(pages).select("__row", col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"), text_of(html_col).cast("binary").alias("payload"))
+    rows = keyed(pages, col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url"), text_of(html_col).cast("binary").alias("payload"))
     keys = scratch.materialize(rows.filter(F.octet_length("payload") >= min_bytes).select("__row", "page_id", F.sha1("payload").alias("digest")), "payload_digests")
     groups = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = keys.join(groups, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("__row").alias("__r"), "first", F.lit(True).alias("revisit"))
