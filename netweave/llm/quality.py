@@ -157,15 +157,14 @@ rep AS (SELECT k, sum(s)::BIGINT AS n_repeat_words FROM span GROUP BY k),
 b AS (
   SELECT w.k, doc_id, source, lines, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         list_max(list_transform(lines, lambda x: {'n': length(x), 'x': x})).x AS main
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS copy
   FROM w LEFT JOIN rep USING (k)),
 l AS (
-  SELECT k, source, main, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
-  FROM (SELECT k, source, main, unnest(lines) AS x FROM b)),
-c AS (SELECT source, line, count(DISTINCT main) AS n_docs FROM l GROUP BY source, line HAVING count(DISTINCT main) >= 5),
-h AS (SELECT source, count(DISTINCT main) AS host_docs FROM b WHERE main IS NOT NULL GROUP BY source),
-f AS (SELECT c.source, line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n_docs >= host_docs * 0.02::DOUBLE),
+  SELECT k, source, copy, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
+  FROM (SELECT k, source, copy, unnest(lines) AS x FROM b)),
+c AS (SELECT source, line, count(DISTINCT copy) AS n_docs FROM l GROUP BY source, line HAVING count(DISTINCT copy) >= 5),
+h AS (SELECT source, count(DISTINCT copy) AS host_docs FROM b WHERE len(lines) > 0 GROUP BY source),
+f AS (SELECT c.source, line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source WHERE n_docs >= host_docs * 0.02::DOUBLE OR n_docs >= 1000),
 r AS (
   SELECT l.k, sum(length(l.line))::BIGINT AS line_chars,
          coalesce(sum(length(l.line)) FILTER (WHERE f.line IS NOT NULL), 0)::BIGINT AS removed_chars
