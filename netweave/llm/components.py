@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from netweave import scratch
 
 
+#: Parts into which the arcs of each node are dealt, so that a hub's arcs do not meet in one task.
+SALTS = 16
+
+
 def _to_min(directed: DataFrame) -> DataFrame:
-    """(u, v, m): each arc with the least of its tail and the tail's heads. Partial minima keep a hub's arcs from meeting in one task."""
+    """(u, v, m): each arc with the least of its tail and the tail's heads.
+
+    Minima are taken in each task first and then copied to every part of the node's arcs.
+    """
     least = directed.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-    return directed.join(least, F.col("u") == F.col("n")).select("u", "v", F.least("u", "m").alias("m"))
+    least = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    arcs = directed.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return arcs.join(least, (F.col("u") == F.col("n")) & (F.col("salt") == F.col("part"))).select("u", "v", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -74,7 +74,7 @@ def prefix_keys(sigs: np.ndarray, length: int) -> np.ndarray:
     return _mix(keys).view(np.int64)
 
 
-FEATURES = "f long, i long, doc_id long, key binary, n_shingles long, sketch binary, keys array<long>, deep array<long>"
+FEATURES = "f long, i long, doc_id long, key binary, n_shingles long, sketch binary, keys array<long>"
 
 
 def _features(length: int):
@@ -88,10 +88,10 @@ def _features(length: int):
             if not sigs:
                 continue
             sigs = np.array(sigs)
-            lists = [pa.ListArray.from_arrays(np.arange(0, (len(sigs) + 1) * TREES, TREES, dtype=np.int32), prefix_keys(sigs, k).ravel()) for k in (length, DEPTH)]
+            lists = pa.ListArray.from_arrays(np.arange(0, (len(sigs) + 1) * TREES, TREES, dtype=np.int32), prefix_keys(sigs, length).ravel())
             sketch = [x.tobytes() for x in sigs.astype(np.uint8)]
-            columns = [*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketch, pa.binary()), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["f", "i", "doc_id", "key", "n_shingles", "sketch", "keys", "deep"])
+            columns = [*batch.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sketch, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["f", "i", "doc_id", "key", "n_shingles", "sketch", "keys"])
 
     return run
 
@@ -239,8 +239,9 @@ def near_duplicates(
        match in a trie is shortened until the recall at the threshold is met (4 values: 0.9998).
     2. Sets that share a prefix are compared by sketches of 8 bits a value, at a threshold five
        standard deviations lower; what is similar is joined by a spanning tree, not by all pairs.
-       A prefix with more sets than ``bucket`` is cut, along longer prefixes of the trie, into
-       chunks, and each pair of chunks is a unit of work of its own: no pair is left out.
+       A prefix with more sets than ``bucket`` is dealt by hash into chunks of about that
+       many, and each pair of chunks is a unit of work of its own: no pair is left out, and no
+       unit has more than about twice ``bucket`` sets, however alike they are.
     3. Connected sets form candidate groups. Within each, all pairs are verified exactly, in block
        pairs of at most ``block`` sets or ``block_bytes`` a side, that return a count for each set
        and the edges of a spanning tree. So the rows moved for a group of m sets are
@@ -259,14 +260,14 @@ def near_duplicates(
     some = feats.filter("n_shingles > 0")
     texts = some.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_copies"), F.min("doc_id").alias("copy_of"), F.min(F.struct("f", "i")).alias("at"), F.first("n_shingles").alias("n_shingles"),
-        F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.first("deep").alias("deep"),
+        F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
     )
     texts = scratch.materialize(texts.withColumn("text_id", F.monotonically_increasing_id()), "texts")
 
-    places = texts.select("text_id", F.explode(F.arrays_zip("keys", "deep")).alias("p")).select("text_id", F.col("p.keys").alias("prefix"), F.col("p.deep").alias("deep"))
+    places = texts.select("text_id", F.explode("keys").alias("prefix"))
     counts = places.groupBy(F.col("prefix").alias("__p")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = places.join(counts, F.col("prefix") == F.col("__p")).drop("__p")
-    met = met.withColumn("chunks", F.ceil(F.col("n") / F.lit(bucket)).cast("long")).withColumn("chunk", F.pmod("deep", "chunks"))
+    met = met.withColumn("chunks", F.ceil(F.col("n") / F.lit(bucket)).cast("long")).withColumn("chunk", F.pmod(F.xxhash64("text_id"), F.col("chunks")))
     met = met.join(texts.select("text_id", "sketch"), "text_id")
     units = _blocks(met, "prefix", "chunk", "chunks").select("prefix", "x", "y", "text_id", "sketch")
     lowest = threshold - 5 * (threshold * (1 - threshold) / (TREES * DEPTH)) ** 0.5
@@ -303,7 +304,11 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class the row with the smallest id, then the first in its file."""
+    """The rows of ``docs`` without near copies: of each class the row with the smallest id, then the first in its file.
+
+    Null ids come last. Rows without words are copies of none and all stay; repeated rows are copies.
+    Columns stay as they are, and an empty table gives no rows.
+    """
     docs = scratch.as_files(docs)
     found = scratch.materialize(near_duplicates(docs, **options).select("__row", "doc_id", "root"), "classed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("__row").alias("r"))
