@@ -66,10 +66,16 @@ def uniform(*parts: Column | str | int) -> Column:
     return draw(*parts) / F.lit(4294967296.0)
 
 
-def distinct_draws(count: Column, nodes: int, tries: int, *parts: Column | str | int) -> Column:
-    """The first ``count`` distinct nodes of 0 .. nodes - 1 in a sequence of draws, sorted.
+def enough_draws(want: Column, free: Column) -> Column:
+    """A number of even draws that gives ``want`` distinct of ``free`` values nearly always: twice the mean, and 32 more.
 
-    Shorter where ``tries`` draws do not give so many; size ``tries`` by the largest edge.
+    The mean is about free * ln(free / (free - want + 1)) for each value wanted; what fails is drawn anew by another attempt.
     """
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: draw(*parts, i) % F.lit(nodes))
+    free = F.greatest(free, F.lit(1)).cast("double")
+    return (2 * F.ceil(free * F.log((free + 1) / F.greatest(free - want + 1, F.lit(1.0)))) + 32).cast("int")
+
+
+def distinct_draws(count: Column, nodes: int | Column, tries: Column, *parts: Column | str | int) -> Column:
+    """The first ``count`` distinct values of 0 .. nodes - 1 in a sequence of ``tries`` draws, in the order drawn."""
+    drawn = F.transform(F.sequence(F.lit(0), tries - 1), lambda i: draw(*parts, i) % (nodes if isinstance(nodes, Column) else F.lit(nodes)))
     return F.slice(F.array_distinct(drawn), F.lit(1), count)

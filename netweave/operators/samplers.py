@@ -1,28 +1,55 @@
 """Negative samplers: source edges in, candidate edges out, every draw named by its place.
 
-A rejection loop of at most A attempts is A rows per slot; the first that passes is taken, so
-results do not depend on the order of rows, the partitioning or a retry. Output: (source_id, slot, nodes, size, attempt).
+A rejection loop is rounds of attempts over the slots that are still open; the first that passes is
+taken, so results do not depend on the order of rows, the partitioning or a retry. Output: (source_id, slot, nodes, size, attempt).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.functions import anchor_size, distinct_draws, draw, set_jaccard, uniform
+from netweave.functions import anchor_size, distinct_draws, draw, enough_draws, set_jaccard, uniform
 from netweave.operators import risks
 from netweave.operators.indexes import two_section
+from netweave.sources.hyperedges import place_of
 
 
-def attempts(sources: DataFrame, per_source: int, count: int) -> DataFrame:
-    """A row for each attempt of each slot of each source. Sources are dealt out first: drawing costs more than moving them."""
+def slots(sources: DataFrame, per_source: int) -> DataFrame:
+    """A row for each slot of each source. Sources are dealt out first: drawing costs more than moving them."""
     rows = sources.select(F.col("edge_id").alias("source_id"), F.col("nodes").alias("source"), F.col("size").alias("source_size"))
     rows = rows.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source_id")
-    rows = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per_source - 1))))
-    return rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per_source - 1))))
+
+
+def attempts(sources: DataFrame, per_source: int, count: int) -> DataFrame:
+    """A row for each attempt of each slot of each source."""
+    return slots(sources, per_source).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+
+
+def in_rounds(sources: DataFrame, per_source: int, tries: int, draw_and_pick: Callable[[DataFrame], DataFrame], needed: bool = True) -> DataFrame:
+    """The pick of each slot, drawn in rounds of 1, 4, 16, ... attempts over the slots that are still open.
+
+    As attempts are numbered and the first that passes is taken, rounds do not change what is
+    picked. With ``needed``, raises RuntimeError if a slot is open after ``tries`` attempts.
+    """
+    open_, done, low, width = slots(sources, per_source), None, 0, 1
+    while True:
+        high = min(tries, low + width)
+        rows = open_.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        found = scratch.materialize(draw_and_pick(rows), "found")
+        done = found if done is None else done.unionByName(found)
+        open_ = scratch.materialize(open_.join(found.select("source_id", "slot"), ["source_id", "slot"], "left_anti"), "open_slots")
+        left = open_.count()
+        low, width = high, 4 * width
+        if not left or low >= tries:
+            break
+    if left and needed:
+        raise RuntimeError(f"{left} slots found no edge in {tries} attempts")
+    return done
 
 
 def named(seed: int, stream: str) -> tuple:
@@ -43,45 +70,57 @@ def first_passing(rows: DataFrame, passes: Column | None = None, otherwise: Colu
     return best.select("source_id", "slot", "b.nodes", F.size("b.nodes").alias("size"), F.col("b.r.c").alias("attempt"), F.col("b.ok").alias("accepted"))
 
 
-def uniform_edges(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, tries: int = 4, seed: int = 1, low: int = 0, high: int = 0, draws: int = 64) -> DataFrame:
-    """Random edges: of the source's size, or of a random size from ``low`` to ``high`` where given."""
-    rows = attempts(sources, per_source, tries)
+def uniform_edges(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, tries: int = 100, seed: int = 1, low: int = 0, high: int = 0) -> DataFrame:
+    """Random edges: of the source's size, or of a random size from ``low`` to ``high`` where given. Fills every slot or raises."""
     size = F.col("source_size") if not high else (draw(*named(seed, "size")) % F.lit(high - low + 1) + low).cast("int")
-    rows = rows.withColumn("want", size).withColumn("nodes", F.array_sort(distinct_draws(F.col("want"), nodes, draws, *named(seed, "node"))))
-    rows = scratch.materialize(rows, "drawn")  # else the filters below would draw again
-    return first_passing(unknown(rows.filter(F.size("nodes") == F.col("want")), known))
 
+    def drawn(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("want", size)
+        rows = rows.withColumn("nodes", F.array_sort(distinct_draws(F.col("want"), nodes, enough_draws(F.col("want"), F.lit(nodes)), *named(seed, "node"))))
+        rows = scratch.materialize(rows, "drawn")  # else the filters below would draw again
+        return first_passing(unknown(rows.filter(F.size("nodes") == F.col("want")), known))
+
+    return in_rounds(sources, per_source, tries, drawn)
 
-def with_fallback(found: DataFrame, sources: DataFrame, known: DataFrame, nodes: int, per_source: int, tries: int, seed: int, draws: int) -> DataFrame:
+
+def with_fallback(found: DataFrame, sources: DataFrame, known: DataFrame, nodes: int, per_source: int, tries: int, seed: int) -> DataFrame:
     """Fill the slots that ``found`` lacks by random edges of the size; only sources that lack some are drawn for. Adds ``fallback``."""
     found = scratch.materialize(found.withColumn("fallback", F.lit(False)), "found")
     full = found.groupBy(F.col("source_id").alias("edge_id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= per_source)
     short = sources.join(full, "edge_id", "left_anti")
-    other = uniform_edges(short, known, nodes, per_source, tries, seed, draws=draws).withColumn("fallback", F.lit(True))
+    other = uniform_edges(short, known, nodes, per_source, tries, seed).withColumn("fallback", F.lit(True))
     return found.unionByName(other.join(found.select("source_id", "slot"), ["source_id", "slot"], "left_anti"))
 
 
-def _anchored(rows: DataFrame, keep: Column, nodes: int, draws: int, seed: int, per_attempt: bool = True) -> DataFrame:
+def _anchored(rows: DataFrame, keep: Column, nodes: int, seed: int, per_attempt: bool = True) -> DataFrame:
     """Keep the source's first nodes in a seeded order and fill with drawn nodes from outside the source."""
     parts = named(seed, "keep") if per_attempt else (seed, "keep", F.col("source_id"), F.col("slot"))
     order = F.array_sort(F.transform("source", lambda n: F.struct(draw(*parts, n).alias("d"), n.alias("n"))))
     rows = rows.withColumn("keep", keep).withColumn("anchor", F.transform(F.slice(order, F.lit(1), F.col("keep")), lambda s: s["n"]))
-    fresh = F.array_except(distinct_draws(F.lit(draws), nodes, draws, *named(seed, "fill")), F.col("source"))
-    rows = rows.withColumn("fill", F.slice(fresh, F.lit(1), F.col("source_size") - F.col("keep")))
+    need = F.col("source_size") - F.col("keep")
+    # the nodes outside are so large a part of all that so many more draws are needed
+    outside = F.greatest(F.lit(nodes) - F.col("source_size"), F.lit(1))
+    draws = F.ceil(enough_draws(need, outside) * F.lit(nodes) / outside).cast("int")
+    fresh = F.array_except(distinct_draws(draws, nodes, draws, *named(seed, "fill")), F.col("source"))
+    rows = rows.withColumn("fill", F.slice(fresh, F.lit(1), need))
     rows = scratch.materialize(rows.withColumn("nodes", F.array_sort(F.concat("anchor", "fill"))), "drawn")
     return rows.filter(F.size("nodes") == F.col("source_size"))
 
 
-def half_corruption(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, tries: int = 4, seed: int = 1, draws: int = 64) -> DataFrame:
-    """Half of the source's nodes, rounded up, stay."""
-    rows = _anchored(attempts(sources.filter("size >= 2"), per_source, tries), F.ceil(F.col("source_size") / 2).cast("int"), nodes, draws, seed)
-    return first_passing(unknown(rows, known))
+def half_corruption(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, tries: int = 100, seed: int = 1) -> DataFrame:
+    """Half of the source's nodes, rounded up, stay. Sources of one node have no slots; every other slot is filled, or it raises."""
+    keep = F.ceil(F.col("source_size") / 2).cast("int")
+    return in_rounds(sources.filter("size >= 2"), per_source, tries, lambda rows: first_passing(unknown(_anchored(rows, keep, nodes, seed), known)))
+
+
+def _near_source(bound: float) -> Column:
+    return set_jaccard(F.col("nodes"), F.col("source")) <= bound
 
 
-def anchored(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, bound: float = 0.75, per_source: int = 1, tries: int = 4, seed: int = 1, draws: int = 64, fixed_anchor: bool = True) -> DataFrame:
-    """An anchor of the source stays, and the result is at most ``bound`` similar to it."""
-    rows = _anchored(attempts(sources.filter("size >= 2"), per_source, tries), anchor_size(F.col("source_size"), ratio), nodes, draws, seed, not fixed_anchor)
-    return first_passing(unknown(rows, known), set_jaccard(F.col("nodes"), F.col("source")) <= bound)
+def anchored(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, bound: float = 0.75, per_source: int = 1, tries: int = 100, seed: int = 1, fixed_anchor: bool = True) -> DataFrame:
+    """An anchor of the source stays, and the result is at most ``bound`` similar to it. Fills every slot of sources with two nodes or more, or raises."""
+    keep = anchor_size(F.col("source_size"), ratio)
+    return in_rounds(sources.filter("size >= 2"), per_source, tries, lambda rows: first_passing(unknown(_anchored(rows, keep, nodes, seed, not fixed_anchor), known), _near_source(bound)))
 
 
 def _scored(rows: DataFrame, edges: DataFrame, with_risks: dict[str, Callable]) -> DataFrame:
@@ -93,22 +132,22 @@ def _scored(rows: DataFrame, edges: DataFrame, with_risks: dict[str, Callable])
     return rows
 
 
-def anchored_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, source_bound: float = 0.75, bound: float = 0.5, per_source: int = 1, tries: int = 4, seed: int = 1, draws: int = 64) -> DataFrame:
-    """Anchored, a new anchor at each attempt; the first attempt whose nearest other known edge is within ``bound``, else the least near one."""
-    rows = _anchored(attempts(sources.filter("size >= 2"), per_source, tries), anchor_size(F.col("source_size"), ratio), nodes, draws, seed)
-    rows = unknown(rows, known).filter(set_jaccard(F.col("nodes"), F.col("source")) <= source_bound)
+def anchored_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, source_bound: float = 0.75, bound: float = 0.5, per_source: int = 1, tries: int = 4, seed: int = 1) -> DataFrame:
+    """Anchored, a new anchor at each attempt; the first attempt whose nearest other known edge is within ``bound``, else the least near one of ``tries``; ``accepted`` tells them apart."""
+    rows = _anchored(attempts(sources.filter("size >= 2"), per_source, tries), anchor_size(F.col("source_size"), ratio), nodes, seed)
+    rows = unknown(rows, known).filter(_near_source(source_bound))
     rows = _scored(rows, known, {"nearest": lambda e, c: risks.nearest(e, c, F.col("source"))})
     return first_passing(rows, F.col("nearest") <= bound, F.col("nearest"))
 
 
-def fast_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, bound: float = 0.5, per_source: int = 1, tries: int = 4, seed: int = 1, draws: int = 64) -> DataFrame:
+def fast_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, bound: float = 0.5, per_source: int = 1, tries: int = 100, seed: int = 1) -> DataFrame:
     """Anchored with the source bound alone; slots without a passing attempt fall back to random edges of the size."""
-    rows = _anchored(attempts(sources.filter("size >= 2"), per_source, tries), anchor_size(F.col("source_size"), ratio), nodes, draws, seed)
-    found = first_passing(unknown(rows, known), set_jaccard(F.col("nodes"), F.col("source")) <= bound)
-    return with_fallback(found, sources, known, nodes, per_source, tries, seed, draws)
+    keep = anchor_size(F.col("source_size"), ratio)
+    found = in_rounds(sources.filter("size >= 2"), per_source, tries, lambda rows: first_passing(unknown(_anchored(rows, keep, nodes, seed), known), _near_source(bound)), needed=False)
+    return with_fallback(found, sources, known, nodes, per_source, tries, seed)
 
 
-def clique(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1, draws: int = 64, tries: int = 4) -> DataFrame:
+def clique(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1, tries: int = 100) -> DataFrame:
     """Replace a node by one that is a projected neighbour of all the others.
 
     Nodes adjacent to all or all but one of the source's nodes are counted by a join; the node to
@@ -125,19 +164,17 @@ def clique(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1
     rows = unknown(rows, known)
     order = F.struct(draw(seed, "gone", F.col("source_id"), F.col("slot"), F.col("gone")).alias("a"), draw(seed, "new", F.col("source_id"), F.col("slot"), F.col("new")).alias("b"), F.col("nodes"))
     best = rows.groupBy("source_id", "slot").agg(F.min(order).alias("b")).select("source_id", "slot", "b.nodes", F.size("b.nodes").alias("size"), F.lit(0).alias("attempt"), F.lit(True).alias("accepted"))
-    return with_fallback(best, sources, known, nodes, per_source, tries, seed, draws)
+    return with_fallback(best, sources, known, nodes, per_source, tries, seed)
 
 
-def motif(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1, draws: int = 64, tries: int = 4) -> DataFrame:
+def motif(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1, tries: int = 100) -> DataFrame:
     """Grow a connected set on the projection: a drawn start, then in each round the neighbour of the set with the least draw.
 
     One join per round; sets leave the loop when they have the source's size. Slots that get stuck
     or end at a known edge fall back to random edges.
     """
     near = scratch.materialize(two_section(known), "projection")
-    starts = near.select("x").distinct()
-    order = Window.orderBy("x")
-    starts = scratch.materialize(starts.withColumn("k", F.row_number().over(order) - 1), "starts")
+    starts = scratch.materialize(place_of(near.select("x").distinct(), ["x"], "k"), "starts")
     n = starts.count()
     rows = attempts(sources.filter("size >= 2"), per_source, 1).withColumn("k", draw(*named(seed, "start")) % F.lit(max(1, n)))
     rows = rows.join(starts, "k").select("source_id", "slot", "source_size", F.array("x").alias("nodes"))
@@ -153,16 +190,16 @@ def motif(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1,
         done = done.unionByName(rows.filter(F.col("source_size") == k + 1))
     done = unknown(done.withColumn("nodes", F.array_sort("nodes")), known)
     done = done.select("source_id", "slot", "nodes", F.size("nodes").alias("size"), F.lit(0).alias("attempt"), F.lit(True).alias("accepted"))
-    return with_fallback(done, sources, known, nodes, per_source, tries, seed, draws)
+    return with_fallback(done, sources, known, nodes, per_source, tries, seed)
 
 
-def mixed(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1, draws: int = 64) -> DataFrame:
+def mixed(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1) -> DataFrame:
     """Each slot by one of the random, motif and clique samplers, drawn evenly; adds ``kind``."""
     kinds = {"sns": uniform_edges, "mns": motif, "cns": clique}
     chosen = draw(seed, "kind", F.col("source_id"), F.col("slot")) % 3
     out = None
     for k, (name, f) in enumerate(kinds.items()):
-        part = f(sources, known, nodes, per_source=per_source, seed=seed, draws=draws).filter(chosen == k)
+        part = f(sources, known, nodes, per_source=per_source, seed=seed).filter(chosen == k)
         part = part.select("source_id", "slot", "nodes", "size", F.lit(name).alias("kind"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -170,7 +207,7 @@ def mixed(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1,
 
 def risk_controlled(
     sources: DataFrame, known: DataFrame, nodes: int, bounds: dict[str, float], budget: float | None = None, caps: dict[str, float] | None = None,
-    ratio: float = 0.25, per_source: int = 1, tries: int = 4, seed: int = 1, draws: int = 64, pool: DataFrame | None = None, pool_share: float = 0.0,
+    ratio: float = 0.25, per_source: int = 1, tries: int = 4, seed: int = 1, pool: DataFrame | None = None, pool_share: float = 0.0,
 ) -> DataFrame:
     """Anchored proposals, every attempt scored by the bounded risks; the first within all bounds (or the budget and caps), else the one of least combined risk.
 
@@ -178,7 +215,7 @@ def risk_controlled(
     source's nodes, topped up by drawn nodes. Adds the risks, score and strategy.
     """
     base = attempts(sources.filter("size >= 2"), per_source, tries)
-    rows = _anchored(base, anchor_size(F.col("source_size"), ratio), nodes, draws, seed).withColumn("strategy", F.lit("random"))
+    rows = _anchored(base, anchor_size(F.col("source_size"), ratio), nodes, seed).withColumn("strategy", F.lit("random"))
     if pool is not None and pool_share > 0:
         listed = pool.groupBy(F.col("edge_id").alias("source_id")).agg(F.sort_array(F.collect_list(F.struct("place", "node_id"))).alias("pool"))
         near = rows.join(listed, "source_id", "left").withColumn("pool", F.coalesce(F.transform("pool", lambda p: p["node_id"]), F.array().cast("array<bigint>")))

@@ -58,8 +58,8 @@ def rnd(*parts: str) -> str:
     return RANDOM.format(", ".join(parts))
 
 
-#: All sources' attempts, and draws of nodes in order: the first k distinct ones are taken by the place where they first come.
-ATTEMPTS = "att AS (SELECT st.edge_id AS source_id, nodes AS source, size AS source_size, 0 AS slot, a.attempt FROM st CROSS JOIN (SELECT unnest(range(4)) AS attempt) a)"
+#: All sources' attempts (larger sets pass within four on these tables; sets of one node are often known), and draws of nodes in order: the first k distinct ones are taken by the place where they first come.
+ATTEMPTS = "att AS (SELECT st.edge_id AS source_id, nodes AS source, size AS source_size, 0 AS slot, a.attempt FROM st CROSS JOIN (SELECT unnest(range(100)) AS attempt) a WHERE a.attempt < 4 OR size = 1)"
 KNOWN = "known AS (SELECT DISTINCT nodes FROM st)"
 
 
@@ -67,7 +67,7 @@ def uniform_edges(want: str) -> str:
     return f"""{ATTEMPTS}, {KNOWN}, {NUM},
 aw AS (SELECT *, {want} AS want FROM att),
 dw AS (SELECT source_id, attempt, want, {rnd("'1'", "'node'", "source_id", "slot", "attempt", "i")} % n AS v, i
-       FROM aw CROSS JOIN num CROSS JOIN (SELECT unnest(range(64)) AS i)),
+       FROM aw CROSS JOIN num CROSS JOIN (SELECT unnest(range(64)) AS i) WHERE i = 0 OR want > 1),
 fw AS (SELECT source_id, attempt, want, v, min(i) AS i FROM dw GROUP BY ALL),
 gw AS (SELECT *, row_number() OVER (PARTITION BY source_id, attempt ORDER BY i) AS r FROM fw),
 ue AS (SELECT source_id, attempt, list(v ORDER BY v) AS nodes FROM gw WHERE r <= want GROUP BY source_id, attempt, want HAVING count(*) = want),

@@ -15,7 +15,7 @@ def read_edge_text(spark: SparkSession, path: str, separator: str | None = None)
     A line with a part that is no integer, or with fewer than two nodes, raises when it is read.
     """
     line = F.trim("value")
-    parts = F.split(line, r"\s+" if separator is None else r"\s*" + separator.replace("|", r"\|") + r"\s*")
+    parts = F.split(line, r"\s+" if separator is None else r"\s*\Q" + separator.replace("\\E", r"\E\\E\Q") + r"\E\s*")
     nodes = canonical(F.transform(parts, lambda p: p.try_cast("bigint")))
     edge = (line != "") & ~line.startswith("#")
     rows = spark.read.text(path).filter(edge).select("value", nodes.alias("nodes"))
@@ -91,7 +91,8 @@ def degrees(incidence: DataFrame) -> DataFrame:
 
 def num_nodes(incidence: DataFrame) -> int:
     """The largest id plus one, so isolated ids count."""
-    return (incidence.agg(F.max("node_id")).first()[0] or -1) + 1
+    largest = incidence.agg(F.max("node_id")).first()[0]
+    return 0 if largest is None else largest + 1
 
 
 def communities(spark: SparkSession, nodes: int, count: int) -> DataFrame:
@@ -126,7 +127,7 @@ def normalized_features(features: DataFrame) -> DataFrame:
     return features.select("node_id", row_normalized(F.col("vec")).alias("vec"))
 
 
-def cover_aware_split(edges: DataFrame, train: float = 0.6, val: float = 0.2, seed: int = 1, rounds: int = 64) -> DataFrame:
+def cover_aware_split(edges: DataFrame, train: float = 0.6, val: float = 0.2, seed: int = 1) -> DataFrame:
     """Add split so that the train part covers every node where its share allows.
 
     Edges with a node of degree one go to train. Then rounds of a parallel greedy cover: of the
@@ -143,7 +144,7 @@ def cover_aware_split(edges: DataFrame, train: float = 0.6, val: float = 0.2, se
     if taken.count() > room:
         raise ValueError("edges with a node of their own are more than the train share")
     sizes = edges.select("edge_id", "size")
-    for _ in range(rounds):
+    while True:
         covered = inc.join(taken, "edge_id", "left_semi").select("node_id").distinct()
         open_ = inc.join(covered, "node_id", "left_anti")
         gain = open_.groupBy("edge_id").agg(F.count(F.lit(1)).alias("gain")).join(sizes, "edge_id")
@@ -153,9 +154,11 @@ def cover_aware_split(edges: DataFrame, train: float = 0.6, val: float = 0.2, se
         left = room - taken.count()
         more = votes.orderBy(F.desc("gain"), "size", "edge_id").limit(max(0, left)).select("edge_id")
         new = scratch.materialize(taken.unionByName(more), "taken")
-        if new.count() == room - left:
+        if new.count() == room - left:  # each other round takes an edge at least, so they end
             break
         taken = new
+    if inc.join(taken, "edge_id", "left_semi").select("node_id").distinct().count() < inc.select("node_id").distinct().count():
+        raise ValueError("the train share has too few edges to cover all nodes")
     order = edges.join(taken.withColumn("__t", F.lit(0)), "edge_id", "left").withColumn("__t", F.coalesce("__t", F.lit(1)))
     order = place_of(order.withColumn("__d", split_of(F.col("edge_id").cast("string"), seed)), ["__t", "__d", "edge_id"])
     split = F.when(F.col("place") < room, "train").when(F.col("place") < room + int(n * val), "val").otherwise("test")
