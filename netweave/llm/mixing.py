@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import col, free_name, join_back, keyed, n_words, text_of, unit_hash
+from netweave.llm.common import col, free_name, keyed, n_words, text_of, unit_hash
 
 #: Bits of the seeded order that a step looks at: a step's windows hold at most 2**STEP rows of a source.
 STEP = 12
@@ -37,16 +37,21 @@ def water_fill(sources: DataFrame, total: Column, max_epochs: float) -> DataFram
 
 
 def _place(seed: int, id_col: str) -> list[Column]:
-    """The seeded order of rows, most significant part first: by the hash of the id, then by that of the row's place in the input."""
+    """The parts of the seeded order that the hash of the id gives, most significant first."""
     h = unit_hash(F.lit(str(seed)), F.coalesce(col(id_col).cast("string"), F.lit("")))
     return [F.shiftright(h, 52 - STEP).alias("k0"), F.shiftright(h, 52 - 2 * STEP).bitwiseAND(F.lit((1 << STEP) - 1)).alias("k1"), h.alias("k2")]
 
 
+def _by_row(key: Column) -> list[Column]:
+    """The parts of the order that tell rows of one id apart."""
+    p = F.xxhash64(key["f"], key["i"])
+    return [F.shiftrightunsigned(p, 64 - STEP).alias("k3"), p.alias("k4")]
+
+
 def _plan(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their sizes and places; each source's target, whole times and the place where its rest is reached; and the rows there that are taken."""
     rows = keyed(docs, col(id_col).alias("doc_id"), col(source_col).cast("string").alias("source"), n_words(text_of(text_col)).alias("size"), *_place(seed, id_col))
-    p = F.xxhash64("__row.f", "__row.i")
-    rows = scratch.materialize(rows.select("*", F.shiftrightunsigned(p, 64 - STEP).alias("k3"), p.alias("k4")), "sizes")
+    rows = scratch.materialize(rows.select("*", *_by_row(F.col("__row"))), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = (F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1) % F.lit(len(weights))
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), place.cast("int") + 1)
@@ -82,10 +87,19 @@ def _of_source(rows: DataFrame, cut: DataFrame, at: list[str]) -> DataFrame:
     return rows.join(cut, same).drop("s", *[f"c{c}" for c in at])
 
 
-def _repeats(parts: list[Column], cut: list[Column], whole: Column, rest: Column, at_edge: Column) -> Column:
-    """How often a row is taken: whole times, and once more if it stands before its source's place or is taken there."""
-    before = F.struct(*parts) < F.struct(*cut)
-    return whole + F.when(rest > 0, (F.coalesce(before, F.lit(False)) | at_edge).cast("long")).otherwise(F.lit(0).cast("long"))
+def _times(rows: DataFrame, key: str, source: Column, places: list[Column], cut: DataFrame, edge: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` with repeats, target and source_size joined to them, under names that they do not use.
+
+    The joined tables have a row per source and the rows of one small step per source; Spark
+    broadcasts them where they are small enough, so that ``rows``, with their texts, stay where they are.
+    """
+    at = ["k0", "k1", "k2", "k3"]
+    n = {c: free_name(rows, f"__mix_{c}") for c in ("source", "source_size", "target", "whole", "rest", "edge", "repeats", *at)}
+    cut = cut.select(*[F.col(c).alias(n[c]) for c in ("source", "source_size", "target", "whole", "rest", *at)])
+    out = rows.join(cut, source.eqNullSafe(F.col(n["source"]))).join(edge.select(F.col("__row").alias(n["edge"])), F.col(key) == F.col(n["edge"]), "left")
+    before = F.coalesce(F.struct(*places) < F.struct(*[F.col(n[c]) for c in at]), F.lit(False))
+    once_more = F.when(F.col(n["rest"]) > 0, (before | F.col(n["edge"]).isNotNull()).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out.withColumn(n["repeats"], F.col(n["whole"]) + once_more), {k: F.col(v) for k, v in n.items()}
 
 
 def mix(
@@ -112,24 +126,33 @@ def mix(
     apart by place, as are repeated rows. An empty table gives no rows.
     """
     rows, cut, edge = _plan(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
-    at = ["k0", "k1", "k2", "k3"]
-    cut = cut.select(F.col("source").alias("s"), "source_size", "target", "whole", "rest", *[F.col(c).alias(f"c{c}") for c in at])
-    out = rows.join(cut, F.col("source").eqNullSafe(F.col("s"))).join(edge.select(F.col("__row").alias("__edge")), F.col("__row") == F.col("__edge"), "left")
-    repeats = _repeats([F.col(c) for c in at], [F.col(f"c{c}") for c in at], F.col("whole"), F.col("rest"), F.col("__edge").isNotNull())
-    out = out.withColumn("repeats", repeats)
-    return out.select("__row", "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+    out, got = _times(rows, "__row", F.col("source"), [F.col(f"k{k}") for k in range(4)], cut, edge)
+    repeats = got["repeats"]
+    return out.select("__row", "doc_id", "source", "size", got["source_size"].alias("source_size"), got["target"].alias("target"), repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
+def apply_mix(
+    docs: DataFrame,
+    weights: tuple[float, ...] = (3.0, 1.0, 2.0),
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix`` takes it, with all their columns and no others.
 
     Nulls, repeated rows and empty tables as in ``mix``; a row that is taken no time is left out.
     """
     docs = scratch.as_files(docs)
-    times = mix(docs, **options).filter("repeats > 0").select("__row", "repeats")
-    rows, got = join_back(docs, times)
-    n = free_name(docs, "__n")
-    rows = rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), got["repeats"])))
+    _, cut, edge = _plan(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
+    key = free_name(docs, "__key")
+    rows = scratch.with_row_key(docs, key)
+    places = [*_place(seed, id_col), _by_row(F.col(key))[0]]
+    rows, got = _times(rows, key, col(source_col).cast("string"), places, cut, edge)
+    n = free_name(rows, "__n")
+    rows = rows.filter(got["repeats"] > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), got["repeats"])))
     return rows.select(*[col(c) for c in docs.columns])
 
 
