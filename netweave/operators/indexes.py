@@ -44,10 +44,11 @@ def pair_support(edges: DataFrame, max_pairs: int = 0) -> DataFrame:
 
 
 def edge_triples(edges: DataFrame) -> DataFrame:
-    """(edge_id, x, y, z) with x < y < z."""
-    n = F.col("nodes")
-    inner = lambda x, i: F.flatten(F.transform(F.slice(n, i + 2, F.greatest(F.size(n) - i - 1, F.lit(0))), lambda y, j: F.transform(F.slice(n, i + j + 3, F.greatest(F.size(n) - i - j - 2, F.lit(0))), lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))
-    return edges.filter("size >= 3").select("edge_id", F.explode(F.flatten(F.transform(n, inner))).alias("t")).select("edge_id", "t.x", "t.y", "t.z")
+    """(edge_id, x, y, z) with x < y < z, listed node by node, so that no row holds all triples of an edge."""
+    after = lambda k: F.slice("nodes", F.col(k) + 2, F.greatest(F.size("nodes") - F.col(k) - 1, F.lit(0)))
+    rows = edges.filter("size >= 3").select("edge_id", "nodes", F.posexplode("nodes").alias("i", "x"))
+    rows = rows.select("edge_id", "x", after("i").alias("nodes")).select("edge_id", "x", "nodes", F.posexplode("nodes").alias("j", "y"))
+    return rows.select("edge_id", "x", "y", F.explode(after("j")).alias("z"))
 
 
 def triple_support(edges: DataFrame) -> DataFrame:

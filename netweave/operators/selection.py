@@ -145,11 +145,17 @@ def warmed_weights(start: dict[str, float], end: dict[str, float], epoch: int, w
     return {k: start.get(k, 0.0) * (1 - t) + end.get(k, 0.0) * t for k in sorted({*start, *end})}
 
 
+def batches_for(df: DataFrame, sources: int = 4096) -> int:
+    """A number of batches of about so many sources each."""
+    return max(1, -(-df.select("source_id").distinct().count() // sources))
+
+
 def source_mix(df: DataFrame, per_source: int, weights: dict[str, float], score: str, tie: str, batches: int) -> DataFrame:
     """Choose per source while keeping each label's running share near its weight.
 
     The running counts make the choice sequential; they run within batches of sources, dealt by
-    hash, so the sequence of a batch is one task's and the number of batches grows with the input.
+    hash, so the sequence of a batch is one task's. Let the number of batches grow with the input, and
+    take it from the data (``batches_for``), not from a setting of the session: the choice depends on it.
     """
     import pandas as pd
 

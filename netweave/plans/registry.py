@@ -284,8 +284,8 @@ def _slots():
 
 
 def source_mix(spark, d):
-    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return selection.source_mix(pool_items(spark, d), 2, {"A": 90.0, "N": 6.0, "R": 4.0}, "score", "item", n).select("source_id", "item", "label")
+    items = pool_items(spark, d)
+    return selection.source_mix(items, 2, {"A": 90.0, "N": 6.0, "R": 4.0}, "score", "item", selection.batches_for(items)).select("source_id", "item", "label")
 
 
 def _metric(f, *names: str):
