@@ -5,32 +5,45 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
 from netweave.llm.common import col, join_back, keyed, text_of, words_of
 
-#: A run of at least 12 token characters with a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+#: What may stand before a value: an assignment to a name that reads as a secret's, or the user of a URL.
+ASSIGNED = r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[A-Za-z0-9_-]{0,20}[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?"
+USER = r"://[^ \t\n\x0B\f\r/:@]{1,64}:"
+ASSIGNED_VALUE = r"[^ \t\n\x0B\f\r\"',;<>]{6,}"
+USER_VALUE = r"[^ \t\n\x0B\f\r/@]{3,}(?=@)"
+#: A private key; a run of at least 12 token characters with a digit, or of 20 without one, points inside long tokens included.
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{16,}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+RUN = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z+/_-]{20})(?![A-Za-z0-9_-]*(?i:pass|pwd|secret|token|key|auth|credential)[A-Za-z0-9_-]*[\"']?[ \t]{0,4}[:=])"
+    r"[A-Za-z0-9+/_-]{12,}(?:\.[A-Za-z0-9_-]{10,})*={0,2}"
+)
+CANDIDATE = f"{KEY_BLOCK}|{ASSIGNED}{ASSIGNED_VALUE}|{USER}{USER_VALUE}|{RUN}"
+#: The part of a match that is before its value.
+LEAD = f"^(?:({ASSIGNED}){ASSIGNED_VALUE}|({USER})[^ \\t\\n\\x0B\\f\\r/@]{{3,}})$"
 CONTEXT = 64
 #: Names that assign a secret, and those that assign something that only looks like one.
-SECRET_NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?$"
+SECRET_NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?([_-]?[0-9]+)?$"
 PUBLIC_NAMES = r"(?i)(commit|sha\d*|md5|crc\d*|digest|checksum|etag|uuid|guid|revision|version|id)$"
-PREFIXES = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{16,})"
 HASHED = 16
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """A row for each candidate: __row, doc_id, path, start (code points), value, before, after.
 
-    ``before`` and ``after`` are up to CONTEXT code points around it. A text is cut at its
-    candidates once; starts are running sums of the pieces.
+    Candidates are values assigned to a name that reads as a secret's (6 characters or more), passwords in
+    URLs, private keys, and long runs of token characters. ``before`` and ``after`` are up to CONTEXT code points
+    around the value, as far as the neighbouring candidates' own ends. A text is cut at its candidates once; starts are
+    running sums of the pieces.
     """
     text = F.col("__text")
     rows = keyed(docs, col(id_col).alias("doc_id"), col(path_col).cast("string").alias("path"), text_of(text_col).alias("__text"))
     rows = rows.select("*", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("__m")).filter(F.size("__m") > 0)
-    rows = rows.select("__row", "doc_id", "path", "__m", F.split("__text", CANDIDATE).alias("__p"))
+    rows = rows.select("__row", "doc_id", "path", "__m", F.split("__text", CANDIDATE, -1).alias("__p"))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, x):
@@ -39,15 +52,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     zipped = F.zip_with("__m", F.slice("__p", F.lit(1), F.size("__m")), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     starts = F.aggregate(zipped, begin, step, lambda acc: acc["starts"])
-    rows = rows.select("*", starts.alias("__s")).select("*", F.posexplode("__m").alias("k", "value"))
+    rows = rows.select("*", starts.alias("__s")).select("*", F.posexplode("__m").alias("k", "match"))
+    lead = F.concat(F.regexp_extract("match", LEAD, 1), F.regexp_extract("match", LEAD, 2))
+    rows = rows.withColumn("lead", lead)
+    beside = lambda k: F.coalesce(F.when(k >= 0, F.get("__m", F.greatest(k, F.lit(0)))), F.lit(""))
+    before = F.concat(beside(F.col("k") - 1), F.get("__p", F.col("k")), F.col("lead"))
     return rows.select(
         "__row",
         "doc_id",
         "path",
-        F.get("__s", F.col("k")).cast("long").alias("start"),
-        "value",
-        F.right(F.get("__p", F.col("k")), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("__p", F.col("k") + 1), F.lit(CONTEXT)).alias("after"),
+        (F.get("__s", F.col("k")) + F.char_length("lead")).cast("long").alias("start"),
+        F.substr("match", F.char_length("lead") + 1).alias("value"),
+        F.right(before, F.lit(CONTEXT)).alias("before"),
+        F.left(F.concat(F.get("__p", F.col("k") + 1), beside(F.col("k") + 1)), F.lit(CONTEXT)).alias("after"),
     )
 
 
@@ -103,20 +120,68 @@ def features(found: DataFrame, known_words: DataFrame) -> DataFrame:
     return found.select("__row", "doc_id", "start", "value", "name", *[c.alias(f"f{k}") for k, c in enumerate(listed)])
 
 
-def label_findings(found: DataFrame) -> DataFrame:
-    """Findings that a provider's format or the assigned name decides: adds label 1.0 or 0.0, and drops the others.
+def _shapes(h, words) -> list[tuple[float, str, Column, Column, str]]:
+    """(label, kind, lead, value, tail) of the findings that are planted, from random hex digits ``h(k)`` and words of the text."""
+    mixed = lambda k, n: F.left(F.translate(F.base64(F.unhex(h(k))), "+/=", "xYz"), F.lit(n))
+    upper = lambda k, n: F.left(F.upper(mixed(k, 64)), F.lit(n))
+    number = lambda k, n: F.left(F.translate(h(k), "abcdef", "012345"), F.lit(n))
+    word = lambda k: F.coalesce(F.get(words, F.pmod(F.xxhash64(h(k)), F.greatest(F.size(words), F.lit(1))).cast("int")), F.lit("letter"))
+    t, cat = F.lit, F.concat
+    hexes = lambda k, n: F.left(h(k), F.lit(n))
+    uuid = cat(hexes(1, 8), t("-"), hexes(2, 4), t("-4"), hexes(3, 3), t("-a"), hexes(4, 3), t("-"), hexes(5, 12))
+    return [
+        (1.0, "access id", t("use "), cat(t("AKIA"), upper(1, 16)), ""),
+        (1.0, "named hex", cat(F.element_at(F.array(t("token"), t("secret"), t("api_key")), F.pmod(F.xxhash64(h(9)), t(3)).cast("int") + 1), t(' = "')), hexes(1, 40), '"'),
+        (1.0, "named mixed", t("access_key: '"), mixed(1, 32), "'"),
+        (1.0, "password", t("password="), cat(mixed(1, 5), t("!"), mixed(2, 4)), ""),
+        (1.0, "quoted password", t('passwd: "'), cat(mixed(1, 4), t("&"), number(2, 3), mixed(3, 3)), '"'),
+        (1.0, "URL password", t("postgres://admin:"), mixed(1, 12), "@db.local/main"),
+        (1.0, "web token", t("Bearer "), cat(t("eyJ"), mixed(1, 24), t(".eyJ"), mixed(2, 30), t("."), mixed(3, 40)), ""),
+        (1.0, "prefixed", t("use "), cat(t("ghp_"), mixed(1, 36)), ""),
+        (1.0, "bare mixed", t("key "), mixed(1, 40), ""),
+        (1.0, "private key", t(""), cat(t("-----BEGIN PRIVATE KEY-----\n"), mixed(1, 42), t("\n"), mixed(2, 42), t("\n-----END PRIVATE KEY-----")), ""),
+        (0.0, "commit", cat(F.element_at(F.array(t("commit: "), t("commit "), t("sha1 = ")), F.pmod(F.xxhash64(h(9)), t(3)).cast("int") + 1)), hexes(1, 40), ""),
+        (0.0, "digest", t("sha256: "), hexes(1, 64), ""),
+        (0.0, "checksum", t('checksum = "'), hexes(1, 32), '"'),
+        (0.0, "uuid", t("id="), uuid, ""),
+        (0.0, "bare uuid", t("see "), uuid, ""),
+        (0.0, "number", t("call "), number(1, 16), ""),
+        (0.0, "slug", t("page "), cat(word(1), t("-"), word(2), t("-"), word(3), t("-"), number(4, 4)), ""),
+        (0.0, "path", t("in "), cat(t("/assets/"), word(1), t("/"), word(2), t("_"), number(3, 3)), ".png"),
+        (0.0, "words as password", t("password: "), cat(word(1), t("-"), word(2)), ""),
+        (0.0, "word as token", t("token: "), cat(word(1), word(2)), ""),
+        (0.0, "joined words", t("the "), cat(word(1), word(2), word(3), word(4), number(5, 2)), ""),
+        (0.0, "serial", t("order "), cat(t("AB-2024-"), number(1, 6), t("-"), upper(2, 3)), ""),
+    ]
+
 
-    True: known prefixes and values of secret names that mix letters and digits. False: values of
-    public names, digits alone, and values that start a word of letters. Use reviewed findings in their place where there are some.
+def planted(docs: DataFrame, max_docs: int = 600, seed: int = 7, text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """Labelled texts to learn from: __pid, text, path, value, kind, label.
+
+    Of the ``max_docs`` rows of smallest hash, a stretch of 200 code points from a random place gets, in its middle,
+    one secret or one string that only looks like one, of each kind in turn. What was planted decides the label, not how it reads.
     """
-    value, name = F.col("value"), F.col("name")
-    label = (
-        F.when(value.rlike(PREFIXES), 1.0)
-        .when(name.rlike(PUBLIC_NAMES) | value.rlike("^[0-9+/_=-]+$"), 0.0)
-        .when(name.rlike(SECRET_NAMES) & value.rlike("[A-Za-z]"), 1.0)
-        .when(value.rlike("^[A-Za-z]{6,}[0-9_-]{1,6}"), 0.0)
-    )
-    return found.withColumn("label", label).filter("label is not null")
+    text = text_of(text_col)
+    at = F.pmod(F.xxhash64(text, F.lit(seed)), F.greatest(F.char_length(text) - 200, F.lit(1))).cast("int")
+    rows = docs.select(F.substring(text, at + 1, F.lit(200)).alias("text"), col(path_col).cast("string").alias("path"))
+    rows = rows.withColumn("h", F.xxhash64("text", "path", F.lit(seed))).orderBy("h", "text", "path").limit(max_docs)
+    rows = scratch.materialize(rows.withColumn("n", F.monotonically_increasing_id()), "stretches")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.char_length(w) >= 3)
+    h = lambda k: F.sha2(F.concat_ws(":", F.lit(seed), F.col("n"), F.col("h"), F.lit(k)).cast("binary"), 256)
+    kinds = [F.struct(F.lit(label).alias("label"), F.lit(kind).alias("kind"), lead.alias("lead"), value.alias("value"), F.lit(tail).alias("tail")) for label, kind, lead, value, tail in _shapes(h, words)]
+    rows = rows.select("text", "path", F.explode(F.array(*kinds)).alias("s"))
+    whole = F.concat(F.left("text", F.lit(100)), F.lit(" "), F.col("s.lead"), F.col("s.value"), F.col("s.tail"), F.lit(" "), F.substring("text", 101, 100))
+    rows = rows.select(F.monotonically_increasing_id().alias("__pid"), whole.alias("text"), "path", "s.value", "s.kind", "s.label")
+    return scratch.materialize(rows, "planted")
+
+
+def planted_findings(docs: DataFrame, known_words: DataFrame, max_docs: int = 600, seed: int = 7, text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """The planted strings that ``candidates`` finds, with ``features``, kind and label."""
+    texts = planted(docs, max_docs, seed, text_col, path_col)
+    found = features(scratch.materialize(candidates(texts, "__pid", "text", "path"), "planted_candidates"), known_words)
+    truth = texts.select("__pid", F.col("value").alias("__value"), "kind", "label")
+    found = found.join(truth, (F.col("doc_id") == F.col("__pid")) & (F.col("value") == F.col("__value"))).drop("__pid", "__value")
+    return scratch.materialize(found, "planted_findings")
 
 
 def train(labelled: DataFrame, max_rows: int = 20_000, trees: int = 40, depth: int = 6, seed: int = 7) -> RandomForestClassificationModel | None:
@@ -144,16 +209,18 @@ def judge(found: DataFrame, model: RandomForestClassificationModel | None) -> Da
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """All candidates of all texts: __row, doc_id, start, length, value, name, score, is_secret.
 
-    ``labelled`` are findings with the columns of ``features`` and a label; by default those of
-    ``docs`` that ``label_findings`` decides. Null and empty texts have no candidates; a null path
-    is a bucket of its own; repeated rows give repeated findings. Without labels of both kinds all
-    candidates stay findings. An empty table gives no rows.
+    ``labelled`` are reviewed findings with the columns of ``features`` and a label; by default secrets and look-alikes
+    that are planted into stretches of ``docs`` (``planted``). Null and empty texts have no candidates; a null path
+    is a bucket of its own; very long texts are searched whole; repeated rows, ties included, give repeated findings. Without
+    labels of both kinds all candidates stay findings. An empty table gives no rows.
     """
     docs = scratch.as_files(docs)
     words = scratch.materialize(dictionary(docs, text_col=text_col), "dictionary")
     found = scratch.materialize(candidates(docs, id_col, text_col, path_col), "candidates")
     found = scratch.materialize(features(found, words), "findings")
-    model = train(label_findings(found) if labelled is None else labelled, max_rows)
+    if labelled is None:
+        labelled = planted_findings(docs, words, text_col=text_col, path_col=path_col)
+    model = train(labelled, max_rows)
     out = judge(found, model)
     return out.select("__row", "doc_id", "start", F.char_length("value").cast("long").alias("length"), "value", "name", "score", (F.col("score") >= threshold).alias("is_secret"))
 

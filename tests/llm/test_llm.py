@@ -219,6 +219,43 @@ def test_secrets(spark):
     assert secrets.scan(empty(table)).count() == 0
 
 
+def test_secret_shapes(spark):
+    """Short, letter-only, dotted and named-with-number secrets are candidates, at their places, with their names."""
+    values = {
+        1: ('password="Tr0ub4dor"', "Tr0ub4dor", "password"),
+        2: ("password=Tr0ub4dor&3 x", "Tr0ub4dor&3", "password"),
+        3: ("ä postgres://me:p4ss-w@host/db", "p4ss-w", ""),
+        4: ('aws_secret_access_key_2 = "abcdEFGHijkl"', "abcdEFGHijkl", None),
+        5: ("see eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4 end", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4", ""),
+        6: ("a QWERTYasdfghZXCVBNqwertyuiop b", "QWERTYasdfghZXCVBNqwertyuiop", ""),
+        7: ("-----BEGIN RSA PRIVATE KEY-----\nMIIabc123\nXYZ456abcdef\n-----END RSA PRIVATE KEY-----", None, ""),
+    }
+    table = docs_of(spark, [(k, v[0], "en", None) for k, v in values.items()])
+    got = {x.doc_id: x for x in secrets.candidates(table).collect()}
+    assert {k: x.value for k, x in got.items()} == {k: v[1] or v[0] for k, v in values.items()}
+    assert all(values[k][0][x.start : x.start + len(x.value)] == x.value for k, x in got.items())
+    assert got[4].before.endswith('key_2 = "') and got[1].before == 'password="' and got[5].after == " end"
+    # nothing to learn from but one kind of label: all candidates stay findings
+    words = scratch.materialize(secrets.dictionary(table, 1), "words")
+    one = secrets.features(secrets.candidates(table), words).withColumn("label", F.lit(1.0))
+    twice = secrets.scan(table.unionAll(table), labelled=one).collect()
+    assert len(twice) == 2 * len(values) and all(x.is_secret for x in twice)
+
+
+def test_secret_forest_held_out(spark):
+    """Precision and recall on strings planted in other texts, and on kinds that the forest has not seen."""
+    r = random.Random(4)
+    table = docs_of(spark, [(i, prose(r, 60), "en", "ab"[i % 2]) for i in range(120)])
+    words = scratch.materialize(secrets.dictionary(table, 5), "words")
+    learned = secrets.planted_findings(table.filter("doc_id % 2 = 0"), words)
+    tested = secrets.planted_findings(table.filter("doc_id % 2 = 1"), words, seed=11)
+    new = ["prefixed", "quoted password", "digest", "bare uuid"]
+    for train_on, test_on, floor in ((learned, tested, 0.97), (learned.filter(~F.col("kind").isin(new)), tested.filter(F.col("kind").isin(new)), 0.75)):
+        got = secrets.judge(test_on, secrets.train(train_on)).select("label", (F.col("score") >= 0.5).alias("said")).collect()
+        true = sum(x.said and x.label == 1 for x in got)
+        assert true / max(1, sum(x.said for x in got)) >= floor and true / sum(x.label == 1 for x in got) >= floor
+
+
 def test_mixing(docs, rows):
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows)
