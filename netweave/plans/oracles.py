@@ -11,7 +11,7 @@ NUM = "num AS (SELECT max(node_id) + 1 AS n FROM inc)"
 NEAR = """
 aw AS (SELECT x, y, round(sum(1.0::DOUBLE / greatest(size - 1, 1)), 9) AS w FROM pr JOIN sz USING (edge_id) GROUP BY x, y),
 ab AS (SELECT x, y, w FROM aw UNION ALL SELECT y, x, w FROM aw),
-near AS (SELECT x, y, w FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS r FROM ab) WHERE r <= 16)"""
+near AS (SELECT x, y, w FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS r FROM ab) WHERE r <= 128)"""
 CLOSURE = "clo AS (SELECT edge_id, avg(ln(1.0::DOUBLE + support)) AS r FROM pr JOIN su USING (x, y) GROUP BY edge_id)"
 RESIDUAL = """
 deg AS (SELECT node_id, count(*) AS d FROM inc GROUP BY node_id),
@@ -135,6 +135,11 @@ CURVE = """
 ct AS (SELECT protocol, score, sum(label) AS p, count(*) AS c FROM pd GROUP BY protocol, score),
 cv AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS al, sum(p) OVER (PARTITION BY protocol) AS pos, sum(c - p) OVER (PARTITION BY protocol) AS neg
        FROM ct WINDOW w AS (PARTITION BY protocol ORDER BY score DESC))"""
+BATCHES = f"""{PRED.replace("pd AS", "p0 AS")}, names AS (SELECT DISTINCT protocol FROM p0),
+pd AS (SELECT pos, label, score, names.protocol FROM p0 CROSS JOIN names WHERE label = 1 UNION ALL SELECT pos, label, score, protocol FROM p0 WHERE label = 0)"""
+EVALUATED = f"""{BATCHES}, {AUC}, {CURVE},
+ap AS (SELECT protocol, any_value(pos)::BIGINT AS positives, any_value(neg)::BIGINT AS negatives, sum(p / pos::DOUBLE * (tp / al::DOUBLE)) AS ap FROM cv GROUP BY protocol),
+ev AS (SELECT * FROM ap JOIN au USING (protocol))"""
 LOGITS = "lg AS (SELECT l_orderkey AS source_id, (l_returnflag = 'R')::INT AS label, l_quantity / 10.0::DOUBLE - 2.5::DOUBLE AS logit, 1.0::DOUBLE - l_discount AS weight FROM lineitem)"
 FEATS = "ft AS (SELECT p_partkey AS node_id, 0 AS dim, p_size / 49.0::DOUBLE AS value FROM part UNION ALL SELECT p_partkey, 1, ln(p_retailprice) FROM part)"
 OBSERVED = f"""{INC}, {SIZE}, {PAIRS}, {SUPPORT}, {SETS}, {anchored(ANCHOR, True)},
@@ -290,7 +295,7 @@ n AS (SELECT list_inner_product(a, b) AS ab, sqrt(list_inner_product(a, a)) AS n
 SELECT count(*) AS pairs, round(avg(CASE WHEN na * nb = 0 THEN 0 ELSE ab / (na * nb) END)::DOUBLE, 6) AS cosine, round(avg(na)::DOUBLE, 6) AS norm, round(avg(nb)::DOUBLE, 6) AS proposal_norm FROM n""",
     "replacement_pool_topk": f"""WITH {BASE},
 ab AS (SELECT x, y, support AS w FROM su UNION ALL SELECT y, x, support FROM su),
-nr AS (SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS r FROM ab) WHERE r <= 16),
+nr AS (SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY w DESC, y) AS r FROM ab) WHERE r <= 128),
 fo AS (SELECT inc.edge_id, nr.y AS node_id, count(*) AS anchors FROM inc JOIN nr ON nr.x = inc.node_id GROUP BY inc.edge_id, nr.y),
 fx AS (SELECT fo.* FROM fo ANTI JOIN inc ON inc.edge_id = fo.edge_id AND inc.node_id = fo.node_id),
 fy AS (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY anchors DESC, node_id) AS place FROM fx)
@@ -372,6 +377,26 @@ SELECT protocol, round(coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0), 6) AS preci
 r AS (SELECT *, row_number() OVER (PARTITION BY protocol ORDER BY g DESC, score DESC) AS r FROM g)
 SELECT protocol, round(least(greatest(score, 0), 1), 6) AS threshold, round(g, 6) AS gain FROM r WHERE r = 1""",
     "checkpoint_objective": f"WITH {PRED}, {AUC} SELECT round(sum(auc * CASE protocol WHEN '1-URGENT' THEN 3.0::DOUBLE ELSE 1 END) / sum(CASE protocol WHEN '1-URGENT' THEN 3.0::DOUBLE ELSE 1 END), 6) AS weighted, round(min(auc), 6) AS least FROM au",
+    "checkpoint_objectives": f"""WITH {EVALUATED},
+w AS (SELECT auc, ap, 0.25::DOUBLE * auc + 0.75::DOUBLE * ap AS mix, CASE protocol WHEN '1-URGENT' THEN 3.0::DOUBLE ELSE 1 END AS w FROM ev)
+SELECT round(sum(auc * w) / sum(w), 6) AS mean_auc, round(min(auc), 6) AS min_auc, round(sum(ap * w) / sum(w), 6) AS mean_ap, round(min(ap), 6) AS min_ap,
+       round(sum(mix * w) / sum(w), 6) AS mean_auc_ap, round(min(mix), 6) AS min_auc_ap FROM w""",
+    "protocol_evaluation": f"WITH {EVALUATED} SELECT protocol, positives, negatives, round(auc, 6) AS auc, round(ap, 6) AS ap FROM ev",
+    "validation_batches": f"WITH {BATCHES} SELECT protocol, pos, label, score FROM pd",
+    "bank_violations": f"""WITH {INC}, {SETS}, so AS (SELECT edge_id, size FROM st WHERE size >= 2),
+bk AS (SELECT l_orderkey AS source_id, list_sort(list_distinct([l_partkey, l_suppkey])) AS nodes FROM lineitem),
+per AS (SELECT source_id, count(*) AS n FROM bk GROUP BY source_id)
+SELECT (SELECT count(*) FROM so WHERE edge_id NOT IN (SELECT source_id FROM per)) AS sources_missing,
+       (SELECT count(*) FROM per WHERE source_id NOT IN (SELECT edge_id FROM so)) AS sources_unknown,
+       (SELECT count(*) FROM per WHERE n <> 4) AS wrong_count,
+       (SELECT count(*) FROM bk JOIN so ON edge_id = source_id WHERE len(nodes) <> size) AS wrong_size,
+       (SELECT count(*) FROM bk WHERE list_max(nodes) >= 1500 OR list_min(nodes) < 0) AS out_of_range,
+       (SELECT count(*) FROM bk WHERE nodes IN (SELECT nodes FROM st)) AS known_edges""",
+    "nearest_mean": f"WITH {INC}, {SIZE}, {SETS}, {NEAREST} SELECT round(avg(coalesce(r, 0)), 6) AS mean_nearest FROM sz LEFT JOIN nea USING (edge_id)",
+    "source_sample": f"WITH {INC}, {SIZE} SELECT edge_id, size FROM sz ORDER BY {rnd("'1'", "'source'", "edge_id")}, edge_id LIMIT 100",
+    "source_minibatches": f"WITH {INC}, {SIZE} SELECT edge_id, (row_number() OVER (ORDER BY {rnd("'1'", "'batch'", "edge_id")}, edge_id) - 1) // 128 AS batch FROM sz",
+    "teacher_retrieval_split": f"""WITH {ITEMS}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, item) AS place FROM it)
+SELECT source_id, item, place, CASE WHEN place = 1 THEN 'teacher' ELSE 'retrieval' END AS role FROM r WHERE place <= 3""",
     "calibrated_bounds": f"""WITH {OBSERVED}
 SELECT round({_bound('closure')}, 6) AS closure_bound, round(quantile_disc(closure, 0.9), 6) AS closure_stat, round(avg((closure <= 0)::INT), 6) AS closure_zero_rate,
        round({_bound('residual')}, 6) AS residual_bound, round(quantile_disc(residual, 0.9), 6) AS residual_stat, round(avg((residual <= 0)::INT), 6) AS residual_zero_rate FROM ob""",

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from netweave import scratch
 from netweave.functions import cosine, dot, edge_key, set_jaccard, uniform
-from netweave.operators import calibration, indexes, losses, metrics, propagation, proposals, risks, samplers, selection
+from netweave.operators import calibration, indexes, losses, metrics, propagation, proposals, protocols, risks, samplers, selection
 from netweave.plans import oracles
 from netweave.session import table
 from netweave.sources import hyperedges as H
 from netweave.streaming import support
 
-TOP = 16
+#: Neighbours kept for each node.
+TOP = 128
 BOUNDS = {"nearest": 0.25, "closure": 0.35, "residual": 0.5}
 
 
@@ -299,6 +300,35 @@ def checkpoint_objective(spark, d):
     return r6(a.join(F.broadcast(b)), "weighted", "least")  # one row each
 
 
+PROTOCOLS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def evaluated(spark, d):
+    p = predictions(spark, d)
+    return protocols.evaluate(protocols.batches(p.filter("label = 1"), p.filter("label = 0"), PROTOCOLS))
+
+
+def validation_batches(spark, d):
+    p = predictions(spark, d)
+    return protocols.batches(p.filter("label = 1"), p.filter("label = 0"), PROTOCOLS).select("protocol", "pos", "label", "score")
+
+
+def checkpoint_objectives(spark, d):
+    out = protocols.objectives(evaluated(spark, d), {"1-URGENT": 3.0}, 0.25, 0.75)
+    return r6(out, *out.columns)
+
+
+def bank_violations(spark, d):
+    """Each line's part and supplier as a stored negative of its order, held against the orders of at least two parts."""
+    bank = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.array("l_partkey", "l_suppkey").alias("nodes"))
+    e = edges(spark, d)
+    return protocols.bank_violations(bank, e.filter("size >= 2"), e, 4, 1500)
+
+
+def nearest_mean(spark, d):
+    return risks.nearest(edges(spark, d), cands(spark, d), F.col("nodes")).agg(F.round(F.avg("risk"), 6).alias("mean_nearest"))
+
+
 def observed(spark, d):
     e = edges(spark, d)
     s = samplers.anchored(e, e, parts_count(spark, d), per_source=1)
@@ -450,6 +480,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "metric_precision_f1": _metric(metrics.precision_f1, "precision", "f1"),
         "youden_threshold": _metric(metrics.youden, "threshold", "gain"),
         "checkpoint_objective": checkpoint_objective,
+        "checkpoint_objectives": checkpoint_objectives,
+        "protocol_evaluation": lambda s, d: r6(evaluated(s, d), "auc", "ap"),
+        "validation_batches": validation_batches,
+        "bank_violations": bank_violations,
+        "nearest_mean": nearest_mean,
+        "source_sample": lambda s, d: protocols.sample_sources(e(s, d), 100).select("edge_id", "size"),
+        "source_minibatches": lambda s, d: protocols.minibatches(e(s, d), 128),
+        "teacher_retrieval_split": lambda s, d: protocols.teacher_retrieval(pool_items(s, d), 1, 2, [F.desc("score"), F.col("item")]).select("source_id", "item", "place", "role"),
         "calibrated_bounds": calibrated_bounds,
         "calibrated_budget": calibrated_budget,
         "feature_row_normalize": normalized_rows,
