@@ -27,8 +27,8 @@ def _cyclic_pairs(nodes: str, max_pairs: int) -> Column:
     return F.slice(F.array_distinct(listed), 1, max_pairs)
 
 
-def edge_pairs(edges: DataFrame, max_pairs: int = 0, id_col: str = "edge_id") -> DataFrame:
-    """(id, x, y) with x < y for each pair of an edge's nodes.
+def edge_pairs(edges: DataFrame, max_pairs: int = 0, id_col: str = "edge_id", *extra: str) -> DataFrame:
+    """(id, extra columns, x, y) with x < y for each pair of an edge's nodes.
 
     Edges with more than ``max_pairs`` pairs (0: no bound) give a cyclic choice of that many, so a
     huge edge does not grow with the square of its size.
@@ -36,7 +36,7 @@ def edge_pairs(edges: DataFrame, max_pairs: int = 0, id_col: str = "edge_id") ->
     pairs = _all_pairs("nodes")
     if max_pairs > 0:
         pairs = F.when(F.col("size") * (F.col("size") - 1) / 2 <= max_pairs, pairs).otherwise(_cyclic_pairs("nodes", max_pairs))
-    return edges.filter("size >= 2").select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.x", "p.y")
+    return edges.filter("size >= 2").select(id_col, *extra, F.explode(pairs).alias("p")).select(id_col, *extra, "p.x", "p.y")
 
 
 def pair_support(edges: DataFrame, max_pairs: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ Candidates are (cand_id, nodes, size); each risk gives (cand_id, risk), 0 for ed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.functions import jaccard, safe_ratio
@@ -81,17 +81,29 @@ def residual(edges: DataFrame, candidates: DataFrame, max_pairs: int = 0) -> Dat
 def nearest(edges: DataFrame, candidates: DataFrame, excluded: Column | None = None) -> DataFrame:
     """Largest Jaccard similarity to a known edge that shares a node; 0 if none.
 
-    Candidates may carry ``not_key``, the node set of an edge that does not count. Known sets are
-    taken once each, so the join on nodes grows with distinct sets.
+    ``excluded``: the node set of an edge that does not count for the candidate; null for none.
+
+    Known sets are taken once each. Those that share two nodes or more meet on pairs of nodes, and c common
+    nodes give c * (c - 1) / 2 common pairs, so the number of meetings tells c. Of those that share one node the smallest
+    is the nearest, and each node has its two smallest sets (one may be the excluded one), so a hub
+    costs a row for each of its candidates and not for each of its known sets as well.
     """
-    known = edges.select("nodes", "size").distinct().withColumn("known_id", F.xxhash64("nodes"))
-    inc = known.select("known_id", F.col("size").alias("known_size"), F.col("nodes").alias("known"), F.explode("nodes").alias("node_id"))
-    wanted = candidates.withColumn("not_key", excluded if excluded is not None else F.lit(None).cast("array<bigint>"))
-    mine = wanted.select("cand_id", "size", "not_key", F.explode("nodes").alias("node_id"))
-    met = mine.join(inc.select("known_id", "known_size", "node_id"), "node_id").groupBy("cand_id", "known_id")
-    met = met.agg(F.count(F.lit(1)).alias("common"), F.first("size").alias("size"), F.first("known_size").alias("known_size"), F.first("not_key").alias("not_key"))
-    met = met.filter(F.col("not_key").isNull() | (F.xxhash64("not_key") != F.col("known_id")))
-    best = met.groupBy("cand_id").agg(F.max(jaccard(F.col("common"), F.col("size"), F.col("known_size"))).alias("risk"))
+    known = edges.select("nodes", "size").distinct().withColumns({"known_id": F.xxhash64("nodes"), "known_size": F.col("size")})
+    not_id = F.lit(None).cast("long") if excluded is None else F.when(excluded.isNotNull(), F.xxhash64(excluded))
+    wanted = candidates.select("cand_id", "nodes", "size", not_id.alias("not_id"))
+    counts = F.col("not_id").isNull() | (F.col("not_id") != F.col("known_id"))
+
+    order = Window.partitionBy("node_id").orderBy("known_size", "known_id")
+    smallest = known.select("known_id", "known_size", F.explode("nodes").alias("node_id")).withColumn("r", F.row_number().over(order)).filter("r <= 2")
+    one = wanted.select("cand_id", "size", "not_id", F.explode("nodes").alias("node_id")).join(smallest, "node_id").filter(counts)
+    one = one.select("cand_id", jaccard(F.lit(1), F.col("size"), F.col("known_size")).alias("j"))
+
+    met = edge_pairs(wanted, 0, "cand_id", "size", "not_id").join(edge_pairs(known, 0, "known_id", "known_size"), ["x", "y"]).filter(counts).groupBy("cand_id", "known_id")
+    met = met.agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("known_size").alias("known_size"))
+    common = F.round((1 + F.sqrt(8 * F.col("n") + 1)) / 2).cast("long")
+    more = met.select("cand_id", jaccard(common, F.col("size"), F.col("known_size")).alias("j"))
+
+    best = one.unionByName(more).groupBy("cand_id").agg(F.max("j").alias("risk"))
     return candidates.select("cand_id").join(best, "cand_id", "left").select("cand_id", F.coalesce("risk", F.lit(0.0)).alias("risk"))
 
 
