@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from netweave.llm import chat, exact_dedup, hilbert, maxent, mixing, near_dup, packing, quality, secrets, warc
+from netweave.llm import chat, exact_dedup, hilbert, maxent, mixing, near_dup, negatives, packing, periodic, quality, secrets, simhash, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_maxent_scores": maxent.op8,
         "op9_exact_dedup": exact_dedup.op9,
         "op10_chat_format": chat.op10,
+        "op11_simhash": simhash.op11,
+        "op12_periodic_runs": periodic.op12,
+        "op13_hard_negatives": negatives.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -29,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.OP5_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
         "op10_chat_format": chat.OP10_SQL,
+        "op13_hard_negatives": negatives.OP13_SQL,
     }
