@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netweave import scratch
 from netweave.functions import draw
-from netweave.operators.metrics import curve
+from netweave.operators.metrics import curve, mean_reciprocal_rank, ndcg, precision_f1
 from netweave.sources.hyperedges import place_of
 
 
@@ -22,23 +23,37 @@ def batches(positives: DataFrame, negatives: DataFrame, protocols: tuple[str, ..
 
 
 def evaluate(predictions: DataFrame) -> DataFrame:
-    """(protocol, positives, negatives, auc, ap) from one curve; a batch of a single class has a null AUC."""
+    """(protocol, positives, negatives, auc, ap) from one curve; a batch of a single class has null AUC and AP."""
     c = curve(predictions)
     wins = F.sum(F.col("n") * (F.col("before_p") + F.col("p") / 2.0))
     tp = F.col("before_p") + F.col("p")
     gain = F.col("p") / F.nullif(F.col("all_p"), F.lit(0)) * (tp / (tp + F.col("before_n") + F.col("n")))
     p, n = F.first("all_p"), F.first("all_n")
-    return c.groupBy("protocol").agg(p.alias("positives"), n.alias("negatives"), (wins / F.nullif(p * n, F.lit(0))).alias("auc"), F.sum(gain).alias("ap"))
+    return c.groupBy("protocol").agg(p.alias("positives"), n.alias("negatives"), (wins / F.nullif(p * n, F.lit(0))).alias("auc"), F.when(n > 0, F.sum(gain)).alias("ap"))
+
+
+def evaluate_all(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(protocol, positives, negatives, auc, ap, ndcg, mrr, precision, f1) of predictions (protocol, pos, label, score).
+
+    A batch of a single class has null AUC, AP and NDCG, as these have no meaning there.
+    """
+    rows = scratch.materialize(predictions.select("protocol", "pos", "label", "score"), "predictions")
+    two = F.col("auc").isNotNull()
+    out = evaluate(rows).join(ndcg(rows), "protocol").join(mean_reciprocal_rank(rows), "protocol", "left").join(precision_f1(rows, threshold), "protocol")
+    return out.withColumn("ndcg", F.when(two, F.col("ndcg"))).na.fill(0.0, ["mrr"])
 
 
 def objectives(evaluated: DataFrame, weights: dict[str, float] | None = None, auc_weight: float = 0.5, ap_weight: float = 0.5) -> DataFrame:
-    """One row with the six figures a checkpoint is chosen by: weighted means and least values of AUC, AP and their mix."""
+    """One row with the six figures a checkpoint is chosen by: weighted means and least values of AUC, AP and their mix.
+
+    Protocols of a single class have none of these and count in none of the means.
+    """
     w = F.lit(1.0)
     for k, x in (weights or {}).items():
         w = F.when(F.col("protocol") == k, F.lit(max(0.0, x))).otherwise(w)
     a, b = max(0.0, auc_weight), max(0.0, ap_weight)
     mix = (F.lit(a) * F.col("auc") + F.lit(b) * F.col("ap")) / F.lit(max(1e-12, a + b))
-    rows = evaluated.select(w.alias("w"), "auc", "ap", mix.alias("auc_ap"))
+    rows = evaluated.filter(F.col("auc").isNotNull() & F.col("ap").isNotNull()).select(w.alias("w"), "auc", "ap", mix.alias("auc_ap"))
     mean = lambda c: F.coalesce(F.sum(F.col(c) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0)), F.lit(0.0)).alias(f"mean_{c}")
     least = lambda c: F.coalesce(F.min(c), F.lit(0.0)).alias(f"min_{c}")
     return rows.agg(*[f(c) for c in ("auc", "ap", "auc_ap") for f in (mean, least)])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from netweave import scratch
 from netweave.functions import cosine, dot, edge_key, set_jaccard, uniform
 from netweave.operators import calibration, indexes, losses, metrics, propagation, proposals, protocols, risks, samplers, selection
-from netweave.plans import oracles
+from netweave.plans import oracles, training
 from netweave.session import table
 from netweave.sources import hyperedges as H
 from netweave.streaming import support
@@ -503,8 +503,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "loss_weights": loss_weights,
         "predictor_auc": predictor,
         "streaming_pair_support": support.query,
-    }
+    } | training.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL
+    return oracles.SQL | training.oracle_sql()

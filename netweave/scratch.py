@@ -83,6 +83,7 @@ def is_file_scan(df: DataFrame) -> bool:
 
 def as_files(df: DataFrame, name: str = "rows") -> DataFrame:
     """``df`` itself if it reads files, else a written copy."""
+    _ship(df.sparkSession)
     return df if is_file_scan(df) else materialize(df, name)
 
 

@@ -165,13 +165,28 @@ def cover_aware_split(edges: DataFrame, train: float = 0.6, val: float = 0.2, se
     return order.withColumn("split", split).drop("__t", "__d", "place")
 
 
-def sequence_digest(edges: DataFrame, block: int = 4096) -> DataFrame:
-    """SHA-256 of the edges in order of id: of blocks of ``block`` edges first, then of their digests in order.
+def ordered_digest(rows: DataFrame, order: list[str], line: Column, by: str | None = None, block: int = 4096) -> DataFrame:
+    """(by, digest), or (digest) of one row: SHA-256 of the lines of each group in order, over a tree of blocks.
 
-    Each edge is written as its size, a colon, its nodes and a semicolon.
+    Blocks of ``block`` lines are digested first, then blocks of so many digests, until one is left; so no task sees more than a block, and the order of rows counts.
     """
-    at = place_of(edges, ["edge_id"])
+    group = ["__by"]
+    keyed = rows.select(F.lit(0).alias("__by") if by is None else F.col(by).alias("__by"), *order, line.alias("__line"))
+    at = place_of(keyed, ["__by", *order], "__place")
+    starts = at.groupBy(*group).agg(F.min("__place").alias("__start"), F.count(F.lit(1)).alias("__n"))
+    most = starts.agg(F.max("__n")).first()[0] or 0
+    now = at.join(F.broadcast(starts), "__by").select("__by", (F.col("__place") - F.col("__start")).alias("k"), F.col("__line").alias("s"))  # a row for each group
+    joined = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "").cast("binary"), 256)
+    while True:
+        now = now.groupBy("__by", F.floor(F.col("k") / block).alias("k")).agg(joined.alias("s"))
+        most = -(-most // block)
+        if most <= block:
+            break
+    out = now.groupBy("__by").agg(joined.alias("digest"))
+    return out.select("digest") if by is None else out.select(F.col("__by").alias(by), "digest")
+
+
+def sequence_digest(edges: DataFrame, block: int = 4096) -> DataFrame:
+    """SHA-256 of the edges in order of id (``ordered_digest``); each is written as its size, a colon, its nodes and a semicolon."""
     line = F.concat(F.col("size").cast("string"), F.lit(":"), edge_key(F.col("nodes")), F.lit(";"))
-    blocks = at.groupBy(F.floor(F.col("place") / block).alias("b")).agg(F.sort_array(F.collect_list(F.struct("place", line.alias("s")))).alias("l"))
-    blocks = blocks.select("b", F.sha2(F.array_join(F.col("l.s"), "").cast("binary"), 256).alias("d"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "").cast("binary"), 256).alias("digest"))
+    return ordered_digest(edges, ["edge_id"], line, block=block)
