@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.llm.common import col, join_back, keyed, text_of, words_of
+from netweave.llm.common import col, free_name, join_back, keyed, text_of, words_of
 
 #: Least number of words of a run that is reported.
 LEAST = 12
@@ -248,15 +248,17 @@ def digests(found: DataFrame) -> DataFrame:
 
 def planted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a periodic end in about a tenth of its texts, chosen, placed and sized by the CRC-32 of the id; rows of a null id stay."""
+    chosen, words = free_name(docs, "__chosen"), free_name(docs, "__words")
     h = F.crc32(col(id_col).cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    words = words_of(text_of(text_col))
-    n = F.size(words).cast("long")
+    rows = docs.select("*", F.when(F.pmod(h, F.lit(10)) == 0, words_of(text_of(text_col))).alias(words), F.floor(h / 10).alias(chosen))
+    w, g = F.col(words), F.col(chosen)
+    n = F.size(w).cast("long")
     a = F.pmod(g, n)
     p = 1 + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
-    periodic = lambda w, n, a, p: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
-    text = F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(periodic(words, n, a, p), " ")).otherwise(col(text_col))
-    return docs.select(*[text.alias(c) if c == text_col else col(c) for c in docs.columns])
+    repeated = F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    periodic = F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(repeated, F.lit(1), (n - a).cast("int")))
+    text = F.when(F.size(w) > 0, F.array_join(periodic, " ")).otherwise(col(text_col))
+    return rows.select(*[text.alias(c) if c == text_col else col(c) for c in docs.columns])
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
