@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netweave import scratch
@@ -18,9 +18,13 @@ ASSIGNED_VALUE = r"[^ \t\n\x0B\f\r\"',;<>]{6,}"
 USER_VALUE = r"[^ \t\n\x0B\f\r/@]{3,}(?=@)"
 #: A private key; a run of at least 12 token characters with a digit, or of 20 without one, points inside long tokens included.
 KEY_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{16,}-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_NAMED = "(?i:pass|pwd|secret|token|key|auth|credential)"
+#: Every repetition of a group is possessive, so that a text of many parts costs neither a call of its own for each part nor a second look at what was read; a run that has such a
+#: name before a sign of assignment is no value, which is told from its first name alone.
 RUN = (
-    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Za-z+/_-]{20})(?![A-Za-z0-9_-]*(?i:pass|pwd|secret|token|key|auth|credential)[A-Za-z0-9_-]*[\"']?[ \t]{0,4}[:=])"
-    r"[A-Za-z0-9+/_-]{12,}(?:\.[A-Za-z0-9_-]{10,})*={0,2}"
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Za-z+/_-]{20})"
+    rf"(?!(?:(?!{_NAMED})[A-Za-z0-9_-])*+{_NAMED}[A-Za-z0-9_-]*+[\"']?[ \t]{{0,4}}[:=])"
+    r"[A-Za-z0-9+/_-]{12,}+(?:\.[A-Za-z0-9_-]{10,}+)*+={0,2}+"
 )
 CANDIDATE = f"{KEY_BLOCK}|{ASSIGNED}{ASSIGNED_VALUE}|{USER}{USER_VALUE}|{RUN}"
 #: The part of a match that is before its value.
@@ -40,34 +44,40 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     around the value, as far as the neighbouring candidates' own ends. A text is cut at its candidates once; starts are
     running sums of the pieces.
     """
-    text = F.col("__text")
-    rows = keyed(docs, col(id_col).alias("doc_id"), col(path_col).cast("string").alias("path"), text_of(text_col).alias("__text"))
-    rows = rows.select("*", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("__m")).filter(F.size("__m") > 0)
-    rows = rows.select("__row", "doc_id", "path", "__m", F.split("__text", CANDIDATE, -1).alias("__p"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc, x):
-        at = (acc["at"] + F.char_length(x["p"])).cast("int")
-        return F.struct((at + F.char_length(x["m"])).cast("int").alias("at"), F.concat(acc["starts"], F.array(at)).alias("starts"))
-
-    zipped = F.zip_with("__m", F.slice("__p", F.lit(1), F.size("__m")), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
-    starts = F.aggregate(zipped, begin, step, lambda acc: acc["starts"])
-    rows = rows.select("*", starts.alias("__s")).select("*", F.posexplode("__m").alias("k", "match"))
-    lead = F.concat(F.regexp_extract("match", LEAD, 1), F.regexp_extract("match", LEAD, 2))
-    rows = rows.withColumn("lead", lead)
-    beside = lambda k: F.coalesce(F.when(k >= 0, F.get("__m", F.greatest(k, F.lit(0)))), F.lit(""))
-    before = F.concat(beside(F.col("k") - 1), F.get("__p", F.col("k")), F.col("lead"))
+    rows = _cut(docs, text_col, col(id_col).alias("doc_id"), col(path_col).cast("string").alias("path"))
+    before = F.concat(F.coalesce("beside", F.lit("")), "piece", "lead")
     return rows.select(
         "__row",
         "doc_id",
         "path",
-        (F.get("__s", F.col("k")) + F.char_length("lead")).cast("long").alias("start"),
+        "start",
         F.substr("match", F.char_length("lead") + 1).alias("value"),
         F.right(before, F.lit(CONTEXT)).alias("before"),
-        F.left(F.concat(F.get("__p", F.col("k") + 1), beside(F.col("k") + 1)), F.lit(CONTEXT)).alias("after"),
+        F.left(F.concat("next", F.coalesce("behind", F.lit(""))), F.lit(CONTEXT)).alias("after"),
     )
 
 
+def _cut(docs: DataFrame, text_col: str, *columns: Column) -> DataFrame:
+    """A row for each match: __row, ``columns``, k, piece (what is before it), match, next (what is behind), beside and behind (the matches there), lead, start of the value.
+
+    Each row holds its own pieces alone, and starts are running sums over the matches of a text, so a text costs as much as it is long.
+    """
+    rows = keyed(docs, *columns, text_of(text_col).alias("__text"))
+    names = [c for c in rows.columns if c != "__text"]
+    rows = rows.select("*", F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0)).alias("__m")).filter(F.size("__m") > 0)
+    rows = rows.select(*names, "__m", F.split("__text", CANDIDATE, -1).alias("__p"))
+
+    def part(m, k):
+        beside = F.when(k > 0, F.get("__m", F.greatest(k - 1, F.lit(0))))
+        return F.struct(m.alias("match"), F.get("__p", k).alias("piece"), F.get("__p", k + 1).alias("next"), beside.alias("beside"), F.get("__m", k + 1).alias("behind"))
+
+    rows = rows.select(*names, F.posexplode(F.transform("__m", part)).alias("k", "__x")).select(*names, "k", "__x.*")
+    rows = rows.withColumn("lead", F.concat(F.regexp_extract("match", LEAD, 1), F.regexp_extract("match", LEAD, 2)))
+    earlier = Window.partitionBy("__row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    passed = F.coalesce(F.sum(F.char_length("piece") + F.char_length("match")).over(earlier), F.lit(0))
+    return rows.withColumn("start", (passed + F.char_length("piece") + F.char_length("lead")).cast("long"))
+
+
 def dictionary(docs: DataFrame, min_count: int = 20, text_col: str = "text") -> DataFrame:
     """(word): lower-case letter words of at least three letters that the texts use ``min_count`` times or more."""
     words = docs.select(F.explode(words_of(F.lower(text_of(text_col)))).alias("w")).filter(F.col("w").rlike(r"^\p{L}{3,}[.,]?$"))
@@ -226,17 +236,17 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 
 
 def redact(docs: DataFrame, findings: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """``docs`` with the values of the findings replaced, rows without findings unchanged."""
+    """``docs`` with the values of the findings of ``scan`` replaced, rows without findings unchanged. A text is cut at its candidates and put together again."""
     docs = scratch.as_files(docs)
-    spans = findings.filter("is_secret").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
-    rows, got = join_back(docs, spans, "left")
-    text = col(text_col)
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    take = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
-    step = lambda acc, s: F.struct((s["start"] + s["length"]).alias("at"), F.concat(acc["out"], take(acc["at"], s["start"] - acc["at"]), F.lit(mark)).alias("out"))
-    done = F.aggregate(got["spans"], begin, step)
-    clean = F.when(got["spans"].isNull(), text).otherwise(F.concat(done["out"], take(done["at"], F.char_length(text) - done["at"])))
-    return rows.select(*[(clean.alias(c) if c == text_col else col(c)) for c in docs.columns])
+    secret = findings.filter("is_secret").select(F.col("__row").alias("__r"), F.col("start").alias("__at")).distinct()
+    parts = _cut(docs, text_col)
+    told = parts.join(secret, (F.col("__row") == F.col("__r")) & (F.col("start") == F.col("__at")), "left")
+    shown = F.when(F.col("__at").isNull(), F.col("match")).otherwise(F.concat("lead", F.lit(mark)))
+    last = F.max(F.struct("k", "next"))["next"]
+    whole = told.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("k", F.concat("piece", shown).alias("s")))).alias("l"), last.alias("end"), F.count("__at").alias("n"))
+    clean = whole.filter("n > 0").select("__row", F.concat(F.array_join(F.transform("l", lambda x: x["s"]), ""), "end").alias("clean"))
+    rows, got = join_back(docs, clean, "left")
+    return rows.select(*[(F.coalesce(got["clean"], col(c)).alias(c) if c == text_col else col(c)) for c in docs.columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

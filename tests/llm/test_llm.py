@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -449,3 +450,25 @@ def test_pipeline_against_brute_force(spark, docs, rows):
     assert {x.doc_id for x in seen[2]} == classes
     assert {x.doc_id for x in seen[3]} <= classes
     assert Counter((p.doc_id, p.piece) for p in seen[4])[seen[3][0].doc_id, 0] == sum(x.doc_id == seen[3][0].doc_id for x in seen[3])
+
+
+def test_secrets_in_texts_of_many_parts(spark):
+    """Long dotted tokens, runs of one name and thousands of candidates cost as much as they are long."""
+    dotted = "abcdefghij1k" + ".abcdefghij" * 900_000  # 10 MB
+    many = " ".join(f"token=s3cr3t{k}" for k in range(20_000))
+    texts = {1: dotted, 2: "key" * 2_000_000, 3: "pass" * 500_000 + "=", 4: "see " + "keyA1" * 10_000 + ' = "abcd1234" end', 5: many, 6: "://a:" * 200_000 + "x@", 7: "A" * 3_000_000 + "1", 8: 'pass="' * 100_000}
+    table = docs_of(spark, [(k, t, "en", "a") for k, t in texts.items()])
+    began = time.time()
+    found = secrets.candidates(table).select("doc_id", "start", "value", "__row").cache()
+    per = Counter(x.doc_id for x in found.select("doc_id").collect())
+    assert time.time() - began < 60
+    assert per[1] == 1 and per[5] == 20_000 and per[7] == 1
+    assert found.filter("doc_id = 1").select(F.char_length("value")).first()[0] == len(dotted)
+    starts = [(x.start, x.value) for x in found.filter("doc_id = 5").collect()]
+    assert all(many[s : s + len(v)] == v for s, v in starts)
+    table = scratch.as_files(table)
+    begun = time.time()
+    marked = secrets.redact(table, secrets.candidates(table).filter("doc_id in (1, 5)").withColumn("is_secret", F.lit(True)))
+    clean = {x.doc_id: x.text for x in marked.select("doc_id", "text").collect()}
+    assert time.time() - begun < 60
+    assert clean[1] == "[SECRET]" and clean[5] == " ".join(["token=[SECRET]"] * 20_000) and clean[2] == texts[2]
