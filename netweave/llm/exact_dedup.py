@@ -122,8 +122,13 @@ def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     )
 
 
+def buckets_for(docs: DataFrame, rows: int = 250_000) -> int:
+    """A number of buckets for an index that starts with ``docs``: one for each ``rows`` rows, 64 at least."""
+    return max(64, -(-docs.count() // rows))
+
+
 def new_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
-    """An empty index in the shared folder."""
+    """An empty index in the shared folder. The number of buckets stays, so take it from what the index is to hold (``buckets_for``)."""
     return DigestIndex(spark, scratch.new_path(spark, "digest_index"), buckets)
 
 
@@ -131,7 +136,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
     """The rows of ``docs`` whose text is new, one for each text, with all their columns and no others; nulls, ties and repeats as in ``ingest``."""
     docs = scratch.as_files(docs)
     if index is None:
-        index = new_index(docs.sparkSession)
+        index = new_index(docs.sparkSession, buckets_for(docs))
         out = ingest(docs, index, id_col, text_col)
         index.close()  # the result reads what was written of it
     else:
@@ -142,7 +147,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    index = new_index(spark)
+    index = new_index(spark, buckets_for(docs))
     out = ingest(docs, index).drop("__row")
     index.close()
     return out
