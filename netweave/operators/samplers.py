@@ -52,7 +52,26 @@ def in_rounds(sources: DataFrame, per_source: int, tries: int, draw_and_pick: Ca
     return done
 
 
-def named(seed: int, stream: str) -> tuple:
+def rounds(sources: DataFrame, per_source: int, tries: int, attempt: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All attempts that a loop up to the first accepted one would make, and those of its last round: rounds of 1, 4, 16, ... attempts over the slots that are still open.
+
+    ``attempt`` gives for each row its outcome, with ``accepted``; a row that it leaves out is no valid attempt.
+    """
+    open_, made, low, width = slots(sources, per_source), None, 0, 1
+    while True:
+        high = min(tries, low + width)
+        found = scratch.materialize(attempt(open_.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))), "tried")
+        made = found if made is None else made.unionByName(found)
+        low, width = high, 4 * width
+        if low >= tries:
+            return made
+        passed = found.filter("accepted").select("source_id", "slot").distinct()
+        open_ = scratch.materialize(open_.join(passed, ["source_id", "slot"], "left_anti"), "open_slots")
+        if not open_.count():
+            return made
+
+
+def named(seed: int | str, stream: str) -> tuple:
     return seed, stream, F.col("source_id"), F.col("slot"), F.col("attempt")
 
 
@@ -92,8 +111,8 @@ def with_fallback(found: DataFrame, sources: DataFrame, known: DataFrame, nodes:
     return found.unionByName(other.join(found.select("source_id", "slot"), ["source_id", "slot"], "left_anti"))
 
 
-def _anchored(rows: DataFrame, keep: Column, nodes: int, seed: int, per_attempt: bool = True) -> DataFrame:
-    """Keep the source's first nodes in a seeded order and fill with drawn nodes from outside the source."""
+def _drawn(rows: DataFrame, keep: Column, nodes: int, seed: int | str, per_attempt: bool = True) -> DataFrame:
+    """Add keep, anchor (the source's first nodes in a seeded order) and fill: as many drawn nodes from outside the source as go, if so many were found."""
     parts = named(seed, "keep") if per_attempt else (seed, "keep", F.col("source_id"), F.col("slot"))
     order = F.array_sort(F.transform("source", lambda n: F.struct(draw(*parts, n).alias("d"), n.alias("n"))))
     rows = rows.withColumn("keep", keep).withColumn("anchor", F.transform(F.slice(order, F.lit(1), F.col("keep")), lambda s: s["n"]))
@@ -102,7 +121,12 @@ def _anchored(rows: DataFrame, keep: Column, nodes: int, seed: int, per_attempt:
     outside = F.greatest(F.lit(nodes) - F.col("source_size"), F.lit(1))
     draws = F.ceil(enough_draws(need, outside) * F.lit(nodes) / outside).cast("int")
     fresh = F.array_except(distinct_draws(draws, nodes, draws, *named(seed, "fill")), F.col("source"))
-    rows = rows.withColumn("fill", F.slice(fresh, F.lit(1), need))
+    return rows.withColumn("fill", F.slice(fresh, F.lit(1), need))
+
+
+def _anchored(rows: DataFrame, keep: Column, nodes: int, seed: int | str, per_attempt: bool = True) -> DataFrame:
+    """Keep the source's first nodes in a seeded order and fill with drawn nodes from outside the source."""
+    rows = _drawn(rows, keep, nodes, seed, per_attempt)
     rows = scratch.materialize(rows.withColumn("nodes", F.array_sort(F.concat("anchor", "fill"))), "drawn")
     return rows.filter(F.size("nodes") == F.col("source_size"))
 
@@ -132,12 +156,25 @@ def _scored(rows: DataFrame, edges: DataFrame, with_risks: dict[str, Callable])
     return rows
 
 
-def anchored_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, source_bound: float = 0.75, bound: float = 0.5, per_source: int = 1, tries: int = 4, seed: int = 1) -> DataFrame:
-    """Anchored, a new anchor at each attempt; the first attempt whose nearest other known edge is within ``bound``, else the least near one of ``tries``; ``accepted`` tells them apart."""
-    rows = _anchored(attempts(sources.filter("size >= 2"), per_source, tries), anchor_size(F.col("source_size"), ratio), nodes, seed)
-    rows = unknown(rows, known).filter(_near_source(source_bound))
-    rows = _scored(rows, known, {"nearest": lambda e, c: risks.nearest(e, c, F.col("source"))})
-    return first_passing(rows, F.col("nearest") <= bound, F.col("nearest"))
+def anchored_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, source_bound: float = 0.75, bound: float = 0.5, per_source: int = 1, tries: int = 300, seed: int = 1) -> DataFrame:
+    """Anchored, a new anchor at each attempt; the first attempt whose nearest other known edge is within ``bound``, else the least near one of ``tries``, else a random edge of the size.
+
+    ``accepted`` is true for the first kind alone, so every slot of sources with two nodes or more has a row that says what it is.
+    """
+    keep = anchor_size(F.col("source_size"), ratio)
+
+    def attempt(rows: DataFrame) -> DataFrame:
+        rows = unknown(_anchored(rows, keep, nodes, seed), known).filter(_near_source(source_bound))
+        return _scored(rows, known, {"nearest": lambda e, c: risks.nearest(e, c, F.col("source"))}).withColumn("accepted", F.col("nearest") <= bound)
+
+    made = rounds(sources.filter("size >= 2"), per_source, tries, attempt)
+    return _filled(first_passing(made, F.col("accepted"), F.col("nearest")), sources, known, nodes, per_source, seed)
+
+
+def _filled(found: DataFrame, sources: DataFrame, known: DataFrame, nodes: int, per_source: int, seed: int) -> DataFrame:
+    """Slots that no attempt filled get a random edge that is not accepted."""
+    out = with_fallback(found, sources.filter("size >= 2"), known, nodes, per_source, 100, seed)
+    return out.withColumn("accepted", F.col("accepted") & ~F.col("fallback")).drop("fallback")
 
 
 def fast_safe(sources: DataFrame, known: DataFrame, nodes: int, ratio: float = 0.25, bound: float = 0.5, per_source: int = 1, tries: int = 100, seed: int = 1) -> DataFrame:
@@ -207,31 +244,36 @@ def mixed(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1,
 
 def risk_controlled(
     sources: DataFrame, known: DataFrame, nodes: int, bounds: dict[str, float], budget: float | None = None, caps: dict[str, float] | None = None,
-    ratio: float = 0.25, per_source: int = 1, tries: int = 4, seed: int = 1, pool: DataFrame | None = None, pool_share: float = 0.0,
+    ratio: float = 0.25, per_source: int = 1, tries: int = 300, seed: int = 1, pool: DataFrame | None = None, pool_share: float = 0.0,
 ) -> DataFrame:
-    """Anchored proposals, every attempt scored by the bounded risks; the first within all bounds (or the budget and caps), else the one of least combined risk.
+    """Anchored proposals in rounds up to ``tries``, scored by the bounded risks; the first within all bounds (or the budget and caps), else the one of least combined risk.
 
     With ``pool`` (replacement_pool) a share of the attempts fills from the neighbours of the
-    source's nodes, topped up by drawn nodes. Adds the risks, score and strategy.
+    source's nodes, topped up by drawn nodes. Adds the risks, score, strategy, and ``valid``: the new edges among the attempts up to the accepted one. Slots
+    without any new edge have no row; ``mixture.controlled`` fills them and keeps all attempts.
     """
-    base = attempts(sources.filter("size >= 2"), per_source, tries)
-    rows = _anchored(base, anchor_size(F.col("source_size"), ratio), nodes, seed).withColumn("strategy", F.lit("random"))
-    if pool is not None and pool_share > 0:
-        listed = pool.groupBy(F.col("edge_id").alias("source_id")).agg(F.sort_array(F.collect_list(F.struct("place", "node_id"))).alias("pool"))
-        near = rows.join(listed, "source_id", "left").withColumn("pool", F.coalesce(F.transform("pool", lambda p: p["node_id"]), F.array().cast("array<bigint>")))
-        order = F.array_sort(F.transform("pool", lambda n: F.struct(draw(*named(seed, "pool"), n).alias("d"), n.alias("n"))))
-        fill = F.slice(F.array_distinct(F.concat(F.transform(order, lambda s: s["n"]), "fill")), F.lit(1), F.col("source_size") - F.col("keep"))
-        use = uniform(*named(seed, "strategy")) < pool_share
-        rows = near.withColumn("strategy", F.when(use, "neighborhood").otherwise("random")).withColumn("nodes", F.when(use, F.array_sort(F.concat("anchor", fill))).otherwise(F.col("nodes"))).drop("pool")
     functions = {
         "nearest": lambda e, c: risks.nearest(e, c, F.col("source")), "closure": risks.closure, "cowalk": risks.co_walk, "hitting": risks.hitting, "residual": risks.residual,
     }
-    rows = _scored(unknown(rows, known), known, {k: functions[k] for k in bounds})
-    score = F.round(risks.combined(bounds), 9)
-    ok = risks.within(bounds) if budget is None else (score <= budget) & risks.within(caps or {})
-    rank = F.struct((~ok).alias("a"), F.when(ok, F.lit(0.0)).otherwise(score).alias("b"), F.col("attempt"), F.col("nodes"), ok.alias("accepted"), score.alias("score"), F.col("strategy"), *[F.col(k) for k in bounds])
-    best = rows.groupBy("source_id", "slot").agg(F.min(rank).alias("b"), F.count(F.lit(1)).alias("valid"))
-    return best.select("source_id", "slot", "b.nodes", F.size("b.nodes").alias("size"), "b.attempt", "b.accepted", "b.score", "b.strategy", *[F.col(f"b.{k}").alias(k) for k in bounds], "valid")
+    listed = None if pool is None else pool.groupBy(F.col("edge_id").alias("source_id")).agg(F.sort_array(F.collect_list(F.struct("place", "node_id"))).alias("pool"))
+
+    def attempt(rows: DataFrame) -> DataFrame:
+        rows = _anchored(rows, anchor_size(F.col("source_size"), ratio), nodes, seed).withColumn("strategy", F.lit("random"))
+        if listed is not None and pool_share > 0:
+            near = rows.join(listed, "source_id", "left").withColumn("pool", F.coalesce(F.transform("pool", lambda p: p["node_id"]), F.array().cast("array<bigint>")))
+            order = F.array_sort(F.transform("pool", lambda n: F.struct(draw(*named(seed, "pool"), n).alias("d"), n.alias("n"))))
+            fill = F.slice(F.array_distinct(F.concat(F.transform(order, lambda s: s["n"]), "fill")), F.lit(1), F.col("source_size") - F.col("keep"))
+            use = uniform(*named(seed, "strategy")) < pool_share
+            rows = near.withColumn("strategy", F.when(use, "neighborhood").otherwise("random")).withColumn("nodes", F.when(use, F.array_sort(F.concat("anchor", fill))).otherwise(F.col("nodes"))).drop("pool")
+        rows = _scored(unknown(rows, known), known, {k: functions[k] for k in bounds}).withColumn("score", F.round(risks.combined(bounds), 9))
+        return rows.withColumn("accepted", risks.within(bounds) if budget is None else (F.col("score") <= budget) & risks.within(caps or {}))
+
+    made = rounds(sources.filter("size >= 2"), per_source, tries, attempt)
+    rank = F.struct((~F.col("accepted")).alias("a"), F.when(F.col("accepted"), F.lit(0.0)).otherwise(F.col("score")).alias("b"), F.col("attempt"), F.col("nodes"), F.col("accepted"), F.col("score"), F.col("strategy"), *[F.col(k) for k in bounds])
+    tried = F.sort_array(F.collect_list("attempt"))
+    best = made.groupBy("source_id", "slot").agg(F.min(rank).alias("b"), tried.alias("t"))
+    valid = F.size(F.filter("t", lambda t: ~F.col("b.accepted") | (t <= F.col("b.attempt")))).cast("long")
+    return best.select("source_id", "slot", "b.nodes", F.size("b.nodes").alias("size"), "b.attempt", "b.accepted", "b.score", "b.strategy", *[F.col(f"b.{k}").alias(k) for k in bounds], valid.alias("valid"))
 
 
 def diagnostics(samples: DataFrame, names: tuple[str, ...]) -> DataFrame:

@@ -134,14 +134,14 @@ def all_risks(spark, d):
 
 def risk_controlled(spark, d):
     e = edges(spark, d)
-    out = samplers.risk_controlled(e, e, parts_count(spark, d), {"nearest": 0.3, "closure": 0.35})
+    out = samplers.risk_controlled(e, e, parts_count(spark, d), {"nearest": 0.3, "closure": 0.35}, tries=4)
     return r6(listed(out.drop("strategy", "size")), "score", "nearest", "closure")
 
 
 def risk_controlled_near(spark, d):
     e = edges(spark, d)
     pool = indexes.replacement_pool(e, TOP, 16)
-    out = samplers.risk_controlled(e, e, parts_count(spark, d), {"nearest": 0.3, "closure": 0.35}, budget=1.5, caps={"nearest": 0.6}, pool=pool, pool_share=0.5)
+    out = samplers.risk_controlled(e, e, parts_count(spark, d), {"nearest": 0.3, "closure": 0.35}, budget=1.5, caps={"nearest": 0.6}, tries=4, pool=pool, pool_share=0.5)
     return samplers.diagnostics(out, ("nearest", "closure"))
 
 
@@ -440,7 +440,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sampler_size_matched": _sampled("size_matched"),
         "sampler_half_corruption": _sampled("half_corruption"),
         "sampler_anchored": _sampled("anchored_random"),
-        "sampler_anchored_safe": _sampled("anchored_safe"),
+        "sampler_anchored_safe": _sampled("anchored_safe", tries=4),
         "sampler_fast_safe": _sampled("fast_safe"),
         "sampler_clique": _sampled("cns"),
         "sampler_motif": motif,

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netweave import scratch
 from netweave.functions import edge_key
-from netweave.operators import banks, protocols, representations, retrieval, risks
+from netweave.operators import banks, dual, layers, membership, mixture, protocols, representations, retrieval, risks, samplers
 from netweave.plans import oracles as O
 from netweave.session import table
 from netweave.sources import hyperedges as H
@@ -149,6 +149,87 @@ def diversity(spark, d):
     return rounded(representations.diversity(v, DIM), "diversity")
 
 
+def _pairs_of(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return part.select(F.col("p_partkey").alias("node_id"), F.array(F.col("p_size") / 49.0, F.log("p_retailprice")).alias("vec"))
+
+
+def attention(spark, d):
+    out = layers.attention_pool(H.baskets(spark, d), _pairs_of(spark, d), [1.5, -0.8])
+    return rounded(out.select("edge_id", F.get("rep", F.lit(0)).alias("a"), F.get("rep", F.lit(1)).alias("b")), "a", "b")
+
+
+def deepsets(spark, d):
+    """One layer with fixed weights on two features of the parts; the norm is left out, as two components always have the same one."""
+    dense = layers.Dense
+    node_phi, edge_rho = dense(((1.0, 0.5), (-0.5, 0.2)), (0.1, 0.0), "relu"), dense(((0.3, 0.1, 0.2, 0.0), (0.0, 0.4, -0.1, 0.3)), (0.0, 0.1), "relu")
+    edge_phi, node_rho = dense(((1.0, -1.0), (0.5, 0.5)), (0.0, 0.2)), dense(((0.2, 0.0, 1.0, 0.0), (0.0, 0.2, 0.0, 1.0)), (0.0, 0.0), "relu")
+    out = layers.deepsets_layer(_pairs_of(spark, d), H.baskets(spark, d), node_phi, edge_rho, edge_phi, node_rho, norm=lambda c: c)
+    return rounded(out.select("node_id", F.get("vec", F.lit(0)).alias("a"), F.get("vec", F.lit(1)).alias("b")), "a", "b")
+
+
+def turn_sets(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Turns of conversations as sets of their words, numbered; those of two words or more, each set once; and the number of words."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: w != ""))
+    rows = table(spark, d, "conversations").select(F.xxhash64("conv_id", "turn", "text").alias("edge_id"), F.explode(words).alias("word"))
+    numbered = scratch.materialize(H.place_of(rows.select("word").distinct(), ["word"], "node_id"), "words")
+    inc = rows.join(numbered, "word").select("edge_id", "node_id").distinct()
+    return scratch.materialize(H.distinct_edges(H.edges_of(inc)).select("edge_id", "nodes", "size"), "turns"), numbered.count()
+
+
+def set_predictor(spark, d):
+    """Held-out figures of a perceptron that tells turns from half-corrupted ones by statistics of smoothed vectors; vectors and weights are learnt on the training turns."""
+    e, n = turn_sets(spark, d)
+    s = scratch.materialize(H.random_split(e), "split")
+    other = scratch.materialize(samplers.half_corruption(s, s, n), "corrupted")
+    rows = s.select(F.col("edge_id").alias("of"), "nodes", F.lit(1).alias("label")).unionByName(other.select(F.col("source_id").alias("of"), "nodes", F.lit(0).alias("label")))
+    rows = scratch.materialize(rows.join(s.select(F.col("edge_id").alias("of"), "split"), "of"), "labelled")
+    vectors = layers.smoothed_vectors(H.incidence_of(s.filter("split = 'train'")))
+    model = layers.SetPredictor().fit(rows.filter("split = 'train'"), vectors, 16)
+    out = model.score(rows.filter("split = 'test'"), vectors).select(F.lit("half").alias("protocol"), F.struct("of", "label").alias("pos"), "label", F.round("score", 6).alias("score"))
+    return rounded(protocols.evaluate_all(out), "auc", "ap", "ndcg", "mrr", "precision", "f1")
+
+
+def calibrated_mixture(spark, d):
+    """Bounds from observed risks, two pilots, and the sample that the calibrated mixture draws, with the figures of its attempts."""
+    e, n = edges(spark, d), parts_count(spark, d)
+    names = ("nearest", "closure")
+    found = mixture.calibrate(mixture.observe(e, e, n, names, count=128, per_source=2), names, q=0.95, budget_q=0.95, cap_times=1.5)
+    pilots = mixture.pilots(e, e, n, found["bounds"], count=64, tries=5)
+    share = mixture.mixture_share(pilots["neighborhood"], pilots["risk_aware"])
+    samples, attempts = mixture.controlled(e, e, n, found["bounds"], found["budget"], found["caps"], strategy=mixture.mixture_strategy(share, 0.1), neighbor_share=0.5, tries=5)
+    out = mixture.figures(samples, attempts, found["bounds"], found["budget"]).drop("part").withColumn("risk_aware_share", F.lit(share))
+    return rounded(out, *[c for c in out.columns if c != "samples"])
+
+
+def attempt_figures(spark, d):
+    """Figures of all attempts of random fills."""
+    e, bounds = edges(spark, d), {"nearest": 0.3, "closure": 0.35}
+    samples, attempts = mixture.controlled(e, e, parts_count(spark, d), bounds, tries=4)
+    out = mixture.figures(samples, attempts, bounds).drop("part")
+    return rounded(out, *[c for c in out.columns if c != "samples"])
+
+
+def corrupted_members(spark, d):
+    """Orders' memberships over lists of 16 candidates, corrupted by drawn numbers of steps."""
+    e = edges(spark, d)
+    lists = membership.candidate_lists(e, parts_count(spark, d), 16)
+    rates = membership.keep_rates(8)
+    out = membership.corrupted(lists, rates, membership.drawn_step(8))
+    return out.select("edge_id", "step", F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"), F.array_join(F.col("state").cast("array<string>"), "").alias("state"))
+
+
+def primal_dual(spark, d):
+    """Each order's lines as probes, chosen one order after another with multipliers that move with the discount and the tax; the end of the sequence as one row."""
+    w = Window.partitionBy("source_id").orderBy("item")
+    li = table(spark, d, "lineitem")
+    probes = li.select(F.col("l_orderkey").alias("source_id"), F.lit(0).alias("slot"), F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber").alias("item"), F.round(F.col("l_extendedprice") / 105000.0, 6).alias("score"), F.col("l_discount").alias("closure"), F.col("l_tax").alias("residual"))
+    probes = probes.withColumn("probe", F.row_number().over(w))
+    chosen, _ = dual.primal_dual(probes, {"closure": 0.04, "residual": 0.03}, shards=8, blocks=16)
+    out = dual.dual_figures(chosen)
+    return rounded(out, *[c for c in out.columns if c != "samples"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "protocol_batches_from_samplers": protocol_batch_rows,
@@ -163,6 +244,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "manifold_risk": manifold_risk,
         "manifold_nearest": nearest_in_bank,
         "diversity": diversity,
+        "attention_pool": attention,
+        "deepsets_layer": deepsets,
+        "set_predictor": set_predictor,
+        "sampler_calibrated_mixture": calibrated_mixture,
+        "sampler_attempt_figures": attempt_figures,
+        "membership_corruption": corrupted_members,
+        "primal_dual_sequence": primal_dual,
     }
 
 
@@ -273,8 +361,51 @@ sm AS (SELECT edge_id, k, avg(x) AS x FROM sw GROUP BY edge_id, k), rp AS (SELEC
 nb AS (SELECT vec_id AS source_id, max(list_cosine_similarity(embedding::DOUBLE[], rep)) AS nearest FROM embeddings CROSS JOIN rp GROUP BY vec_id)"""
 
 
+ATTEMPTS = f"""WITH {O.BASE}, {O.SETS}, {O.anchored(O.ANCHOR, True)},
+c AS (SELECT (source_id, attempt) AS id, nodes, source FROM an), {O.NEAREST_OF}, {O.CLOSURE_OF},
+sc AS (SELECT an.source_id, an.attempt, an.nodes, coalesce(near, 0) AS nearest, coalesce(clo, 0) AS closure FROM an LEFT JOIN cx ON cx.id = (an.source_id, an.attempt) LEFT JOIN cl ON cl.id = (an.source_id, an.attempt)),
+sd AS (SELECT *, nearest <= 0.3 AND closure <= 0.35 AS ok, round(nearest / 0.3::DOUBLE + closure / 0.35::DOUBLE, 9) AS combined, round(nearest + closure, 9) AS score FROM sc),
+fa AS (SELECT source_id, min(attempt) FILTER (WHERE ok) AS first FROM sd GROUP BY source_id),
+tr AS (SELECT kp.source_id, kp.attempt, kp.source_size, kp.keep, sd.attempt IS NOT NULL AS valid, sd.nodes, nearest, closure, combined, score, coalesce(ok, false) AS ok FROM kp LEFT JOIN sd USING (source_id, attempt) LEFT JOIN fa USING (source_id) WHERE first IS NULL OR kp.attempt <= first),
+be AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY NOT ok, CASE WHEN ok THEN 0 ELSE score END, attempt) AS r FROM tr WHERE valid),
+one AS (SELECT source_id, count(*) AS n, count(*) FILTER (WHERE valid) AS v, avg(num.n - source_size) AS pool FROM tr CROSS JOIN num GROUP BY source_id),
+go AS (SELECT *, CASE WHEN NOT ok AND nearest / 0.3::DOUBLE > 1 AND nearest / 0.3::DOUBLE >= closure / 0.35::DOUBLE THEN 'nearest' WHEN NOT ok THEN 'closure' END AS reason FROM tr WHERE valid),
+gs AS (SELECT round(avg((nearest <= 0.3)::INT), 6) AS nearest_pass_rate, round(avg((closure <= 0.35)::INT), 6) AS closure_pass_rate, round(avg(ok::INT), 6) AS all_pass_rate, round(avg((reason IS NOT DISTINCT FROM 'nearest')::INT), 6) AS nearest_rejection_rate,
+       round(avg((reason IS NOT DISTINCT FROM 'closure')::INT), 6) AS closure_rejection_rate, round(1 - count(DISTINCT (source_id, nodes)) / count(*)::DOUBLE, 6) AS repeat_rate FROM go),
+bs AS (SELECT count(*) AS samples, round(avg(ok::INT), 6) AS accept_rate, round(avg((NOT ok)::INT), 6) AS fallback_rate, round(avg(combined), 6) AS combined_risk_mean, round(avg(len(nodes)), 6) AS size_mean, round(avg(nearest), 6) AS nearest_mean, round(avg(closure), 6) AS closure_mean FROM be WHERE r = 1),
+os AS (SELECT round(avg(n), 6) AS attempts_mean, round(avg(v), 6) AS valid_mean, round(avg(pool), 6) AS pool_size_mean FROM one)
+SELECT bs.*, os.*, gs.*, 0.0::DOUBLE AS random_rate, 0.0::DOUBLE AS neighbor_rate, 0.0::DOUBLE AS risk_aware_rate, 0.0::DOUBLE AS residual_safe_rate, 0.0::DOUBLE AS budget_pass_rate,
+       0.0::DOUBLE AS cowalk_rejection_rate, 0.0::DOUBLE AS hitting_rejection_rate, 0.0::DOUBLE AS residual_rejection_rate, 0.0::DOUBLE AS budget_rejection_rate, 0.0::DOUBLE AS safety_rejection_rate FROM bs, os, gs"""
+
+PARTS = "ft AS (SELECT p_partkey AS node_id, p_size / 49.0::DOUBLE AS x, ln(p_retailprice) AS y FROM part)"
+ATTENTION = f"""WITH {O.INC}, {PARTS}, lg AS (SELECT edge_id, x, y, (1.5::DOUBLE * x - 0.8::DOUBLE * y) / sqrt(2.0::DOUBLE) AS l FROM inc JOIN ft USING (node_id)),
+sh AS (SELECT edge_id, x, y, exp(l - max(l) OVER (PARTITION BY edge_id)) AS w FROM lg)
+SELECT edge_id, round(sum(w * x) / sum(w), 6) AS a, round(sum(w * y) / sum(w), 6) AS b FROM sh GROUP BY edge_id"""
+DEEPSETS = f"""WITH {O.INC}, {PARTS},
+t AS (SELECT node_id, greatest(x + 0.5::DOUBLE * y + 0.1::DOUBLE, 0) AS a, greatest(-0.5::DOUBLE * x + 0.2::DOUBLE * y, 0) AS b FROM ft),
+e AS (SELECT edge_id, avg(a) AS ma, avg(b) AS mb, sum(a) / sqrt(count(*)) AS sa, sum(b) / sqrt(count(*)) AS sb FROM inc JOIN t USING (node_id) GROUP BY edge_id),
+c AS (SELECT edge_id, greatest(0.3::DOUBLE * ma + 0.1::DOUBLE * mb + 0.2::DOUBLE * sa, 0) AS a, greatest(0.4::DOUBLE * mb - 0.1::DOUBLE * sa + 0.3::DOUBLE * sb + 0.1::DOUBLE, 0) AS b FROM e),
+u AS (SELECT edge_id, a - b AS a, 0.5::DOUBLE * a + 0.5::DOUBLE * b + 0.2::DOUBLE AS b FROM c),
+k AS (SELECT node_id, avg(a) AS a, avg(b) AS b FROM inc JOIN u USING (edge_id) GROUP BY node_id)
+SELECT node_id, round(x + greatest(0.2::DOUBLE * x + coalesce(a, 0), 0), 6) AS a, round(y + greatest(0.2::DOUBLE * y + coalesce(b, 0), 0), 6) AS b FROM ft LEFT JOIN k USING (node_id)"""
+
+
+def _corrupted_sql() -> str:
+    rates = ", ".join(f"{r!r}::DOUBLE" for r in membership.keep_rates(8))
+    return f"""WITH {O.INC}, {O.SETS}, {O.NUM},
+cl AS (SELECT edge_id, nodes, list_slice(list_concat(nodes, list_filter(range(0, size + 16), lambda i: NOT list_contains(nodes, i) AND i < n)), 1, greatest(16, size)) AS candidates, {O.rnd("'1'", "'step'", "edge_id")} % 8 + 1 AS step FROM st CROSS JOIN num),
+ex AS (SELECT edge_id, step, nodes, generate_subscripts(candidates, 1) - 1 AS i, unnest(candidates) AS c FROM cl),
+dr AS (SELECT edge_id, i, ({O.rnd("'1'", "'corrupt'", "edge_id", "step", "i")} / 4294967296.0::DOUBLE < (1 + CASE WHEN list_contains(nodes, c) THEN 1 ELSE -1 END * [{rates}][step + 1]) / 2)::INT AS s FROM ex),
+ag AS (SELECT edge_id, string_agg(s::VARCHAR, '' ORDER BY i) AS state FROM dr GROUP BY edge_id)
+SELECT edge_id, step::INT AS step, array_to_string(candidates, ',') AS candidates, state FROM cl JOIN ag USING (edge_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "sampler_attempt_figures": ATTEMPTS,
+        "attention_pool": ATTENTION,
+        "deepsets_layer": DEEPSETS,
+        "membership_corruption": _corrupted_sql(),
         "protocol_batches_from_samplers": f"WITH {_batches_sql('val')} SELECT protocol, source_id, slot, array_to_string(nodes, ',') AS edge, label FROM bt",
         "protocol_metrics_from_samplers": METRICS_SQL,
         "validation_objectives_from_samplers": OBJECTIVES_SQL,
