@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netweave import scratch
 from netweave.functions import jaccard, safe_ratio
 from netweave.operators.indexes import adjacency, both_ways, edge_pairs, pair_support
 from netweave.sources.hyperedges import degrees, incidence_of
@@ -22,9 +23,10 @@ def _mean_over_pairs(candidates: DataFrame, pairs: DataFrame, value: Column) ->
     return candidates.select("cand_id").join(means, "cand_id", "left").select("cand_id", F.coalesce("risk", F.lit(0.0)).alias("risk"))
 
 
-def closure(edges: DataFrame, candidates: DataFrame, max_pairs: int = 0) -> DataFrame:
-    """Mean of ln(1 + number of edges with the pair) over the candidate's pairs."""
-    pairs = edge_pairs(candidates, max_pairs, "cand_id").join(pair_support(edges, max_pairs), ["x", "y"], "left")
+def closure(edges: DataFrame, candidates: DataFrame, max_pairs: int = 0, support: DataFrame | None = None) -> DataFrame:
+    """Mean of ln(1 + number of edges with the pair) over the candidate's pairs. ``support``: that of the edges' pairs, if it is at hand."""
+    support = pair_support(edges, max_pairs) if support is None else support
+    pairs = edge_pairs(candidates, max_pairs, "cand_id").join(support, ["x", "y"], "left")
     return _mean_over_pairs(candidates, pairs, F.log1p(F.coalesce("support", F.lit(0)).cast("double")))
 
 
@@ -33,9 +35,9 @@ def _needed(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, pairs.select("x", "y").distinct()
 
 
-def co_walk(edges: DataFrame, candidates: DataFrame, top: int = 128, max_pairs: int = 0) -> DataFrame:
-    """Mean cosine of the pair's truncated adjacency rows. Each distinct pair is computed once."""
-    near = adjacency(edges, top, max_pairs)
+def co_walk(edges: DataFrame, candidates: DataFrame, top: int = 128, max_pairs: int = 0, near: DataFrame | None = None) -> DataFrame:
+    """Mean cosine of the pair's truncated adjacency rows. Each distinct pair is computed once. ``near``: the truncated adjacency of the edges, if it is at hand."""
+    near = scratch.materialize(adjacency(edges, top, max_pairs), "adjacency") if near is None else near
     norms = near.groupBy("x").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     pairs, needed = _needed(candidates)
     left = near.select("x", F.col("y").alias("m"), F.col("w").alias("wa"))
@@ -46,11 +48,14 @@ def co_walk(edges: DataFrame, candidates: DataFrame, top: int = 128, max_pairs:
     return _mean_over_pairs(candidates, pairs.join(cosines, ["x", "y"], "left"), F.coalesce("c", F.lit(0.0)))
 
 
-def hitting(edges: DataFrame, candidates: DataFrame, top: int = 128, two_step: float = 0.5, max_pairs: int = 0) -> DataFrame:
-    """Mean over the pairs, both ways, of the chance to reach one node from the other in one step plus ``two_step`` times that in two."""
-    near = adjacency(edges, top, max_pairs)
+def hitting(edges: DataFrame, candidates: DataFrame, top: int = 128, two_step: float = 0.5, max_pairs: int = 0, near: DataFrame | None = None) -> DataFrame:
+    """Mean over the pairs, both ways, of the chance to reach one node from the other in one step plus ``two_step`` times that in two.
+
+    A pair meets the at most ``top`` neighbours of its first node, so hubs cost no more than other nodes. ``near``: the truncated adjacency of the edges, if it is at hand.
+    """
+    near = adjacency(edges, top, max_pairs) if near is None else near
     total = near.groupBy("x").agg(F.sum("w").alias("t"))
-    p = near.join(total, "x").select("x", "y", (F.col("w") / F.col("t")).alias("p"))
+    p = scratch.materialize(near.join(total, "x").select("x", "y", (F.col("w") / F.col("t")).alias("p")), "steps")
     pairs, needed = _needed(candidates)
     ways = both_ways(needed)
     one = ways.join(p, ["x", "y"]).select("x", "y", F.col("p").alias("h"))
@@ -64,12 +69,13 @@ def hitting(edges: DataFrame, candidates: DataFrame, top: int = 128, two_step: f
     return _mean_over_pairs(candidates, pairs.join(reach, ["x", "y"], "left"), F.coalesce("h", F.lit(0.0)))
 
 
-def residual(edges: DataFrame, candidates: DataFrame, max_pairs: int = 0) -> DataFrame:
+def residual(edges: DataFrame, candidates: DataFrame, max_pairs: int = 0, support: DataFrame | None = None) -> DataFrame:
     """Mean over the pairs of ln(1 + z), z the count above what degrees alone would give over its root; 0 if not above."""
     size = F.col("size").cast("double")
     totals = edges.agg(F.sum(size).alias("all_sizes"), F.sum(size * (size - 1)).alias("all_pairs"))
     d = degrees(incidence_of(edges))
-    pairs = edge_pairs(candidates, 0, "cand_id").join(pair_support(edges, max_pairs), ["x", "y"], "left")
+    support = pair_support(edges, max_pairs) if support is None else support
+    pairs = edge_pairs(candidates, 0, "cand_id").join(support, ["x", "y"], "left")
     pairs = pairs.join(d.select(F.col("node_id").alias("x"), F.col("degree").alias("da")), "x", "left").join(d.select(F.col("node_id").alias("y"), F.col("degree").alias("db")), "y", "left")
     pairs = pairs.join(F.broadcast(totals)).na.fill(0, ["support", "da", "db"])  # totals: one row
     base = F.col("all_sizes") * (F.col("all_sizes") - 1)
@@ -78,12 +84,13 @@ def residual(edges: DataFrame, candidates: DataFrame, max_pairs: int = 0) -> Dat
     return _mean_over_pairs(candidates, pairs, z)
 
 
-def nearest(edges: DataFrame, candidates: DataFrame, excluded: Column | None = None) -> DataFrame:
+def nearest(edges: DataFrame, candidates: DataFrame, excluded: Column | None = None, large: int = 64) -> DataFrame:
     """Largest Jaccard similarity to a known edge that shares a node; 0 if none.
 
     ``excluded``: the node set of an edge that does not count for the candidate; null for none.
 
-    Known sets are taken once each. Those that share two nodes or more meet on pairs of nodes, and c common
+    Known sets are taken once each. Of two sets with more than ``large`` nodes in either, the common nodes are counted node by node, so an edge costs as many rows as
+    its nodes have known sets of that kind. Other sets that share two nodes or more meet on pairs of nodes, and c common
     nodes give c * (c - 1) / 2 common pairs, so the number of meetings tells c. Of those that share one node the smallest
     is the nearest, and each node has its two smallest sets (one may be the excluded one), so a hub
     costs a row for each of its candidates and not for each of its known sets as well.
@@ -98,26 +105,35 @@ def nearest(edges: DataFrame, candidates: DataFrame, excluded: Column | None = N
     one = wanted.select("cand_id", "size", "not_id", F.explode("nodes").alias("node_id")).join(smallest, "node_id").filter(counts)
     one = one.select("cand_id", jaccard(F.lit(1), F.col("size"), F.col("known_size")).alias("j"))
 
-    met = edge_pairs(wanted, 0, "cand_id", "size", "not_id").join(edge_pairs(known, 0, "known_id", "known_size"), ["x", "y"]).filter(counts).groupBy("cand_id", "known_id")
+    small = F.col("size") <= large
+    met = edge_pairs(wanted.filter(small), 0, "cand_id", "size", "not_id").join(edge_pairs(known.filter(small), 0, "known_id", "known_size"), ["x", "y"]).filter(counts).groupBy("cand_id", "known_id")
     met = met.agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("known_size").alias("known_size"))
     common = F.round((1 + F.sqrt(8 * F.col("n") + 1)) / 2).cast("long")
     more = met.select("cand_id", jaccard(common, F.col("size"), F.col("known_size")).alias("j"))
 
-    best = one.unionByName(more).groupBy("cand_id").agg(F.max("j").alias("risk"))
+    held = known.select("known_id", "known_size", F.explode("nodes").alias("node_id"))
+    asked = wanted.select("cand_id", "size", "not_id", F.explode("nodes").alias("node_id"))
+    big = asked.filter(~small).join(held, "node_id").unionByName(asked.filter(small).join(held.filter(F.col("known_size") > large), "node_id")).filter(counts)
+    big = big.groupBy("cand_id", "known_id").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("known_size").alias("known_size"))
+    big = big.select("cand_id", jaccard(F.col("n"), F.col("size"), F.col("known_size")).alias("j"))
+
+    best = one.unionByName(more).unionByName(big).groupBy("cand_id").agg(F.max("j").alias("risk"))
     return candidates.select("cand_id").join(best, "cand_id", "left").select("cand_id", F.coalesce("risk", F.lit(0.0)).alias("risk"))
 
 
 NAMES = ("nearest", "closure", "cowalk", "hitting", "residual")
 
 
-def all_risks(edges: DataFrame, candidates: DataFrame, top: int = 32, exclude_self: bool = True) -> DataFrame:
-    """(cand_id, nearest, closure, cowalk, hitting, residual)."""
+def all_risks(edges: DataFrame, candidates: DataFrame, top: int = 128, exclude_self: bool = True) -> DataFrame:
+    """(cand_id, nearest, closure, cowalk, hitting, residual); pair support and adjacency are written once and read by all."""
+    support = scratch.materialize(pair_support(edges), "support")
+    near = scratch.materialize(adjacency(edges, top), "adjacency")
     parts = {
         "nearest": nearest(edges, candidates, F.col("nodes") if exclude_self else None),
-        "closure": closure(edges, candidates),
-        "cowalk": co_walk(edges, candidates, top),
-        "hitting": hitting(edges, candidates, top),
-        "residual": residual(edges, candidates),
+        "closure": closure(edges, candidates, support=support),
+        "cowalk": co_walk(edges, candidates, top, near=near),
+        "hitting": hitting(edges, candidates, top, near=near),
+        "residual": residual(edges, candidates, support=support),
     }
     out = candidates.select("cand_id")
     for name, risk in parts.items():
