@@ -414,9 +414,9 @@ ng AS (SELECT source_id, arg_min(nodes, attempt) AS nodes FROM ue WHERE nodes NO
 SELECT count(*) FILTER (WHERE nodes IN (SELECT nodes FROM sp WHERE split <> 'train')) AS hits, count(*) AS samples,
        round(count(*) FILTER (WHERE nodes IN (SELECT nodes FROM sp WHERE split <> 'train')) / count(*)::DOUBLE, 6) AS hit_rate FROM ng""",
     "negative_quality": f"""WITH {BASE}, {SETS}, {anchored('ceil(source_size / 2)::BIGINT', False)},
-c AS (SELECT source_id AS id, arg_min(nodes, attempt) AS nodes, any_value(source) AS source FROM an GROUP BY source_id), {CLOSURE_OF},
-q AS (SELECT c.id, coalesce(clo, 0) AS clo, len(list_intersect(nodes, source)) / (len(nodes) + len(source) - len(list_intersect(nodes, source)))::DOUBLE AS j, {rnd("'hardness'", "c.id")} / 4294967296.0::DOUBLE AS h FROM c LEFT JOIN cl USING (id))
-SELECT round(avg(h), 6) AS mean_hardness, round(avg((h BETWEEN 0.3 AND 0.7)::INT), 6) AS hard_ratio, round(avg(j), 6) AS mean_source_jaccard, round(avg(clo), 6) AS mean_closure FROM q""",
+c AS (SELECT source_id AS id, arg_min(nodes, attempt) AS nodes, any_value(source) AS source FROM an GROUP BY source_id), {CLOSURE_OF}, {NEAREST_OF},
+q AS (SELECT c.id, coalesce(clo, 0) AS clo, coalesce(near, 0) AS near, len(list_intersect(nodes, source)) / (len(nodes) + len(source) - len(list_intersect(nodes, source)))::DOUBLE AS j, coalesce(clo, 0) / (1 + coalesce(clo, 0)) AS h FROM c LEFT JOIN cl USING (id) LEFT JOIN cx USING (id))
+SELECT round(avg(h), 6) AS mean_hardness, round(avg((h BETWEEN 0.1 AND 0.3)::INT), 6) AS hard_ratio, round(avg(j), 6) AS mean_source_jaccard, round(avg(near), 6) AS mean_nearest, round(avg(clo), 6) AS mean_closure FROM q""",
     "feature_row_normalize": """
 WITH e AS (SELECT vec_id AS node_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS v FROM embeddings),
 s AS (SELECT node_id, v, list_sum(v) AS s FROM e),

@@ -182,10 +182,10 @@ def diffusion_mixed(spark, d):
 
 
 def boundary_guided(spark, d):
-    """Guided by a stand-in score of each set, a named draw; a model's scores take its place."""
+    """Guided by the structure of the known edges: a set's closure over one more than it."""
     e = edges(spark, d)
-    scorer = lambda rows: rows.withColumn("score", F.round(uniform("model", edge_key(F.col("nodes"))), 6))
-    out = proposals.boundary_guided(e, e, parts_count(spark, d), scorer, {"nearest": 0.3, "closure": 0.35}, multipliers={"nearest": 0.1, "closure": 0.1})
+    scorer = lambda rows: rows.withColumn("score", F.round(F.col("closure") / (1 + F.col("closure")), 6))
+    out = proposals.boundary_guided(e, e, parts_count(spark, d), scorer, {"nearest": 0.3, "closure": 0.35}, target=0.2, band=(0.1, 0.3), multipliers={"nearest": 0.1, "closure": 0.1})
     return r6(listed(out.drop("size")), "risk", "nearest", "closure")
 
 
@@ -205,12 +205,14 @@ def future_hits(spark, d):
 
 
 def negative_quality(spark, d):
+    """Half-corrupted orders: how hard they are by their closure over one more than it, how near their source and other orders, and their closure."""
     e = edges(spark, d)
     s = samplers.half_corruption(e, e, parts_count(spark, d))
-    c = scratch.materialize(s.select(F.col("source_id").alias("cand_id"), "nodes", "size"), "sampled")
-    rows = c.join(risks.closure(e, c).withColumnRenamed("risk", "closure"), "cand_id").join(e.select(F.col("edge_id").alias("cand_id"), F.col("nodes").alias("source")), "cand_id")
-    rows = rows.select("closure", set_jaccard(F.col("nodes"), F.col("source")).alias("source_jaccard"), uniform("hardness", F.col("cand_id")).alias("hardness"))
-    out = metrics.negative_quality(rows)
+    own = e.select(F.col("edge_id").alias("cand_id"), F.col("nodes").alias("source"))
+    c = scratch.materialize(s.select(F.col("source_id").alias("cand_id"), "nodes", "size").join(own, "cand_id"), "sampled")
+    rows = c.join(risks.closure(e, c).withColumnRenamed("risk", "closure"), "cand_id").join(risks.nearest(e, c, F.col("source")).withColumnRenamed("risk", "nearest"), "cand_id")
+    rows = rows.select("closure", "nearest", set_jaccard(F.col("nodes"), F.col("source")).alias("source_jaccard"), (F.col("closure") / (1 + F.col("closure"))).alias("hardness"))
+    out = metrics.negative_quality(rows, 0.1, 0.3)
     return r6(out, *out.columns)
 
 
