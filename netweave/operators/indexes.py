@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from netweave.sources.hyperedges import degrees, incidence_of
 
 
-def _all_pairs(nodes: str) -> Column:
+#: Nodes whose pairs with all later ones are listed in one row.
+STRIP = 64
+
+
+def _strip_pairs(nodes: str, strip: Column) -> Column:
+    """The pairs of the nodes from place STRIP * ``strip`` on, STRIP of them, with all nodes behind each."""
     n = F.col(nodes)
+    start = strip * STRIP
     rest = lambda i: F.slice(n, i + 2, F.greatest(F.size(n) - i - 1, F.lit(0)))
-    return F.flatten(F.transform(n, lambda x, i: F.transform(rest(i), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return F.flatten(F.transform(F.slice(n, start + 1, F.lit(STRIP)), lambda x, k: F.transform(rest(start + k), lambda y: F.struct(x.alias("x"), y.alias("y")))))
 
 
 def _cyclic_pairs(nodes: str, max_pairs: int) -> Column:
@@ -31,28 +37,51 @@ def edge_pairs(edges: DataFrame, max_pairs: int = 0, id_col: str = "edge_id", *e
     """(id, extra columns, x, y) with x < y for each pair of an edge's nodes.
 
     Edges with more than ``max_pairs`` pairs (0: no bound) give a cyclic choice of that many, so a
-    huge edge does not grow with the square of its size.
+    huge edge does not grow with the square of its size. Without a bound, edges are listed strip by strip, so that no row holds all pairs of a huge one.
     """
-    pairs = _all_pairs("nodes")
+    fits = edges.filter("size >= 2")
     if max_pairs > 0:
-        pairs = F.when(F.col("size") * (F.col("size") - 1) / 2 <= max_pairs, pairs).otherwise(_cyclic_pairs("nodes", max_pairs))
-    return edges.filter("size >= 2").select(id_col, *extra, F.explode(pairs).alias("p")).select(id_col, *extra, "p.x", "p.y")
+        few = F.col("size") * (F.col("size") - 1) / 2 <= max_pairs
+        strips = F.when(few, F.sequence(F.lit(0), F.floor((F.col("size") - 2) / STRIP).cast("int"))).otherwise(F.array(F.lit(-1)))
+        pairs = F.when(F.col("__strip") >= 0, _strip_pairs("nodes", F.greatest("__strip", F.lit(0)))).otherwise(_cyclic_pairs("nodes", max_pairs))
+    else:
+        strips, pairs = F.sequence(F.lit(0), F.floor((F.col("size") - 2) / STRIP).cast("int")), _strip_pairs("nodes", F.col("__strip"))
+    rows = fits.select(id_col, *extra, "nodes", *[c for c in ("size",) if c not in extra], F.explode(strips).alias("__strip"))
+    return rows.select(id_col, *extra, F.explode(pairs).alias("p")).select(id_col, *extra, "p.x", "p.y")
 
 
 def pair_support(edges: DataFrame, max_pairs: int = 0) -> DataFrame:
     return edge_pairs(edges, max_pairs).groupBy("x", "y").agg(F.count(F.lit(1)).alias("support"))
 
 
-def edge_triples(edges: DataFrame) -> DataFrame:
-    """(edge_id, x, y, z) with x < y < z, listed node by node, so that no row holds all triples of an edge."""
+def _cyclic_triples(nodes: str, max_triples: int) -> Column:
+    """A bounded, even choice of triples: nodes with those one and two growing offsets further on, around the edge."""
+    n = F.col(nodes)
+    size = F.size(n)
+    offsets = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(size - 1, F.floor(F.lit(max_triples) / size).cast("int") + 1)))
+    at = lambda i, o: F.array_sort(F.array(F.get(n, i), F.get(n, (i + o) % size), F.get(n, (i + 2 * o) % size)))
+    listed = F.flatten(F.transform(offsets, lambda o: F.transform(F.sequence(F.lit(0), size - 1), lambda i: at(i, o))))
+    return F.slice(F.array_distinct(F.filter(listed, lambda t: F.size(F.array_distinct(t)) == 3)), 1, max_triples)
+
+
+def edge_triples(edges: DataFrame, max_triples: int = 0) -> DataFrame:
+    """(edge_id, x, y, z) with x < y < z, listed node by node, so that no row holds all triples of an edge.
+
+    Edges with more than ``max_triples`` triples (0: no bound) give a cyclic choice of at most that many, which do not grow with the third power of their size.
+    """
+    many = F.col("size") * (F.col("size") - 1) * (F.col("size") - 2) / 6 > max_triples if max_triples > 0 else F.lit(False)
     after = lambda k: F.slice("nodes", F.col(k) + 2, F.greatest(F.size("nodes") - F.col(k) - 1, F.lit(0)))
-    rows = edges.filter("size >= 3").select("edge_id", "nodes", F.posexplode("nodes").alias("i", "x"))
+    rows = edges.filter("size >= 3").filter(~many).select("edge_id", "nodes", F.posexplode("nodes").alias("i", "x"))
     rows = rows.select("edge_id", "x", after("i").alias("nodes")).select("edge_id", "x", "nodes", F.posexplode("nodes").alias("j", "y"))
-    return rows.select("edge_id", "x", "y", F.explode(after("j")).alias("z"))
+    rows = rows.select("edge_id", "x", "y", F.explode(after("j")).alias("z"))
+    if max_triples <= 0:
+        return rows
+    chosen = edges.filter("size >= 3").filter(many).select("edge_id", F.explode(_cyclic_triples("nodes", max_triples)).alias("t"))
+    return rows.unionByName(chosen.select("edge_id", F.get("t", F.lit(0)).alias("x"), F.get("t", F.lit(1)).alias("y"), F.get("t", F.lit(2)).alias("z")))
 
 
-def triple_support(edges: DataFrame) -> DataFrame:
-    return edge_triples(edges).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("support"))
+def triple_support(edges: DataFrame, max_triples: int = 0) -> DataFrame:
+    return edge_triples(edges, max_triples).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("support"))
 
 
 def both_ways(pairs: DataFrame, *extra: str) -> DataFrame:
@@ -120,10 +149,10 @@ def _three_means(support: DataFrame, order: int) -> DataFrame:
     )
 
 
-def expansion_means(edges: DataFrame) -> DataFrame:
-    """Means of pair and triple support for each edge; 0 where it has none."""
-    two = edge_pairs(edges).join(pair_support(edges), ["x", "y"])
-    three = edge_triples(edges).join(triple_support(edges), ["x", "y", "z"])
+def expansion_means(edges: DataFrame, max_pairs: int = 0, max_triples: int = 0) -> DataFrame:
+    """Means of pair and triple support for each edge; 0 where it has none. Bounds as in ``edge_pairs`` and ``edge_triples``."""
+    two = edge_pairs(edges, max_pairs).join(pair_support(edges, max_pairs), ["x", "y"])
+    three = edge_triples(edges, max_triples).join(triple_support(edges, max_triples), ["x", "y", "z"])
     out = edges.select("edge_id").join(_three_means(two, 2), "edge_id", "left").join(_three_means(three, 3), "edge_id", "left")
     return out.na.fill(0.0)
 

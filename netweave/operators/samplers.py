@@ -230,13 +230,15 @@ def motif(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1,
     return with_fallback(done, sources, known, nodes, per_source, tries, seed)
 
 
-def mixed(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int = 1) -> DataFrame:
-    """Each slot by one of the random, motif and clique samplers, drawn evenly; adds ``kind``."""
+def mixed(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1, seed: int | str = 1) -> DataFrame:
+    """Each slot by one of the random, motif and clique samplers, drawn evenly; adds ``kind``. A sampler gets the sources that have a slot of its kind, and no others."""
     kinds = {"sns": uniform_edges, "mns": motif, "cns": clique}
     chosen = draw(seed, "kind", F.col("source_id"), F.col("slot")) % 3
+    drawn = slots(sources, per_source).select("source_id", chosen.alias("kind"))
     out = None
     for k, (name, f) in enumerate(kinds.items()):
-        part = f(sources, known, nodes, per_source=per_source, seed=seed).filter(chosen == k)
+        own = sources.join(drawn.filter(F.col("kind") == k).select(F.col("source_id").alias("edge_id")).distinct(), "edge_id", "left_semi")
+        part = f(own, known, nodes, per_source=per_source, seed=seed).filter(chosen == k)
         part = part.select("source_id", "slot", "nodes", "size", F.lit(name).alias("kind"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -403,16 +403,10 @@ SELECT round({_bound('closure')}, 6) AS closure_bound, round(quantile_disc(closu
        round({_bound('residual')}, 6) AS residual_bound, round(quantile_disc(residual, 0.9), 6) AS residual_stat, round(avg((residual <= 0)::INT), 6) AS residual_zero_rate FROM ob""",
     "calibrated_budget": f"""WITH {OBSERVED}, bd AS (SELECT {_bound('closure')} AS a, {_bound('residual')} AS b FROM ob)
 SELECT round(quantile_cont(closure / a + residual / b, 0.8), 6) AS budget FROM ob CROSS JOIN bd""",
-    "future_positive_hits": f"""WITH {SPLIT.replace("sp AS", "sp0 AS")},
-sp AS (SELECT * FROM sp0), tn AS (SELECT edge_id, nodes, size FROM sp WHERE split = 'train'),
-at2 AS (SELECT edge_id AS source_id, size AS want, 0 AS slot, attempt FROM tn CROSS JOIN (SELECT unnest(range(4)) AS attempt) WHERE size = 2), num AS (SELECT max(node_id) + 1 AS n FROM inc),
-dw AS (SELECT source_id, attempt, want, {rnd("'1'", "'node'", "source_id", "slot", "attempt", "i")} % n AS v, i FROM at2 CROSS JOIN num CROSS JOIN (SELECT unnest(range(64)) AS i)),
-fw AS (SELECT source_id, attempt, want, v, min(i) AS i FROM dw GROUP BY ALL),
-gw AS (SELECT *, row_number() OVER (PARTITION BY source_id, attempt ORDER BY i) AS r FROM fw),
-ue AS (SELECT source_id, attempt, list(v ORDER BY v) AS nodes FROM gw WHERE r <= want GROUP BY source_id, attempt, want HAVING count(*) = want),
-ng AS (SELECT source_id, arg_min(nodes, attempt) AS nodes FROM ue WHERE nodes NOT IN (SELECT nodes FROM tn) GROUP BY source_id)
+    "future_positive_hits": f"""WITH {SPLIT}, tn AS (SELECT edge_id, nodes, size FROM sp WHERE split = 'train'),
+{uniform_edges('source_size').replace("FROM st CROSS JOIN", "FROM tn CROSS JOIN").replace("SELECT st.edge_id", "SELECT tn.edge_id").replace(KNOWN, KNOWN.replace("FROM st", "FROM tn"))}
 SELECT count(*) FILTER (WHERE nodes IN (SELECT nodes FROM sp WHERE split <> 'train')) AS hits, count(*) AS samples,
-       round(count(*) FILTER (WHERE nodes IN (SELECT nodes FROM sp WHERE split <> 'train')) / count(*)::DOUBLE, 6) AS hit_rate FROM ng""",
+       round(count(*) FILTER (WHERE nodes IN (SELECT nodes FROM sp WHERE split <> 'train')) / count(*)::DOUBLE, 6) AS hit_rate FROM us""",
     "negative_quality": f"""WITH {BASE}, {SETS}, {anchored('ceil(source_size / 2)::BIGINT', False)},
 c AS (SELECT source_id AS id, arg_min(nodes, attempt) AS nodes, any_value(source) AS source FROM an GROUP BY source_id), {CLOSURE_OF}, {NEAREST_OF},
 q AS (SELECT c.id, coalesce(clo, 0) AS clo, coalesce(near, 0) AS near, len(list_intersect(nodes, source)) / (len(nodes) + len(source) - len(list_intersect(nodes, source)))::DOUBLE AS j, coalesce(clo, 0) / (1 + coalesce(clo, 0)) AS h FROM c LEFT JOIN cl USING (id) LEFT JOIN cx USING (id))

@@ -146,13 +146,13 @@ def risk_controlled_near(spark, d):
 
 
 def mixed(spark, d):
-    s = splits(spark, d)
-    return listed(samplers.mixed(s.filter("split = 'test'"), s.filter("split = 'train'"), parts_count(spark, d)))
+    e = edges(spark, d)
+    return listed(samplers.mixed(e, e, parts_count(spark, d)))
 
 
 def motif(spark, d):
-    s = splits(spark, d)
-    return listed(samplers.motif(s.filter("split = 'test'"), s.filter("split = 'train'"), parts_count(spark, d)).select("source_id", "slot", "nodes", "fallback"))
+    e = edges(spark, d)
+    return listed(samplers.motif(e, e, parts_count(spark, d)).select("source_id", "slot", "nodes", "fallback"))
 
 
 def star_negatives(spark, d):
@@ -200,7 +200,7 @@ def proposal_diagnostics(spark, d):
 
 def future_hits(spark, d):
     s = splits(spark, d)
-    negatives = samplers.uniform_edges(s.filter("split = 'train' and size = 2"), s.filter("split = 'train'"), parts_count(spark, d))
+    negatives = samplers.uniform_edges(s.filter("split = 'train'"), s.filter("split = 'train'"), parts_count(spark, d))
     return r6(metrics.future_hits(negatives, s.filter("split <> 'train'")), "hit_rate")
 
 

@@ -12,6 +12,7 @@ from netweave.functions import edge_key
 from netweave.operators import banks, dual, layers, membership, mixture, protocols, representations, retrieval, risks, samplers
 from netweave.plans import oracles as O
 from netweave.session import table
+from netweave.sources import datasets
 from netweave.sources import hyperedges as H
 
 DIM = 64
@@ -230,6 +231,18 @@ def primal_dual(spark, d):
     return rounded(out, *[c for c in out.columns if c != "samples"])
 
 
+def load_text(spark, d):
+    """Orders of two parts or more written as an edge file and loaded with the parts' features, checks and split."""
+    e, n = edges(spark, d).filter("size >= 2"), parts_count(spark, d)
+    root = scratch.new_path(spark, "dataset")
+    e.select(F.array_join(F.col("nodes").cast("array<string>"), " ").alias("value")).write.text(f"{root}/orders_edges.txt")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("vec"))
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    spark.range(n).join(part, "id", "left").select(F.col("id").alias("node_id"), F.coalesce("vec", zero).alias("vec")).write.parquet(f"{root}/orders_features.parquet")
+    found = datasets.load(spark, datasets.Entry("orders", nodes=n), root, features=True)
+    return found.edges.select(F.col("edge_id").alias("edge"), "size", "split")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "protocol_batches_from_samplers": protocol_batch_rows,
@@ -244,6 +257,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "manifold_risk": manifold_risk,
         "manifold_nearest": nearest_in_bank,
         "diversity": diversity,
+        "dataset_load_text": load_text,
         "attention_pool": attention,
         "deepsets_layer": deepsets,
         "set_predictor": set_predictor,
@@ -402,6 +416,9 @@ SELECT edge_id, step::INT AS step, array_to_string(candidates, ',') AS candidate
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "dataset_load_text": f"""WITH {O.INC}, {O.SETS}, ds AS (SELECT DISTINCT array_to_string(nodes, ',') AS edge, size FROM st WHERE size >= 2),
+od AS (SELECT *, row_number() OVER (ORDER BY {O.rnd("'1'", "'split'", "edge")}, edge) - 1 AS place, count(*) OVER () AS n FROM ds)
+SELECT edge, size::INT AS size, CASE WHEN place < floor(n * 0.6) THEN 'train' WHEN place < floor(n * 0.6) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM od""",
         "sampler_attempt_figures": ATTEMPTS,
         "attention_pool": ATTENTION,
         "deepsets_layer": DEEPSETS,
