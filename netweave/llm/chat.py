@@ -77,7 +77,7 @@ def canonical_turns(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
 
     Rows of the per-turn layout are gathered by id, ordered by turn, role and text (null turns
     first); ids may be null and then form one conversation. A conversation becomes one row of the
-    output, so its own size bounds the task's memory; there is no other group.
+    output, so its own size bounds the task's memory; there is no other group. An empty table gives no rows.
     """
     have = field_paths(df.schema)
     tops = {p.split(".")[0].split("[")[0] for p in have}

@@ -86,7 +86,7 @@ def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     the text), kept, text_sha256. Null text counts as empty. Of equal texts that are new, the row
     with the most code points stays, then that with the smallest id (null ids last), then the first
     by place in its file, so of repeated rows one stays. If the index has the text, none stays and
-    keep_id names the indexed row. An empty table gives no rows and leaves the index as it is.
+    keep_id names the indexed row. Of very long texts only digests move. An empty table gives no rows and leaves the index as it is.
 
     ``batch`` names the batch in the index. A job that may be run again passes the same name each
     time: what an earlier run has appended under it counts as new again, so the result is the same

@@ -91,7 +91,9 @@ def curve_runs(
     Returns __row, doc_id, size (bytes of the text plus 8; null text has none), text_crc32, cell
     coordinates, curve, shard, slot. With fewer rows than shards, some shards stay empty; an empty
     table gives no rows. Null ids come first in a cell, null sources and languages have cells of
-    their own, and repeated rows stand side by side in the order of their row keys.
+    their own, and repeated rows stand side by side in the order of their row keys. Equal texts of one
+    source and language are neighbours; those of different cells are not, so copies may lie in several
+    shards. Of a very long text only its size and CRC-32 move.
     """
     text = text_of(text_col).cast("binary")
     rows = keyed(

@@ -335,8 +335,11 @@ def score_documents(docs: DataFrame, top: int = 200_000, bits: int = 16, rounds:
 
     Null text is empty and has the end as its only token. A null id counts as empty text for the
     fold. If nothing is left to train on, every token is unseen and the scores are those of the
-    smoothing alone. Repeated rows are trained on and scored as often as they come. An empty
-    table gives no rows.
+    smoothing alone. Repeated rows are trained on and scored as often as they come. Very long
+    texts are scored whole, in batches of tokens. An empty table gives no rows.
+
+    Classes: at most 8 labels have their own, and ``top`` words in all; the rest share one of each label. Tasks train alone
+    and their weights are averaged, so ``score`` depends on how the input is split into tasks.
     """
     docs = scratch.as_files(docs)
     training = docs.filter(~is_held_out(col(id_col)))

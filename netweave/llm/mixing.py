@@ -123,7 +123,7 @@ def mix(
 
     Null text has size 0. A source at its cap, or without words, has nothing left to fill, so no
     row, empty ones included, is repeated beyond the whole times. Null ids share a hash and are told
-    apart by place, as are repeated rows. An empty table gives no rows.
+    apart by place, as are repeated rows. Of a very long text only its number of words moves. An empty table gives no rows.
     """
     rows, cut, edge = _plan(docs, weights, share, max_epochs, seed, id_col, text_col, source_col)
     out, got = _times(rows, "__row", F.col("source"), [F.col(f"k{k}") for k in range(4)], cut, edge)

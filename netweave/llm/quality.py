@@ -85,7 +85,8 @@ def judge(
     spread over many tasks before it meets in one number.
 
     Null text counts as empty and fails the base rules; null hosts form one host. Repeated rows
-    are judged alike. An empty table gives no rows.
+    are judged alike. Ties, a share or a count exactly at a limit, are above it. Very long texts are
+    judged whole: a row holds its lines. An empty table gives no rows.
     """
     return _judged(docs, min_words, max_repeat_percent, min_docs, min_share, many_docs, min_left, id_col, text_col, host_col).drop("frequent")
 
