@@ -13,22 +13,27 @@ from netweave.llm import exact_dedup, mixing, near_dup, packing, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the rules reject, and without the lines above the limits in the others. Null and empty texts have no words and go; other columns stay; an empty table stays empty."""
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, white space aside: the one with the most code points, then the smallest id (null last), then the first in its file. Null counts as empty."""
     return exact_dedup.dedup(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies: the smallest id (null last), then the first in its file. Texts without words are copies of none and all stay."""
     return near_dup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, none beyond its cap, so rows may repeat; null is a source of its own; nulls, empty texts and empty tables as in ``mixing.mix``."""
     return mixing.apply_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences, repeated rows as often as they come; texts of any length are cut into pieces."""
     return packing.pack_documents(docs)
 
 

@@ -19,15 +19,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+_leaving: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
     """The shared folder, as a URI that Spark can write to."""
     _ship(spark)
     conf = spark.sparkContext.getConf()
+    app = spark.sparkContext.applicationId
     if given := conf.get("spark.checkpoint.dir"):
+        if app not in _leaving:
+            _leaving.add(app)
+            atexit.register(_leave, spark)
         return given.rstrip("/")
-    app = spark.sparkContext.applicationId
     if app not in _local:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -62,6 +66,15 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _leave(spark: SparkSession) -> None:
+    """Delete the tables when the driver's program ends; a context that was stopped before leaves them to ``release``."""
+    try:
+        if not spark.sparkContext._jsc.sc().isStopped():
+            release(spark)
+    except Exception:  # the JVM may be gone, and the program is over anyway
+        pass
+
+
 def _place(df: DataFrame) -> tuple[Column, Column]:
     """The file of a row, hashed, and its place there; a column of the name ``_metadata`` does not hide them."""
     meta = df.metadataColumn("_metadata")
