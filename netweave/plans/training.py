@@ -231,6 +231,13 @@ def primal_dual(spark, d):
     return rounded(out, *[c for c in out.columns if c != "samples"])
 
 
+def roles(spark, d):
+    """Lines of each order as candidates, named by a tenth of the supplier, so that some repeat: one teacher and two for retrieval."""
+    pool = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("slot"), F.array(F.floor(F.col("l_suppkey") / 10)).alias("nodes"), F.lit("line").alias("label"))
+    out = retrieval.split_roles(pool, 1, 2, strict=False)
+    return out.select("source_id", "role", F.col("slot").cast("int").alias("slot"), F.get("nodes", F.lit(0)).alias("node"), "padded")
+
+
 def load_text(spark, d):
     """Orders of two parts or more written as an edge file and loaded with the parts' features, checks and split."""
     e, n = edges(spark, d).filter("size >= 2"), parts_count(spark, d)
@@ -258,6 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "manifold_nearest": nearest_in_bank,
         "diversity": diversity,
         "dataset_load_text": load_text,
+        "teacher_retrieval_roles": roles,
         "attention_pool": attention,
         "deepsets_layer": deepsets,
         "set_predictor": set_predictor,
@@ -419,6 +427,13 @@ def oracle_sql() -> dict[str, str]:
         "dataset_load_text": f"""WITH {O.INC}, {O.SETS}, ds AS (SELECT DISTINCT array_to_string(nodes, ',') AS edge, size FROM st WHERE size >= 2),
 od AS (SELECT *, row_number() OVER (ORDER BY {O.rnd("'1'", "'split'", "edge")}, edge) - 1 AS place, count(*) OVER () AS n FROM ds)
 SELECT edge, size::INT AS size, CASE WHEN place < floor(n * 0.6) THEN 'train' WHEN place < floor(n * 0.6) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM od""",
+        "teacher_retrieval_roles": """WITH p AS (SELECT l_orderkey AS source_id, floor(l_suppkey / 10)::BIGINT AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem),
+f AS (SELECT source_id, node, min(place) AS first, bool_or(place = 1) AND bool_or(place IN (2, 3)) AS in_both FROM p GROUP BY source_id, node),
+g AS (SELECT *, bool_or(in_both) OVER (PARTITION BY source_id) AS overlap, row_number() OVER (PARTITION BY source_id ORDER BY first) AS r, count(*) OVER (PARTITION BY source_id) AS u FROM f)
+SELECT source_id, CASE WHEN place = 1 THEN 'teacher' ELSE 'retrieval' END AS role, CASE WHEN place = 1 THEN 0 ELSE place - 2 END::INT AS slot, node, false AS padded
+FROM p JOIN g USING (source_id, node) WHERE NOT overlap AND place <= 3
+UNION ALL SELECT source_id, 'teacher', 0, node, false FROM g WHERE overlap AND u >= 2 AND r = 1
+UNION ALL SELECT source_id, 'retrieval', s::INT, node, s >= least(2, u - 1) FROM g CROSS JOIN (SELECT unnest([0, 1]) AS s) WHERE overlap AND u >= 2 AND r = 2 + s % least(2, u - 1)""",
         "sampler_attempt_figures": ATTEMPTS,
         "attention_pool": ATTENTION,
         "deepsets_layer": DEEPSETS,

@@ -248,3 +248,41 @@ def test_set_predictor_and_layers(spark):
         layers.Dense(((1.0,),), (0.0,), "other")
     normed = nodes.select(layers.layer_norm(F.col("vec")).alias("v")).first().v
     assert normed == pytest.approx([-1, 1], abs=1e-4)
+
+
+def plain_roles(listed, teacher, retrieval):
+    a, b = listed[:teacher], listed[teacher : teacher + retrieval]
+    if set(a) & set(b):
+        u = list(dict.fromkeys(listed))
+        n = min(retrieval, max(1, len(u) - 1))
+        t = max(1, min(teacher, len(u) - n))
+        a, b = u[:t], u[t : t + n]
+        a, b = [a[k % len(a)] for k in range(teacher)], [b[k % len(b)] for k in range(retrieval)]
+    return {("teacher", k): x for k, x in enumerate(a)} | {("retrieval", k): x for k, x in enumerate(b)}
+
+
+@pytest.mark.parametrize("teacher,retrieval_", [(1, 2), (3, 4), (2, 8)])
+def test_roles(spark, teacher, retrieval_):
+    r = random.Random(teacher)
+    lists = {k: [(r.randrange(6),) for _ in range(r.randrange(2, 9))] for k in range(80)}
+    lists = {k: v for k, v in lists.items() if len(set(v)) > 1}
+    pool = spark.createDataFrame([(k, s, list(n), "x") for k, v in lists.items() for s, n in enumerate(v)], "source_id long, slot int, nodes array<long>, label string")
+    got = defaultdict(dict)
+    for x in retrieval.split_roles(pool, teacher, retrieval_).collect():
+        assert (x.role, x.slot) not in got[x.source_id]
+        got[x.source_id][x.role, x.slot] = tuple(x.nodes)
+    assert dict(got) == {k: plain_roles(v, teacher, retrieval_) for k, v in lists.items()}
+    one = pool.filter("source_id = 0").limit(1).withColumn("slot", F.explode(F.array(F.lit(0), F.lit(1))))
+    with pytest.raises(Exception, match="single candidate"):
+        retrieval.split_roles(one, 1, 1).collect()
+    assert retrieval.split_roles(one, 1, 1, strict=False).count() == 0
+
+
+def test_exclude_teacher(spark):
+    rows = [(1, k, [n], "x") for k, n in enumerate([5, 6, 7, 5])] + [(2, 0, [5], "x"), (2, 1, [9], "y")]
+    c = scratch.materialize(spark.createDataFrame(rows, "source_id long, slot int, nodes array<long>, label string"), "c")
+    t = spark.createDataFrame([(1, [6]), (2, [5]), (1, [6])], "source_id long, nodes array<long>")
+    got = {(x.source_id, x.slot): x.nodes[0] for x in retrieval.exclude_teacher(c, t, 5).collect()}
+    assert got == {(1, 0): 5, (1, 1): 7, (1, 2): 5, (1, 3): 5, (1, 4): 7} | {(2, k): 9 for k in range(5)}
+    with pytest.raises(ValueError):
+        retrieval.exclude_teacher(c, c, 5)
