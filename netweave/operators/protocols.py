@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from netweave import scratch
 from netweave.functions import draw
-from netweave.operators.metrics import curve, mean_reciprocal_rank, ndcg, precision_f1
+from netweave.operators import samplers
+from netweave.operators.metrics import curve, future_hits, mean_reciprocal_rank, ndcg, precision_f1
 from netweave.sources.hyperedges import place_of
 
 
@@ -90,6 +91,12 @@ def sample_sources(edges: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return edges.withColumn("__d", draw(seed, "source", F.col("edge_id"))).orderBy("__d", "edge_id").limit(n).drop("__d")
 
 
+def future_probe(train: DataFrame, future: DataFrame, nodes: int, count: int = 256, name: str = "sns", per_source: int = 1, seed: int = 1, **options) -> DataFrame:
+    """(hits, samples, hit_rate): how many negatives that a sampler gives for ``count`` drawn training edges are edges of the future."""
+    sources = scratch.materialize(sample_sources(train, count, seed), "probed")
+    return future_hits(samplers.sampler(name)(sources, train, nodes, per_source=per_source, seed=seed, **options), future)
+
+
 def minibatches(edges: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """(edge_id, batch): edges in drawn order, ``size`` a batch; what belongs to an edge follows it by a join."""
     rows = edges.select("edge_id", draw(seed, "batch", F.col("edge_id")).alias("__d"))

@@ -238,6 +238,12 @@ def roles(spark, d):
     return out.select("source_id", "role", F.col("slot").cast("int").alias("slot"), F.get("nodes", F.lit(0)).alias("node"), "padded")
 
 
+def future_probe(spark, d):
+    s = split_edges(spark, d)
+    out = protocols.future_probe(s.filter("split = 'train'"), s.filter("split <> 'train'"), parts_count(spark, d), 2000)
+    return rounded(out, "hit_rate")
+
+
 def load_text(spark, d):
     """Orders of two parts or more written as an edge file and loaded with the parts' features, checks and split."""
     e, n = edges(spark, d).filter("size >= 2"), parts_count(spark, d)
@@ -265,6 +271,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "manifold_nearest": nearest_in_bank,
         "diversity": diversity,
         "dataset_load_text": load_text,
+        "future_positive_probe": future_probe,
         "teacher_retrieval_roles": roles,
         "attention_pool": attention,
         "deepsets_layer": deepsets,
@@ -427,6 +434,10 @@ def oracle_sql() -> dict[str, str]:
         "dataset_load_text": f"""WITH {O.INC}, {O.SETS}, ds AS (SELECT DISTINCT array_to_string(nodes, ',') AS edge, size FROM st WHERE size >= 2),
 od AS (SELECT *, row_number() OVER (ORDER BY {O.rnd("'1'", "'split'", "edge")}, edge) - 1 AS place, count(*) OVER () AS n FROM ds)
 SELECT edge, size::INT AS size, CASE WHEN place < floor(n * 0.6) THEN 'train' WHEN place < floor(n * 0.6) + floor(n * 0.2) THEN 'val' ELSE 'test' END AS split FROM od""",
+        "future_positive_probe": f"""WITH {O.SPLIT}, tn AS (SELECT edge_id, nodes, size FROM sp WHERE split = 'train'), src AS (SELECT * FROM tn ORDER BY {O.rnd("'1'", "'source'", "edge_id")}, edge_id LIMIT 2000),
+{O.uniform_edges('source_size').replace("FROM st CROSS JOIN", "FROM src CROSS JOIN").replace("SELECT st.edge_id", "SELECT src.edge_id").replace(O.KNOWN, O.KNOWN.replace("FROM st", "FROM tn"))}
+SELECT count(*) FILTER (WHERE nodes IN (SELECT nodes FROM sp WHERE split <> 'train')) AS hits, count(*) AS samples,
+       round(count(*) FILTER (WHERE nodes IN (SELECT nodes FROM sp WHERE split <> 'train')) / count(*)::DOUBLE, 6) AS hit_rate FROM us""",
         "teacher_retrieval_roles": """WITH p AS (SELECT l_orderkey AS source_id, floor(l_suppkey / 10)::BIGINT AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem),
 f AS (SELECT source_id, node, min(place) AS first, bool_or(place = 1) AND bool_or(place IN (2, 3)) AS in_both FROM p GROUP BY source_id, node),
 g AS (SELECT *, bool_or(in_both) OVER (PARTITION BY source_id) AS overlap, row_number() OVER (PARTITION BY source_id ORDER BY first) AS r, count(*) OVER (PARTITION BY source_id) AS u FROM f)

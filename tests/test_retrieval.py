@@ -286,3 +286,11 @@ def test_exclude_teacher(spark):
     assert got == {(1, 0): 5, (1, 1): 7, (1, 2): 5, (1, 3): 5, (1, 4): 7} | {(2, k): 9 for k in range(5)}
     with pytest.raises(ValueError):
         retrieval.exclude_teacher(c, c, 5)
+
+
+def test_future_probe(graph):
+    """A size-2 future that holds all free pairs is always hit; count bounds the sources."""
+    pairs = graph.sparkSession.range(NODES * NODES).select((F.col("id") / NODES).cast("long").alias("a"), (F.col("id") % NODES).alias("b")).filter("a < b").select(F.array("a", "b").alias("nodes"))
+    out = protocols.future_probe(graph.filter("size = 2"), pairs, NODES, count=7, per_source=2).first()
+    assert (out.hits, out.samples, out.hit_rate) == (14, 14, 1.0)
+    assert protocols.future_probe(graph.filter("size = 3"), pairs, NODES, count=5, name="half_corruption").first().hits == 0
