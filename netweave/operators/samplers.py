@@ -257,7 +257,8 @@ def risk_controlled(
     functions = {
         "nearest": lambda e, c: risks.nearest(e, c, F.col("source")), "closure": risks.closure, "cowalk": risks.co_walk, "hitting": risks.hitting, "residual": risks.residual,
     }
-    listed = None if pool is None else pool.groupBy(F.col("edge_id").alias("source_id")).agg(F.sort_array(F.collect_list(F.struct("place", "node_id"))).alias("pool"))
+    # written once, as each round reads it
+    listed = None if pool is None else scratch.materialize(pool.groupBy(F.col("edge_id").alias("source_id")).agg(F.sort_array(F.collect_list(F.struct("place", "node_id"))).alias("pool")), "pools")
 
     def attempt(rows: DataFrame) -> DataFrame:
         rows = _anchored(rows, anchor_size(F.col("source_size"), ratio), nodes, seed).withColumn("strategy", F.lit("random"))
