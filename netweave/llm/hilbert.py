@@ -77,23 +77,41 @@ def log_cell(size: Column, bits: int) -> Column:
     return F.least(F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * 4), F.lit((1 << bits) - 1)).cast("int")
 
 
+def together(rows: DataFrame, key: list[str], hot: int = 1000) -> DataFrame:
+    """Set ``curve`` of each row to the least of its group, the rows of one ``key``.
+
+    Groups of more than one row in ``hot`` of the table are fewer than ``hot``, so they are broadcast; the rows of the others meet
+    their group by its key, and no key has more than that share of them.
+    """
+    names = [f"__g{k}" for k in range(len(key))]
+    groups = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(key, names)]).agg(F.min("curve").alias("__least"), F.max("curve").alias("__most"), F.count(F.lit(1)).alias("__n"))
+    groups = scratch.materialize(groups.filter("__n > 1"), "groups")
+    large = F.col("__n") * hot > rows.count()
+    same = [F.col(c) == F.col(n) for c, n in zip(key, names)]
+    rows = rows.join(F.broadcast(groups.filter(large).drop("__most", "__n")), same, "left").drop(*names)
+    done, rest = rows.filter("__least is not null"), rows.filter("__least is null").drop("__least")
+    rest = rest.join(groups.filter(~large & (F.col("__least") < F.col("__most"))).drop("__most", "__n"), same, "left").drop(*names)
+    return done.unionByName(rest).withColumn("curve", F.coalesce("__least", "curve")).drop("__least")
+
+
 def curve_runs(
     docs: DataFrame, shards: int, bits: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang"
 ) -> DataFrame:
     """Cut the rows, ordered along the curve, into ``shards`` runs whose counts differ by one at most.
 
-    Dimensions: source, language and size in UTF-8 bytes. Within a cell, rows are ordered by the
-    text's CRC-32, so equal texts of a cell are neighbours, then by id and row key. The order is
+    Dimensions: source, language and size in UTF-8 bytes. Equal texts stay together: all of a group
+    stand at the least place that one of them has on the curve (``together``). At one place rows
+    are ordered by the text's CRC-32 and hash, then by id and row key, so a group lies in one
+    shard, or in neighbouring ones where a cut falls into it. The order is
     made by range partitions; each row's place there is written, and its rank is that place
-    plus the sizes of the partitions before, a table with a row per partition. A hot cell spans
-    several partitions, as the row key is part of the order.
+    plus the sizes of the partitions before, a table with a row per partition. A hot cell or group
+    spans several partitions, as the row key is part of the order.
 
     Returns __row, doc_id, size (bytes of the text plus 8; null text has none), text_crc32, cell
-    coordinates, curve, shard, slot. With fewer rows than shards, some shards stay empty; an empty
+    coordinates (the row's own), curve (the place its group stands at), shard, slot. With fewer rows than shards, some shards stay empty; an empty
     table gives no rows. Null ids come first in a cell, null sources and languages have cells of
-    their own, and repeated rows stand side by side in the order of their row keys. Equal texts of one
-    source and language are neighbours; those of different cells are not, so copies may lie in several
-    shards. Of a very long text only its size and CRC-32 move.
+    their own, and repeated rows stand side by side in the order of their row keys. Null and empty
+    texts are equal. Of a very long text only its size, CRC-32 and hash move.
     """
     text = text_of(text_col).cast("binary")
     rows = keyed(
@@ -103,6 +121,7 @@ def curve_runs(
         col(lang_col).cast("string").alias("__lang"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
+        F.xxhash64(text).alias("__mark"),
     )
     rows = scratch.materialize(rows, "sizes")
     parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -113,8 +132,9 @@ def curve_runs(
     def curve(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.column_stack([a, b, c]), bits))
 
-    rows = rows.withColumn("curve", curve("source_cell", "lang_cell", "size_cell"))
-    rows = ranked(rows, ["curve", "text_crc32", "doc_id", "__row"], parts, "placed")
+    rows = scratch.materialize(rows.withColumn("curve", curve("source_cell", "lang_cell", "size_cell")), "curve")
+    rows = together(rows, ["size", "text_crc32", "__mark"])
+    rows = ranked(rows, ["curve", "text_crc32", "__mark", "doc_id", "__row"], parts, "placed")
     shard = F.expr(f"(__rank * {shards}) div __total")
     first = F.expr(f"(shard * __total + {shards - 1}) div {shards}")
     return rows.withColumn("shard", shard.cast("int")).select(

@@ -303,11 +303,29 @@ def test_shards(docs, rows):
     for i, t, *_ in rows:
         text[i].add((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())))
     assert all((x["size"], x.text_crc32) in text[x.doc_id] for x in out)
+    homes = defaultdict(set)
+    for x in out:
+        homes[x["size"], x.text_crc32].add(x.shard)
+    assert sum(len(h) - 1 for h in homes.values()) <= 6  # a cut falls into one group at most
     assert hilbert.curve_runs(empty(docs), 7).count() == 0
     few = hilbert.curve_runs(docs.filter("doc_id < 3"), 24).collect()
     assert all(x.slot == 0 for x in few) and len({x.shard for x in few}) == 3
 
 
+def test_equal_texts_of_many_cells_stay_together(spark):
+    rows = [(i, ("copy of all" if i % 3 == 0 else f"text {i % 40}"), f"l{i % 7}", f"s{i % 11}") for i in range(1200)]
+    by_text = {i: t for i, t, *_ in rows}
+    out = hilbert.curve_runs(docs_of(spark, rows), 8).collect()
+    order = [by_text[x.doc_id] for x in sorted(out, key=lambda x: (x.shard, x.slot))]
+    changes = 1 + sum(a != b for a, b in zip(order, order[1:]))
+    assert changes == len(set(order))
+    cells = np.array([(x.source_cell, x.lang_cell, x.size_cell) for x in out])
+    least = {}
+    for x, place in zip(out, hilbert.hilbert_index(cells, 7).tolist()):
+        least[by_text[x.doc_id]] = min(place, least.get(by_text[x.doc_id], place))
+    assert all(x.curve == least[by_text[x.doc_id]] for x in out)
+
+
 def brute_links(rows):
     sets = {}
     for i, text, *_ in rows:
