@@ -191,9 +191,11 @@ def clique(sources: DataFrame, known: DataFrame, nodes: int, per_source: int = 1
     go and its replacement are those with the least draws. Slots without one fall back to random edges.
     """
     near = two_section(known)
-    inc = sources.filter("size >= 2").select(F.col("edge_id").alias("source_id"), "size", F.col("nodes").alias("source"), F.explode("nodes").alias("x"))
-    met = inc.join(near, "x").groupBy("source_id", F.col("y").alias("new")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.first("size").alias("size"), F.first("source").alias("source"))
-    met = met.filter((F.col("n") >= F.col("size") - 1) & ~F.array_contains("source", F.col("new")))
+    inc = sources.filter("size >= 2").select(F.col("edge_id").alias("source_id"), "size", F.explode("nodes").alias("x"))
+    # numbers alone are counted by hash; the source's nodes come back for the few neighbours that are left
+    met = inc.join(near, "x").groupBy("source_id", F.col("y").alias("new")).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.max("size").alias("size"))
+    met = met.filter(F.col("n") >= F.col("size") - 1).join(sources.select(F.col("edge_id").alias("source_id"), F.col("nodes").alias("source")), "source_id")
+    met = met.filter(~F.array_contains("source", F.col("new")))
     total = F.aggregate("source", F.lit(0).cast("long"), lambda a, x: a + x)
     gone = F.when(F.col("n") == F.col("size"), F.col("source")).otherwise(F.array(total - F.col("s")))
     rows = met.withColumn("gone", F.explode(gone)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per_source - 1))))
