@@ -58,3 +58,25 @@ def test_replacement_pool_moves_nodes_and_not_meetings(spark, no_broadcast):
         want |= {(k, y, n, place + 1) for place, (y, n) in enumerate(sorted(met.items(), key=lambda m: (-m[1], m[0]))[:8])}
     assert {(r["edge_id"], r["node_id"], r["anchors"], r["place"]) for r in rows} == want
     assert records < 400 * 4 * 12  # 400 edges of 4 nodes with 32 neighbours each: 51,200 meetings
+
+
+def _weights(sets) -> dict[int, dict[int, float]]:
+    near = defaultdict(lambda: defaultdict(float))
+    for s in sets:
+        for x, y in combinations(s, 2):
+            near[x][y] += 1 / (len(s) - 1)
+            near[y][x] += 1 / (len(s) - 1)
+    return near
+
+
+def test_walks_move_those_neighbours_only_that_may_be_common(spark, no_broadcast):
+    sets, edges = some_edges(spark, 1500, 600)
+    near = _weights(sets)
+    cosine = lambda x, y: sum(w * near[y].get(m, 0.0) for m, w in near[x].items()) / math.sqrt(sum(w * w for w in near[x].values()) * sum(w * w for w in near[y].values()))
+    chance = {x: {y: w / sum(v.values()) for y, w in v.items()} for x, v in near.items()}
+    reach = lambda x, y: chance[x].get(y, 0.0) + 0.5 * sum(p * chance[m].get(y, 0.0) for m, p in chance[x].items())
+    for f, want, most in ((risks.co_walk, cosine, 200000), (risks.hitting, lambda x, y: (reach(x, y) + reach(y, x)) / 2, 350000)):
+        rows, records = moved(spark, f(edges, risks.as_candidates(edges)))
+        found = {r["cand_id"]: r["risk"] for r in rows}
+        assert all(abs(found[k] - sum(want(x, y) for x, y in combinations(s, 2)) / 6) < 1e-9 for k, s in enumerate(sets))
+        assert records < most, (f.__name__, records)  # 9,000 pairs whose nodes have 30 neighbours each: 270,000 meetings one way
