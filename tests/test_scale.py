@@ -80,3 +80,20 @@ def test_walks_move_those_neighbours_only_that_may_be_common(spark, no_broadcast
         found = {r["cand_id"]: r["risk"] for r in rows}
         assert all(abs(found[k] - sum(want(x, y) for x, y in combinations(s, 2)) / 6) < 1e-9 for k, s in enumerate(sets))
         assert records < most, (f.__name__, records)  # 9,000 pairs whose nodes have 30 neighbours each: 270,000 meetings one way
+
+
+def test_node_risks_score_a_common_set_once(spark, no_broadcast):
+    sets = [[0, k + 1, k + 2, k + 3] for k in range(0, 900, 3)]  # node 0 is the anchor of many sources
+    edges = spark.createDataFrame(list(enumerate(sets)), "edge_id long, nodes array<long>").withColumn("size", F.size("nodes"))
+    rows, records = moved(spark, proposals.node_risks(proposals.anchor_pool(edges, edges), edges, ("closure",)).select("source_id", "node_id", "support", "place", "anchor", "closure"))
+    near, support = near_of(sets, 32), support_of(sets)
+    by = defaultdict(list)
+    for r in rows:
+        by[r["source_id"]].append(r)
+    assert len(by) > 50  # those that keep node 0; the others have no neighbours outside
+    for k, found in by.items():
+        anchor = found[0]["anchor"][0]
+        want = sorted(y for y in near[anchor] if y not in sets[k])[:16]
+        assert [r["node_id"] for r in sorted(found, key=lambda r: r["place"])] == want
+        assert all(r["support"] == 1 and abs(r["closure"] - math.log1p(support[tuple(sorted((anchor, r["node_id"])))])) < 1e-12 for r in found)
+    assert records < 4500, records
