@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -10,7 +11,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from netweave.operators import indexes, proposals, risks
+from netweave import scratch
+from netweave.operators import indexes, proposals, risks, samplers
 
 
 def moved(spark, df) -> tuple[list, int]:
@@ -97,3 +99,33 @@ def test_node_risks_score_a_common_set_once(spark, no_broadcast):
         assert [r["node_id"] for r in sorted(found, key=lambda r: r["place"])] == want
         assert all(r["support"] == 1 and abs(r["closure"] - math.log1p(support[tuple(sorted((anchor, r["node_id"])))])) < 1e-12 for r in found)
     assert records < 4500, records
+
+
+def _draw(*parts) -> int:
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+@pytest.mark.parametrize("hub,first", [(4096, 4), (14, 1)])
+def test_clique_moves_nodes_and_not_meetings(spark, no_broadcast, monkeypatch, hub, first):
+    monkeypatch.setattr(samplers, "HUB", hub)
+    monkeypatch.setattr(samplers, "FIRST", first)
+    sets, edges = [], None
+    for size in (2, 3, 4):
+        sets += some_edges(spark, 120, 70, size, size)[0]
+    edges = spark.createDataFrame(list(enumerate(sets)), "edge_id long, nodes array<long>").withColumn("size", F.size("nodes"))
+    known, near = {tuple(s) for s in sets}, {x: set(v) for x, v in near_of(sets, 1000).items()}
+    rows, records = moved(spark, samplers.clique(edges, edges, 70))
+    found = {r["source_id"]: r["nodes"] for r in rows if not r["fallback"]}
+    want = {}
+    for k, s in enumerate(sets):
+        made = []
+        for new in set().union(*(near[x] for x in s)) - set(s):
+            beside = [x for x in s if new in near[x]]
+            if len(beside) >= len(s) - 1:
+                for gone in s if len(beside) == len(s) else set(s) - set(beside):
+                    nodes = sorted(set(s) - {gone} | {new})
+                    made += [(_draw(1, "gone", k, 0, gone), _draw(1, "new", k, 0, new), nodes)] if tuple(nodes) not in known else []
+        if made:
+            want[k] = min(made)[2]
+    assert found == want and len(rows) == 360
+    assert hub < 4096 or records < 13500, records  # 1,080 nodes of sources with 30 neighbours each
