@@ -129,3 +129,17 @@ def test_clique_moves_nodes_and_not_meetings(spark, no_broadcast, monkeypatch, h
             want[k] = min(made)[2]
     assert found == want and len(rows) == 360
     assert hub < 4096 or records < 13500, records  # 1,080 nodes of sources with 30 neighbours each
+
+
+def test_motif_keeps_the_least_draw_by_hash(spark, monkeypatch):
+    _, edges = some_edges(spark, 60, 40, 3)
+    plans, write = [], scratch.materialize
+
+    def noted(df, name):
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] if name == "growing" else [])
+        return write(df, name)
+
+    monkeypatch.setattr(scratch, "materialize", noted)
+    rows = samplers.motif(edges, edges, 40).collect()
+    assert len(rows) == 60 and all(len(set(r["nodes"])) == 3 for r in rows)
+    assert len(plans) == 3 and not any("SortAggregate" in p for p in plans)
