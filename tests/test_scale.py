@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.operators import indexes, proposals, risks, samplers
+from netweave.operators import indexes, proposals, representations, risks, samplers
 
 
 def moved(spark, df) -> tuple[list, int]:
@@ -143,3 +143,15 @@ def test_motif_keeps_the_least_draw_by_hash(spark, monkeypatch):
     rows = samplers.motif(edges, edges, 40).collect()
     assert len(rows) == 60 and all(len(set(r["nodes"])) == 3 for r in rows)
     assert len(plans) == 3 and not any("SortAggregate" in p for p in plans)
+
+
+def test_tables_that_grow_are_not_broadcast(spark):
+    """Even where they look small, as they do here."""
+    plan = lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    _, edges = some_edges(spark, 40, 30)
+    vectors = spark.range(30).select(F.col("id").alias("node_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vec"))
+    bank = edges.join(representations.set_vectors(edges, vectors, 2), "nodes").select("edge_id", "rep")
+    rows = vectors.withColumnRenamed("node_id", "source_id")
+    assert "Broadcast" not in plan(indexes.third_neighbors(edges))
+    assert "Broadcast" not in plan(representations.set_vectors(edges, vectors, 2))
+    assert "Broadcast" not in plan(representations.nearest_in_bank(rows, scratch.materialize(bank, "bank"), 2))
