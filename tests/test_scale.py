@@ -155,3 +155,10 @@ def test_tables_that_grow_are_not_broadcast(spark):
     assert "Broadcast" not in plan(indexes.third_neighbors(edges))
     assert "Broadcast" not in plan(representations.set_vectors(edges, vectors, 2))
     assert "Broadcast" not in plan(representations.nearest_in_bank(rows, scratch.materialize(bank, "bank"), 2))
+
+
+def test_risk_controlled_makes_every_attempt(spark):
+    """Also those after an accepted one."""
+    _, edges = some_edges(spark, 12, 400, 4)
+    rows = samplers.risk_controlled(edges, edges, 400, {"closure": 99.0}, tries=4, every=True).collect()
+    assert len(rows) == 12 and all(r["accepted"] and r["attempt"] == 0 and r["valid"] == 4 for r in rows)
