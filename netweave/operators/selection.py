@@ -162,24 +162,32 @@ def source_mix(df: DataFrame, per_source: int, weights: dict[str, float], score:
     total = sum(w for w in weights.values() if w > 0)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # plain lists: a source has few rows, for which a table of its own costs more than the choice
+        pdf = pdf.sort_values(["source_id", score, tie], ascending=[True, False, True], kind="stable", ignore_index=True)
+        sources, labels = pdf["source_id"].tolist(), pdf["label"].tolist()
         counts: dict[str, int] = {}
-        taken = []
-        for _, rows in pdf.sort_values(["source_id", score, tie], ascending=[True, False, True], kind="stable").groupby("source_id", sort=True):
-            left = {k: list(g.index) for k, g in rows.groupby("label", sort=True)}
-            rest = list(rows.index)
-            for _ in range(min(per_source, len(rows))):
-                open_ = [k for k in sorted(left) if left[k] and weights.get(k, 0) > 0]
-                if open_:
-                    n = sum(counts.values()) + 1
-                    label = max(open_, key=lambda k: (weights[k] * n / total - counts.get(k, 0), weights[k]))
-                    chosen = left[label].pop(0)
+        taken, start, n = [], 0, 1
+        while start < len(sources):
+            end = start + 1
+            while end < len(sources) and sources[end] == sources[start]:
+                end += 1
+            rest = list(range(start, end))
+            for _ in range(min(per_source, end - start)):
+                first: dict[str, int] = {}  # of each label with a weight its best row
+                for i in rest:
+                    if labels[i] not in first and weights.get(labels[i], 0) > 0:
+                        first[labels[i]] = i
+                if first:
+                    label = max(sorted(first), key=lambda k: (weights[k] * n / total - counts.get(k, 0), weights[k]))
+                    chosen = first[label]
                 else:
                     chosen = rest[0]
-                    label = pdf.at[chosen, "label"]
-                    left[label].remove(chosen)
+                    label = labels[chosen]
                 rest.remove(chosen)
                 counts[label] = counts.get(label, 0) + 1
+                n += 1
                 taken.append(chosen)
+            start = end
         return pdf.loc[taken].drop(columns="batch")
 
     rows = df.withColumn("batch", F.pmod(F.xxhash64("source_id"), F.lit(batches)))
