@@ -15,22 +15,24 @@ from netweave.sources.hyperedges import place_of
 
 def _scan(names: list[str], bounds: dict[str, float], start: dict[str, float], rate: float, most: float, target: float, width: float):
     """One shard after the other, and in each one slot after the other: choose a probe, then move the multipliers by how far its risks are off their bounds."""
-    limit = np.array([bounds[n] for n in names])
-    begin = np.array([start.get(n, 0.0) for n in names])
-
-    def ratios(risks: np.ndarray) -> np.ndarray:
-        over = np.where(risks <= 0, 0.0, np.inf)
-        return np.where(limit > 0, risks / np.where(limit > 0, limit, 1.0), over)
-
-    def choose(held: list[np.ndarray], multipliers: np.ndarray) -> tuple:
-        probes, scores, risks = (np.concatenate([h[k] for h in held]) for k in range(3))
-        ratio = ratios(risks)
-        hardness = -np.abs(scores - target) / width
-        # a multiplier of 0 asks for nothing, not even of an infinite ratio
-        penalty = np.where(multipliers > 0, multipliers * ratio, 0.0).sum(axis=1)
-        at = int(np.argmax(hardness - penalty))  # the first of equals
-        moved = np.clip(multipliers + rate * (ratio[at] - 1.0), 0.0, most)
-        return probes[at], hardness[at] - penalty[at], hardness[at], penalty[at], moved
+    limit = [bounds[n] for n in names]
+    begin = [start.get(n, 0.0) for n in names]
+
+    def ratios(risks: tuple[float, ...]) -> list[float]:
+        return [r / b if b > 0 else (0.0 if r <= 0 else float("inf")) for r, b in zip(risks, limit)]
+
+    def choose(held: list[tuple], multipliers: list[float]) -> tuple:
+        """Plain numbers, as a slot has few probes and an array for each costs more than its sums."""
+        best = None
+        for probe, score, *risks in held:
+            ratio = ratios(risks)
+            hardness = -abs(score - target) / width
+            # a multiplier of 0 asks for nothing, not even of an infinite ratio
+            penalty = sum([m * r for m, r in zip(multipliers, ratio) if m > 0], 0.0)
+            if best is None or hardness - penalty > best[1]:  # the first of equals
+                best = probe, hardness - penalty, hardness, penalty, ratio
+        moved = [min(max(m + rate * (r - 1.0), 0.0), most) for m, r in zip(multipliers, best[4])]
+        return *best[:4], moved
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, slot, multipliers, held = None, None, begin, []
@@ -41,14 +43,13 @@ def _scan(names: list[str], bounds: dict[str, float], start: dict[str, float], r
             nonlocal multipliers
             if held:
                 probe, objective, hardness, penalty, multipliers = choose(held, multipliers)
-                out.append((*slot, int(probe), float(objective), float(hardness), float(penalty), *multipliers.tolist()))
+                out.append((*slot, probe, objective, hardness, penalty, *multipliers))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
-            probes, scores = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            risks = np.column_stack([batch.column(5 + k).to_numpy() for k in range(len(names))])
+            probes = list(zip(*[batch.column(k).to_pylist() for k in range(3, 5 + len(names))]))
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 key = tuple(keys[a].tolist())
@@ -58,7 +59,7 @@ def _scan(names: list[str], bounds: dict[str, float], start: dict[str, float], r
                     if shard != key[0]:
                         shard, multipliers = key[0], begin
                     slot = key
-                held.append((probes[a:b], scores[a:b], risks[a:b]))
+                held += probes[a:b]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], columns)
                 out = []
