@@ -16,3 +16,17 @@ def test_source_mix_of_many_sources_takes_seconds(spark):
     began = time.time()
     assert selection.source_mix(rows, 2, {"A": 90.0, "N": 6.0, "R": 4.0}, "score", "item", 1).count() == 80_000
     assert time.time() - began < 12
+
+
+def most_in_a_task(df) -> int:
+    return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_roles_and_norms_take_their_partitions_from_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "TASK_ROWS", 50)
+    pool = spark.range(2_000).select((F.col("id") % 500).alias("source_id"), F.col("id").alias("slot"), F.array("id").alias("nodes"), F.lit("a").alias("label"))
+    assert most_in_a_task(retrieval.split_roles(pool, 1, 2)) < 150
+    incidence = spark.range(2_000).select((F.col("id") % 500).alias("edge_id"), (F.col("id") % 97).alias("node_id"))
+    features = spark.range(97).select(F.col("id").alias("node_id"), F.lit(0).alias("dim"), F.lit(1.0).alias("value"))
+    out = propagation.two_norms(incidence, features)
+    assert most_in_a_task(out) < 60 and out.count() == 500
