@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netweave import scratch
+
 
 def pool(incidence: DataFrame, features: DataFrame) -> DataFrame:
     """(edge_id, dim, mean, max, min, std, log_size): population spread with 1e-8 under the root."""
@@ -36,7 +38,9 @@ def clique_product(expansion: DataFrame, features: DataFrame) -> DataFrame:
 
 def two_norms(incidence: DataFrame, features: DataFrame) -> DataFrame:
     """(edge_id, dim, mean, scaled): sums over the size and over its root."""
-    rows = incidence.join(features, "node_id").groupBy("edge_id", "dim")
+    n = incidence.count()
+    met = scratch.dealt(incidence, n, "node_id").join(features, "node_id")
+    rows = scratch.dealt(met, 2 * n, "edge_id").groupBy("edge_id", "dim")
     return rows.agg(F.avg("value").alias("mean"), (F.sum("value") / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("scaled"))
 
 
