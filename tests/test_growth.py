@@ -30,3 +30,12 @@ def test_roles_and_norms_take_their_partitions_from_the_rows(spark, monkeypatch)
     features = spark.range(97).select(F.col("id").alias("node_id"), F.lit(0).alias("dim"), F.lit(1.0).alias("value"))
     out = propagation.two_norms(incidence, features)
     assert most_in_a_task(out) < 60 and out.count() == 500
+
+
+def test_stream_has_more_files_for_more_edges(spark, monkeypatch):
+    seen, follow = [], support.follow
+    monkeypatch.setattr(support, "FILE_EDGES", 100)
+    monkeypatch.setattr(support, "follow", lambda spark, path, state, mark, each: seen.append((spark.read.parquet(path).count(), each)) or follow(spark, path, state, mark, each))
+    out = support.query(spark, "/root/testdata/sf0.001")
+    assert seen[0][1] >= seen[0][0] / 400 > 1
+    assert out.agg(F.sum("support")).first()[0] > 0
