@@ -7,8 +7,9 @@ import time
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.operators import propagation, retrieval, risks, samplers, selection
+from netweave.operators import propagation, retrieval, risks, selection
 from netweave.streaming import support
+from test_scale import moved, no_broadcast, some_edges  # noqa: F401
 
 
 def test_source_mix_of_many_sources_takes_seconds(spark):
@@ -39,3 +40,12 @@ def test_stream_has_more_files_for_more_edges(spark, monkeypatch):
     out = support.query(spark, "/root/testdata/sf0.001")
     assert seen[0][1] >= seen[0][0] / 400 > 1
     assert out.agg(F.sum("support")).first()[0] > 0
+
+
+def test_pairs_that_no_edge_has_move_once(spark, no_broadcast):
+    _, edges = some_edges(spark, 400, 120)
+    _, far = some_edges(spark, 2_000, 5_000, seed=11)
+    c = risks.as_candidates(far)
+    for risk, most in ((risks.closure, 20_000), (risks.residual, 26_000)):
+        rows, records = moved(spark, risk(edges, c))
+        assert len(rows) == 2_000 and records < most, (risk, records)  # 12,000 pairs
