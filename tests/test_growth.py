@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.operators import propagation, retrieval, risks, selection
+from netweave.operators import mixture, propagation, retrieval, risks, selection
 from netweave.streaming import support
-from test_scale import moved, no_broadcast, some_edges  # noqa: F401
+from test_scale import moved, near_of, no_broadcast, some_edges  # noqa: F401
 
 
 def test_source_mix_of_many_sources_takes_seconds(spark):
@@ -49,3 +50,23 @@ def test_pairs_that_no_edge_has_move_once(spark, no_broadcast):
     for risk, most in ((risks.closure, 20_000), (risks.residual, 26_000)):
         rows, records = moved(spark, risk(edges, c))
         assert len(rows) == 2_000 and records < most, (risk, records)  # 12,000 pairs
+
+
+def test_random_fills_make_no_pools(spark, monkeypatch):
+    _, edges = some_edges(spark, 40, 60)
+    monkeypatch.setattr(mixture, "slot_pools", lambda *a, **k: 1 / 0)
+    samples, attempts = mixture.controlled(edges, edges, 60, {"closure": 0.2}, tries=2)
+    assert samples.count() == 40 and attempts.filter("strategy <> 'random' OR neighbors > 0").count() == 0
+
+
+def test_slot_pools_move_nodes_and_not_meetings(spark, no_broadcast, monkeypatch):
+    sets, edges = some_edges(spark, 300, 40, 8)
+    monkeypatch.setattr(scratch, "materialize", lambda df, name: df)
+    anchors = mixture.slot_anchors(edges, 1)
+    rows, records = moved(spark, mixture.slot_pools(anchors, edges, ("neighborhood",), 16, 6))
+    near, want = near_of(sets, 16), {}
+    for r in anchors.collect():
+        met = Counter(y for x in r["anchor"] for y in near[x] if y not in r["source"])
+        want[r["source_id"]["source_id"]] = [y for y, _ in sorted(met.items(), key=lambda m: (-m[1], m[0]))[:6]]
+    assert {r["source_id"]["source_id"]: r["pool"] for r in rows} == want
+    assert records < 12_000, records  # 600 anchors of 16 neighbours each meet 9,600 times
