@@ -70,3 +70,10 @@ def test_slot_pools_move_nodes_and_not_meetings(spark, no_broadcast, monkeypatch
         want[r["source_id"]["source_id"]] = [y for y, _ in sorted(met.items(), key=lambda m: (-m[1], m[0]))[:6]]
     assert {r["source_id"]["source_id"]: r["pool"] for r in rows} == want
     assert records < 12_000, records  # 600 anchors of 16 neighbours each meet 9,600 times
+
+
+def test_risks_of_the_same_candidates_move_their_pairs_once(spark, no_broadcast):
+    _, edges = some_edges(spark, 400, 120)
+    c = scratch.materialize(risks.as_candidates(some_edges(spark, 2_000, 5_000, 6, seed=11)[1]), "candidates")
+    rows, records = moved(spark, risks.nearest(edges, c, F.col("nodes")).join(risks.closure(edges, c).withColumnRenamed("risk", "closure"), "cand_id"))
+    assert len(rows) == 2_000 and records < 70_000, records  # 30,000 pairs and 12,000 nodes
