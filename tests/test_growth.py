@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from netweave import scratch
-from netweave.operators import mixture, propagation, retrieval, risks, selection
+from netweave.operators import mixture, propagation, retrieval, representations, risks, samplers, selection
 from netweave.streaming import support
 from test_scale import moved, near_of, no_broadcast, some_edges  # noqa: F401
 
@@ -77,3 +77,20 @@ def test_risks_of_the_same_candidates_move_their_pairs_once(spark, no_broadcast)
     c = scratch.materialize(risks.as_candidates(some_edges(spark, 2_000, 5_000, 6, seed=11)[1]), "candidates")
     rows, records = moved(spark, risks.nearest(edges, c, F.col("nodes")).join(risks.closure(edges, c).withColumnRenamed("risk", "closure"), "cand_id"))
     assert len(rows) == 2_000 and records < 70_000, records  # 30,000 pairs and 12,000 nodes
+
+
+def test_clique_moves_three_lists_of_a_source(spark, no_broadcast):
+    _, edges = some_edges(spark, 400, 300, 6)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    total = lambda: sum(s.shuffleWriteRecords() for s in (lambda q: [q.apply(k) for k in range(q.size())])(store.stageList(None, False, False, none, None)))
+    before, rows = total(), samplers.clique(edges.filter("edge_id < 40"), edges, 300).collect()
+    assert len(rows) == 40 and total() - before < 12_000, total() - before  # 12,000 pairs of neighbours, each met from both ends
+
+
+def test_vectors_that_nodes_share_stay_where_the_sets_are(spark):
+    _, edges = some_edges(spark, 400, 120)
+    shared = spark.range(10).select(F.col("id").alias("node_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    each = spark.range(120).select(F.col("id").alias("node_id"), F.array((F.col("id") % 10).cast("double"), F.lit(1.0)).alias("vec"))
+    rows, records = moved(spark, representations.set_vectors(edges, shared, 2, F.pmod("node_id", F.lit(10))))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, representations.set_vectors(edges, each, 2).collect()))
+    assert records < 900, records  # 400 sets, and not their 1,600 nodes
