@@ -24,6 +24,12 @@ def spread(incidence: DataFrame, features: DataFrame) -> DataFrame:
     return pool(incidence, features).select("edge_id", "dim", (F.col("max") - F.col("min")).alias("spread"))
 
 
+def spreads(incidence: DataFrame, values: DataFrame, names: list[str]) -> DataFrame:
+    """(edge_id, names): largest minus smallest of each of the named columns of ``values`` (node_id, names), all of a node in one row."""
+    rows = incidence.join(values, "node_id").groupBy("edge_id")
+    return rows.agg(*[(F.max(v) - F.min(v)).alias(v) for v in names])
+
+
 def propagate(incidence: DataFrame, features: DataFrame) -> DataFrame:
     """(node_id, dim, value): mean over a node's edges of their mean values."""
     edges = incidence.join(features, "node_id").groupBy("edge_id", "dim").agg(F.avg("value").alias("value"))
