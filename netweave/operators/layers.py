@@ -115,7 +115,8 @@ def smoothed_vectors(incidence: DataFrame, dim: int = 16, rounds: int = 2, keep:
     start = scratch.materialize(representations.random_vectors(ids.withColumnRenamed("node_id", "source_id"), dim, seed).withColumnRenamed("source_id", "node_id"), "start")
     now = start
     for _ in range(rounds):
-        edges = representations.means(incidence.join(now, "node_id"), ["edge_id"], "vec", dim)
+        # dealt by edge before they are summed: rows of one node stand together and pack well, sums of few rows do not
+        edges = representations.means(incidence.join(now, "node_id").select("edge_id", "vec").repartition("edge_id"), ["edge_id"], "vec", dim)
         back = scratch.materialize(representations.means(incidence.join(edges, "edge_id"), ["node_id"], "rep", dim), "smoothed")
         middle = representations.prototype(back, dim)
         moved = back.join(F.broadcast(middle)).join(start.withColumnRenamed("vec", "first"), "node_id")  # one row
@@ -130,14 +131,20 @@ def set_statistics(sets: DataFrame, vectors: DataFrame, dim: int, kinds: tuple[s
 
     Nodes without a vector count as zeros.
     """
-    rows = sets.select("nodes").distinct().select("nodes", F.explode("nodes").alias("node_id")).join(vectors.select("node_id", "vec"), "node_id", "left")
+    sets = sets.select("nodes").distinct().withColumn("__set", F.xxhash64("nodes"))
+    return sets.join(_statistics(sets, vectors, dim, kinds), "__set").select("nodes", "features")
+
+
+def _statistics(sets: DataFrame, vectors: DataFrame, dim: int, kinds: tuple[str, ...]) -> DataFrame:
+    """(__set, features) of distinct sets (nodes, __set). A vector moves to each set it is in, beside the set's number; the many sums of a set do not move, nor do its nodes."""
+    rows = sets.select("__set", F.explode("nodes").alias("node_id")).join(vectors.select("node_id", "vec"), "node_id", "left").select("__set", "vec").repartition("__set")
     at = lambda k: F.coalesce(F.get("vec", F.lit(k)).cast("double"), F.lit(0.0))
     make = {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_pop}
     if unknown := set(kinds) - set(make):
         raise ValueError(f"unknown statistics {sorted(unknown)}")
-    stats = rows.groupBy("nodes").agg(*[make[s](at(k)).alias(f"{s}_{k}") for s in kinds for k in range(dim)])
+    stats = rows.groupBy("__set").agg(*[make[s](at(k)).alias(f"{s}_{k}") for s in kinds for k in range(dim)], F.count(F.lit(1)).alias("__n"))
     named = [F.col(f"{s}_{k}") for s in kinds for k in range(dim)]
-    return stats.select("nodes", F.array(*named, F.log1p(F.size("nodes").cast("double"))).alias("features"))
+    return stats.select("__set", F.array(*named, F.log1p(F.col("__n").cast("double"))).alias("features"))
 
 
 class SetPredictor:
@@ -147,15 +154,18 @@ class SetPredictor:
         self.hidden, self.kinds, self.iterations, self.seed = hidden, kinds, iterations, seed
 
     def _features(self, sets: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-        return sets.join(set_statistics(sets, vectors, dim, self.kinds), "nodes").withColumn("raw", array_to_vector("features")).drop("features")
+        sets = sets.withColumn("__set", F.xxhash64("nodes"))
+        stats = _statistics(sets.select("__set", "nodes").dropDuplicates(["__set"]), vectors, dim, self.kinds)
+        return sets.join(stats, "__set").withColumn("raw", array_to_vector("features")).drop("features", "__set")
 
     def fit(self, labelled: DataFrame, vectors: DataFrame, dim: int) -> SetPredictor:
         """Fit on (nodes, label 0 or 1). Raises ValueError without both labels."""
-        rows = scratch.materialize(labelled.select("nodes", F.col("label").cast("double").alias("label")), "labelled")
+        rows = scratch.as_files(labelled.select("nodes", F.col("label").cast("double").alias("label")), "labelled")
         if rows.select("label").distinct().count() < 2:
             raise ValueError("both labels are needed")
         self.dim = dim
-        rows = self._features(rows, vectors, dim)
+        # written once, for the scaler and the model
+        rows = scratch.materialize(self._features(rows, vectors, dim).select("raw", "label"), "statistics")
         self.scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows)
         width = len(self.kinds) * dim + 1
         model = MultilayerPerceptronClassifier(layers=[width, *self.hidden, 2], maxIter=self.iterations, seed=self.seed, blockSize=128)
