@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from netweave.operators import layers, losses
+from netweave.operators import indexes, layers, losses
 from netweave.plans import registry
 from netweave.sources import hyperedges as H
 from test_scale import no_broadcast, some_edges  # noqa: F401
@@ -87,6 +88,22 @@ def test_statistics_move_vectors_and_no_sums(spark, no_broadcast):
     assert len(got) == 300 and mb < 0.69, mb  # 0.75 with the sums that moved
 
 
+def test_expansion_moves_filters_and_not_meetings(spark, no_broadcast):
+    sets, edges = some_edges(spark, 3_000, 1_000)
+    near = {n: set() for n in range(1_000)}
+    for s in sets:
+        for n in s:
+            near[n] |= set(s) - {n}
+    before = sum(s.shuffleWriteRecords() for s in stages(spark))
+    got = {x.edge_id: x for x in indexes.expansion_neighbors(edges).collect()}
+    records = sum(s.shuffleWriteRecords() for s in stages(spark)) - before
+    for k, s in enumerate(sets):
+        a, b = near[s[0]], near[s[-1]]
+        assert got[k].cn == len(a & b) and got[k].jc == pytest.approx(len(a & b) / len(a | b))
+        assert got[k].aa == pytest.approx(sum(1 / math.log(len(near[m])) for m in a & b if len(near[m]) > 1))
+    assert records < 200_000, records  # 270,000 with the meetings
+
+
 def test_predictor_makes_its_features_once(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(losses, "predictor_auc", lambda train, test, names: seen.append(train._jdf.queryExecution().optimizedPlan().toString()) or train)
