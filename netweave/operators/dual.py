@@ -18,15 +18,10 @@ def _scan(names: list[str], bounds: dict[str, float], start: dict[str, float], r
     limit = [bounds[n] for n in names]
     begin = [start.get(n, 0.0) for n in names]
 
-    def ratios(risks: tuple[float, ...]) -> list[float]:
-        return [r / b if b > 0 else (0.0 if r <= 0 else float("inf")) for r, b in zip(risks, limit)]
-
     def choose(held: list[tuple], multipliers: list[float]) -> tuple:
         """Plain numbers, as a slot has few probes and an array for each costs more than its sums."""
         best = None
-        for probe, score, *risks in held:
-            ratio = ratios(risks)
-            hardness = -abs(score - target) / width
+        for probe, hardness, *ratio in held:
             # a multiplier of 0 asks for nothing, not even of an infinite ratio
             penalty = sum([m * r for m, r in zip(multipliers, ratio) if m > 0], 0.0)
             if best is None or hardness - penalty > best[1]:  # the first of equals
@@ -34,6 +29,9 @@ def _scan(names: list[str], bounds: dict[str, float], start: dict[str, float], r
         moved = [min(max(m + rate * (r - 1.0), 0.0), most) for m, r in zip(multipliers, best[4])]
         return *best[:4], moved
 
+    def ratios(risks: np.ndarray, bound: float) -> np.ndarray:
+        return risks / bound if bound > 0 else np.where(risks <= 0, 0.0, np.inf)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, slot, multipliers, held = None, None, begin, []
         columns = ["shard", "source_id", "slot", "probe", "objective", "hardness", "penalty", *[f"multiplier_{n}" for n in names]]
@@ -49,7 +47,9 @@ def _scan(names: list[str], bounds: dict[str, float], start: dict[str, float], r
             if not batch.num_rows:
                 continue
             keys = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
-            probes = list(zip(*[batch.column(k).to_pylist() for k in range(3, 5 + len(names))]))
+            hardness = -np.abs(batch.column(4).to_numpy() - target) / width
+            ratio = [ratios(batch.column(5 + k).to_numpy(), b).tolist() for k, b in enumerate(limit)]
+            probes = list(zip(batch.column(3).to_pylist(), hardness.tolist(), *ratio))
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 key = tuple(keys[a].tolist())
@@ -80,29 +80,32 @@ def primal_dual(
     multiplier moves by ``rate`` times how far its ratio is above 1, within 0 .. ``most``; the next slot sees the moved ones. chosen: source_id, slot, probe, objective,
     hardness, penalty, and the multipliers after the slot.
 
-    With one shard and one block this is the loop over all slots, in one task. Otherwise the slots in order are cut into
-    ``blocks``; the ``shards`` of a block (by hash of the source) run side by side, each from the multipliers with which the block starts, and the next block
-    starts from the mean over the shards. Only these means come to the driver. Null scores and risks are not allowed; a slot without probes has no row.
+    The slots in order are cut into ``blocks``, one after the other, each from the multipliers that the one before ends with. With one shard this is the loop over
+    all slots, however many blocks there are, and a task holds no more than a block. With more ``shards`` (by hash of the source) those of a block run side by side,
+    each from the multipliers with which the block starts, and the next block starts from the mean over the shards: another, coarser method. Only
+    multipliers come to the driver. Null scores and risks are not allowed; a slot without probes has no row.
     """
-    names = list(bounds)
+    names, spark = list(bounds), probes.sparkSession
     width = max(band[1] - band[0], 1e-9) * max(hardness_scale, 1e-9)
     rows = probes.select("source_id", F.col("slot").cast("long").alias("slot"), F.col("probe").cast("long").alias("probe"), F.col("score").cast("double").alias("score"), *[F.col(n).cast("double").alias(n) for n in names])
     order = place_of(rows.select("source_id", "slot").distinct(), ["source_id", "slot"], "__place")
     n = max(1, order.count())
-    rows = rows.join(order, ["source_id", "slot"]).withColumn("block", F.floor(F.col("__place") * blocks / n).cast("int"))
-    rows = scratch.materialize(rows.withColumn("shard", F.pmod(F.xxhash64("source_id"), F.lit(shards))), "probes")
+    rows = rows.join(order, ["source_id", "slot"]).withColumn("block", F.floor(F.col("__place") * blocks / n).cast("int")).drop("__place")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("source_id"), F.lit(shards)))
+    # a folder for each block, so that its turn reads no others
+    held, found = scratch.new_path(spark, "probes"), scratch.new_path(spark, "chosen")
+    rows.repartition("block").write.partitionBy("block").parquet(held)
     kinds = "shard long, source_id long, slot long, probe long, objective double, hardness double, penalty double, " + ", ".join(f"multiplier_{x} double" for x in names)
-    now, chosen = dict(start or {}), None
-    parts = min(shards, int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    now, parts = dict(start or {}), min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spark.read.schema(rows.schema).parquet(held)
+    scan = rows.select("shard", "source_id", "slot", "probe", "score", *names)
     for block in range(blocks):
-        own = rows.filter(F.col("block") == block).repartition(parts, "shard").sortWithinPartitions("shard", "source_id", "slot", "probe")
-        found = own.select("shard", "source_id", "slot", "probe", "score", *names).mapInArrow(_scan(names, bounds, now, max(0.0, rate), max(0.0, most), target, width), kinds)
-        found = scratch.materialize(found, "chosen")
-        last = found.groupBy("shard").agg(F.max(F.struct("source_id", "slot", *[f"multiplier_{x}" for x in names])).alias("l"))
+        own = scan.filter(F.col("block") == block).repartition(parts, "shard").sortWithinPartitions("shard", "source_id", "slot", "probe")
+        own.mapInArrow(_scan(names, bounds, now, max(0.0, rate), max(0.0, most), target, width), kinds).write.parquet(f"{found}/block={block}")
+        last = spark.read.schema(kinds).parquet(f"{found}/block={block}").groupBy("shard").agg(F.max(F.struct("source_id", "slot", *[f"multiplier_{x}" for x in names])).alias("l"))
         row = last.agg(*[F.avg(f"l.multiplier_{x}").alias(x) for x in names]).first()
         now = {x: (row[x] if row[x] is not None else now.get(x, 0.0)) for x in names}
-        chosen = found if chosen is None else chosen.unionByName(found)
-    return chosen.drop("shard"), now
+    return spark.read.schema(kinds).parquet(found).drop("shard", "block"), now
 
 
 def dual_figures(chosen: DataFrame) -> DataFrame:

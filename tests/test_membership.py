@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from netweave import scratch
 from netweave.operators import dual, membership, representations
+from netweave.plans import training
 
 SCHEMA = "edge_id long, nodes array<long>, size int"
 
@@ -137,6 +138,23 @@ def test_primal_dual_is_the_loop(spark):
     assert dual.primal_dual(probes.filter("source_id < 0"), bounds)[0].count() == 0
 
 
+def test_primal_dual_query_is_one_sequence(spark):
+    d = "/root/testdata/sf0.001"
+    rows = sorted(spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey", "concat_ws(':', l_partkey, l_suppkey, l_linenumber) AS item", "round(l_extendedprice / 105000.0, 6) AS score", "l_discount", "l_tax").collect())
+    place, probes = {}, []
+    for x in rows:
+        place[x.l_orderkey] = place.get(x.l_orderkey, 0) + 1
+        probes.append((x.l_orderkey, 0, place[x.l_orderkey], float(x.score), float(x.l_discount), float(x.l_tax)))
+    want, _ = plain_loop(probes, {"closure": 0.04, "residual": 0.03}, 0.05, 10.0, 0.5, 0.4)
+    got = training.primal_dual(spark, d).first()
+    assert got.samples == len(want)
+    assert got.objective_mean == pytest.approx(np.mean([v[1] for v in want.values()]), abs=1e-6)
+    assert [got.multiplier_closure_mean, got.multiplier_residual_mean] == pytest.approx([np.mean([v[k] for v in want.values()]) for k in (2, 3)], abs=1e-6)
+    held = spark.createDataFrame(probes, "source_id long, slot int, probe int, score double, closure double, residual double")
+    chosen, _ = dual.primal_dual(held, {"closure": 0.04, "residual": 0.03}, blocks=7)
+    assert {(x.source_id, x.slot): x.probe for x in chosen.collect()} == {k: v[0] for k, v in want.items()}
+
+
 def test_manifold_and_diversity(spark):
     rng = np.random.default_rng(4)
     a, b = rng.normal(size=(70, 5)), rng.normal(size=(90, 5))
