@@ -45,11 +45,11 @@ def test_sums(spark, monkeypatch, entries):
 
 def test_hitting_query_takes_all_neighbours(spark, tmp_path):
     r = random.Random(5)
-    sets = {k: {0, *r.sample(range(1, 400), r.randrange(1, 4))} for k in range(200)} | {1000 + k: set(r.sample(range(1, 400), r.randrange(1, 5))) for k in range(200)}
+    sets = {k: {0, *r.sample(range(1, 900), r.randrange(1, 4))} for k in range(300)} | {1000 + k: set(r.sample(range(1, 900), r.randrange(1, 5))) for k in range(200)}
     assert len(set().union(*(s for s in sets.values() if 0 in s))) > 2 * registry.TOP
     spark.createDataFrame([(k, x) for k, s in sets.items() for x in s], "l_orderkey long, l_partkey long").write.parquet(f"file://{tmp_path}/lineitem.parquet")
     got = {x.cand_id: x.risk for x in registry.queries()["hitting_risk"](spark, f"file://{tmp_path}").collect()}
     assert got == pytest.approx(plain_hitting(sets), abs=1e-6)
     e = scratch.materialize(registry.edges(spark, f"file://{tmp_path}"), "edges")
-    capped = {x.cand_id: x.risk for x in risks.hitting(e, risks.as_candidates(e), 400).collect()}  # a cap that no node reaches
+    capped = {x.cand_id: x.risk for x in risks.hitting(e, risks.as_candidates(e), 900).collect()}  # a cap that no node reaches
     assert got == pytest.approx(capped, abs=1e-6)
