@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 
 from netweave import scratch
-from netweave.operators import products, risks
+from netweave.operators import indexes, products, risks
 from netweave.plans import registry
 
 
@@ -53,3 +55,28 @@ def test_hitting_query_takes_all_neighbours(spark, tmp_path):
     e = scratch.materialize(registry.edges(spark, f"file://{tmp_path}"), "edges")
     capped = {x.cand_id: x.risk for x in risks.hitting(e, risks.as_candidates(e), 900).collect()}  # a cap that no node reaches
     assert got == pytest.approx(capped, abs=1e-6)
+
+
+def test_third_neighbours_move_pairs(spark):
+    r = random.Random(9)
+    sets = [sorted(r.sample(range(14), r.randrange(1, 6))) for _ in range(60)] + [sorted(r.sample(range(14), 3)) for _ in range(30)]
+    near = defaultdict(set)
+    for s in sets:
+        for t in combinations(s, 3):
+            pairs = list(combinations(t, 2))
+            for u in pairs:
+                near[u] |= set(pairs) - {u}
+    e = scratch.materialize(spark.createDataFrame([(k, s, len(s)) for k, s in enumerate(sets)], "edge_id long, nodes array<long>, size int"), "edges")
+    found = indexes.third_neighbors(e)
+    for x in found.collect():
+        s = sets[x.edge_id]
+        a, b = (near[tuple(s[:2])], near[tuple(s[-2:])]) if len(s) > 2 else (set(), set())
+        want = (len(a & b), len(a & b) / len(a | b) if a | b else 0, sum(1 / math.log(len(near[m])) for m in a & b))
+        assert (x.cn, x.jc, x.aa) == pytest.approx(want)
+    assert indexes.third_neighbors(e.filter("size < 3")).agg({"cn": "max"}).first()[0] == 0
+
+
+def test_third_neighbours_list_no_triples(spark, monkeypatch):
+    monkeypatch.setattr(indexes, "edge_triples", None)  # triples and the links between their pairs were listed before
+    e = scratch.materialize(spark.createDataFrame([(0, list(range(200)), 200), (1, [0, 1, 300], 3)], "edge_id long, nodes array<long>, size int"), "edges")
+    assert {x.edge_id: x.cn for x in indexes.third_neighbors(e).collect()} == {0: 4.0, 1: 1.0}
