@@ -7,10 +7,11 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from netweave import scratch
-from netweave.operators import indexes, products, risks
+from netweave.operators import indexes, products, representations, risks
 from netweave.plans import registry
 
 
@@ -80,3 +81,18 @@ def test_third_neighbours_list_no_triples(spark, monkeypatch):
     monkeypatch.setattr(indexes, "edge_triples", None)  # triples and the links between their pairs were listed before
     e = scratch.materialize(spark.createDataFrame([(0, list(range(200)), 200), (1, [0, 1, 300], 3)], "edge_id long, nodes array<long>, size int"), "edges")
     assert {x.edge_id: x.cn for x in indexes.third_neighbors(e).collect()} == {0: 4.0, 1: 1.0}
+
+
+def test_bank_blocks_move_few_times(spark, monkeypatch):
+    monkeypatch.setattr(representations, "HELD", 4)
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(160, 4)), rng.normal(size=(300, 4))
+    frame = lambda v, key, name: spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], f"{key} long, {name} array<double>")
+    found = representations.nearest_in_bank(frame(a, "source_id", "vec"), frame(b, "edge_id", "rep"), 4, size=10)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [x.nearest for x in found.orderBy("source_id").collect()] == pytest.approx((unit(a) @ unit(b).T).max(axis=1).tolist())
+    sizes = []
+    monkeypatch.setattr(type(spark.range(1)), "repartitionById", lambda df, n, c: (sizes.append((n, df.groupBy("turn").count().orderBy("turn").collect())), df.repartition(n, c))[1])
+    assert representations.nearest_in_bank(frame(a, "source_id", "vec"), frame(b, "edge_id", "rep"), 4, size=10).count() == 160
+    # 30 blocks of the bank in eight tasks' keeping, rows in two streams; before, each block met each, so 480 of both kinds moved
+    assert [(n, [x["count"] for x in by]) for n, by in sizes] == [(16, [60, 128])]
