@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netweave import scratch
 from netweave.operators import indexes, products, representations, risks
@@ -96,3 +97,24 @@ def test_bank_blocks_move_few_times(spark, monkeypatch):
     assert representations.nearest_in_bank(frame(a, "source_id", "vec"), frame(b, "edge_id", "rep"), 4, size=10).count() == 160
     # 30 blocks of the bank in eight tasks' keeping, rows in two streams; before, each block met each, so 480 of both kinds moved
     assert [(n, [x["count"] for x in by]) for n, by in sizes] == [(16, [60, 128])]
+
+
+def test_neighbours_move_packed(spark):
+    r = random.Random(4)
+    lists = {x: sorted({r.choice([r.randrange(-9, 9), r.randrange(1 << 20), r.randrange(1 << 62)]) for _ in range(r.randrange(1, 40))}) for x in range(60)}
+    near = spark.createDataFrame([(x, y) for x, ys in lists.items() for y in ys], "x long, y long")
+    packed = {p.x: bytes(p.list) for p in indexes.packed_neighbors(near).collect()}
+    for x, ys in lists.items():
+        got, of = indexes._unpack(np.frombuffer(packed[x], np.uint8), np.array([0]))
+        assert got.tolist() == ys and not of.any()
+    dense = spark.range(1000).selectExpr("0L AS x", "id * 90 AS y")
+    assert len(indexes.packed_neighbors(dense).first().list) == 1000  # 8,000 as numbers
+    held = spark.createDataFrame([(k, x) for k in range(40) for x in r.sample(range(60), 5)], "k long, x long").withColumn("own", F.array(F.lit(3).cast("long")))
+    mine = defaultdict(list)
+    for h in held.collect():
+        mine[h.k] += lists[h.x]
+    met = indexes.gathered(held, near, "k").withColumn("own", F.array(F.lit(3).cast("long")))
+    got = defaultdict(list)
+    for x in sorted(indexes.best_met(met, "own", 7, "n").collect(), key=lambda x: (x.k, x.place)):
+        got[x.k].append((x.node_id, x.n))
+    assert got == {k: sorted(((y, v.count(y)) for y in set(v) - {3}), key=lambda c: (-c[1], c[0]))[:7] for k, v in mine.items()}
