@@ -123,8 +123,8 @@ def read_bank(
 ) -> tuple[DataFrame, dict[str, dict[str, float]]]:
     """The rows of ``protocols`` and their metadata, after all checks; ValueError names the first that fails.
 
-    Checked are format, kind, seed, split, number of nodes and of positives, negatives a source, the sources in their order (by digest), the protocols, their
-    numbers of rows, their rows in their order (by digest), and the rules of ``report``.
+    Checked are format, kind, seed, split, number of nodes and of positives, negatives a source, the sources in their order (by digest), the protocols, the
+    numbers of rows of all protocols in the bank, and of those asked for their rows in their order (by digest), and the rules of ``report``.
     """
     manifest = read_manifest(spark, path)
     wanted = {"format": FORMAT, "kind": kind, "seed": seed, "split": split, "num_nodes": num_nodes, "positive_count": positives.count(), "per_source": per_source}
@@ -136,10 +136,11 @@ def read_bank(
     listed = {p["protocol"]: p for p in manifest["protocols"]}
     if missing := [p for p in protocols if p not in listed]:
         raise ValueError(f"the bank has no protocol {missing}")
-    rows = _rows(spark, path).filter(F.col("protocol").isin(*protocols))
+    rows = _rows(spark, path)
     counts = {r["protocol"]: r["count"] for r in rows.groupBy("protocol").count().collect()}  # a row for each protocol
-    if wrong := [p for p in protocols if counts.get(p, 0) != listed[p]["rows"]]:
+    if wrong := [p for p in {**counts, **listed} if p not in listed or counts.get(p, 0) != listed[p]["rows"]]:
         raise ValueError(f"the bank has not the rows that were written in {wrong}")
+    rows = rows.filter(F.col("protocol").isin(*protocols))
     _fits(rows, sources, positives, tuple(protocols), per_source, num_nodes)
     digests = {r["protocol"]: r["digest"] for r in row_digests(rows).collect()}
     if wrong := [p for p in protocols if digests.get(p) != listed[p]["digest"]]:

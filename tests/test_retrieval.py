@@ -189,6 +189,15 @@ def test_bank_that_does_not_fit(spark, bank):
                 banks.write_bank(f"{broken}-new", changed, sources, s, NODES, per_source=2, seed=4, split="test")
 
 
+def test_bank_with_a_row_more_in_a_protocol_not_asked_for(spark, bank):
+    path, sources, s, rows = bank
+    broken = f"{path}-more"
+    rows.unionByName(rows.filter("protocol = 'mns'").limit(1)).select("protocol", "source_id", "slot", "nodes").write.partitionBy("protocol").parquet(f"{broken}/rows")
+    spark.read.text(f"{path}/manifest").coalesce(1).write.text(f"{broken}/manifest")
+    with pytest.raises(ValueError):
+        banks.read_bank(spark, broken, sources, s, NODES, ("sns",), per_source=2, seed=4, split="test")
+
+
 def test_replay_bank(spark, graph, tmp_path):
     train = graph.filter("edge_id % 2 = 0")
     rows = None
